@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TINY = 1e-300
 _STEPS = 300
@@ -67,7 +68,7 @@ def two_sided_p(r: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     p = two_sided_p(r.to_numpy(dtype=float, na_value=np.nan), n.to_numpy(dtype=float, na_value=np.nan))
     return pd.Series(p).astype("Float64").where(~np.isnan(p), other=pd.NA)

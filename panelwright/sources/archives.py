@@ -93,7 +93,7 @@ def archive_members(archives: DataFrame, sep: str = ";") -> DataFrame:
     A file that is no archive gives one row with ``error`` and no member; the
     others go on.
     """
-    schema = T._parse_datatype_string(MEMBER_SCHEMA)
+    schema = MEMBER_SCHEMA
     arrow = pa.schema(
         [
             ("archive", pa.string()),
