@@ -7,10 +7,12 @@ the mean AUC per candidate reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -36,6 +38,9 @@ BOOSTING_RATE = 0.05
 TIE_MARGIN = 0.01
 REPEATS = 10
 
+# Fits of one selection that may run at the same time; they share the executors.
+PARALLEL_FITS = 8
+
 
 @dataclass(frozen=True)
 class Fold:
@@ -114,6 +119,15 @@ def candidate_name(kind: str, with_rate: bool) -> str:
     return kind if with_rate else f"{kind}_without_rate"
 
 
+def fit_all(spark: SparkSession, work: Callable, tasks: Sequence, parallelism: int = PARALLEL_FITS) -> list:
+    """Independent fits submitted side by side, as Spark's own cross-validation does."""
+    threads = ThreadPool(min(parallelism, len(tasks)))
+    try:
+        return threads.map(inheritable_thread_target(spark)(work), tasks, chunksize=1)
+    finally:
+        threads.close()
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -121,25 +135,27 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 def rolling_scores(dataset: DataFrame, folds: Sequence[Fold], rounds: int = BOOSTING_ROUNDS) -> DataFrame:
     """H13. Scored rows of every fold and candidate, with and without the rate, plus baselines."""
     development = dataset.filter("split = 'development'")
-    parts = []
-    for fold in folds:
+
+    def rows_of(fold: Fold) -> tuple[DataFrame, DataFrame]:
         train = development.filter(F.col("origin") <= F.lit(fold.train_end).cast("date"))
-        rows = development.filter(
-            F.col("origin").between(F.lit(fold.first).cast("date"), F.lit(fold.last).cast("date"))
+        inside = F.col("origin").between(F.lit(fold.first).cast("date"), F.lit(fold.last).cast("date"))
+        return train, development.filter(inside)
+
+    def evaluated(task: tuple[Fold, str, bool]) -> DataFrame:
+        fold, kind, with_rate = task
+        train, rows = rows_of(fold)
+        return score(fit(kind, with_rate, train, rounds), rows).select(
+            F.lit(fold.name).alias("fold"),
+            F.lit(candidate_name(kind, with_rate)).alias("candidate"),
+            LABEL,
+            "score",
         )
-        for kind in CANDIDATES:
-            for with_rate in (True, False):
-                model = fit(kind, with_rate, train, rounds)
-                parts.append(
-                    score(model, rows).select(
-                        F.lit(fold.name).alias("fold"),
-                        F.lit(candidate_name(kind, with_rate)).alias("candidate"),
-                        F.col(LABEL),
-                        "score",
-                    )
-                )
+
+    tasks = [(fold, kind, with_rate) for kind in reversed(CANDIDATES) for fold in folds for with_rate in (True, False)]
+    parts = fit_all(dataset.sparkSession, evaluated, tasks)
+    for fold in folds:
         parts.append(
-            baseline_scores(train, rows, LABEL).select(
+            baseline_scores(*rows_of(fold), LABEL).select(
                 F.lit(fold.name).alias("fold"), "candidate", LABEL, F.col("score").cast("double").alias("score")
             )
         )
@@ -201,8 +217,9 @@ def final_test(dataset: DataFrame, chosen: str, rounds: int = BOOSTING_ROUNDS) -
     """H17. One evaluation on the test part: chosen model with and without the rate, and the baselines."""
     train = dataset.filter("split = 'development'")
     test = dataset.filter("split = 'test'")
-    model = fit(chosen, True, train, rounds)
-    bare = fit(chosen, False, train, rounds)
+    model, bare = fit_all(
+        dataset.sparkSession, lambda with_rate: fit(chosen, with_rate, train, rounds), (True, False)
+    )
     keep = ["candidate", *CATEGORICAL_FEATURES, "origin", "value_origin", LABEL, "score", "predicted"]
 
     def rows(name: str, m: PipelineModel) -> DataFrame:

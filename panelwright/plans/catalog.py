@@ -561,7 +561,7 @@ def series_quarantine(spark, sf):
 
 @query("month_end_series", ["series"], "SELECT month, rate FROM series")
 def month_end_series(spark, sf):
-    return p.series(spark, sf)
+    return p.silver_series(spark, sf).table.drop("_load_id")
 
 
 @query(
@@ -605,7 +605,7 @@ _LAG_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in _LAG_COLUMNS)
     ["panel_b"],
     """SELECT k.entity, k.product, CAST(k.m AS DATE) AS month, b.value FROM (
            SELECT entity, product, unnest(generate_series(min(month)::TIMESTAMP, max(month)::TIMESTAMP, INTERVAL 1 MONTH)) AS m
-           FROM panel_b GROUP BY ALL) k
+           FROM panel_b GROUP BY entity, product) k
        LEFT JOIN panel_b b ON b.entity = k.entity AND b.product = k.product AND b.month = CAST(k.m AS DATE)""",
 )
 def dense_series(spark, sf):
@@ -657,7 +657,7 @@ def consecutive_change(spark, sf):
        UNION ALL SELECT month, 'series_only' FROM series WHERE month NOT IN (SELECT month FROM panel_a)""",
 )
 def orphan_months(spark, sf):
-    return panel.orphan_months(st.panel_a(spark, sf), p.series(spark, sf))
+    return panel.orphan_months(p.panel_table(spark, sf), p.series(spark, sf))
 
 
 @query(
@@ -666,7 +666,7 @@ def orphan_months(spark, sf):
     f"SELECT {_CHANGE_SQL}, rate, round(rate_change, 6) AS rate_change, {_LAG_SQL} FROM gold",
 )
 def gold_panel(spark, sf):
-    gold = p.gold(spark, sf).withColumn("has_prev", small(F.col("has_prev")))
+    gold = p.build_gold(spark, sf).withColumn("has_prev", small(F.col("has_prev")))
     return rounded(gold, "qty_change_pct", "value_change_pct", "rate_change", *_LAG_COLUMNS)
 
 
@@ -682,7 +682,7 @@ def gold_panel(spark, sf):
        UNION ALL SELECT 'series_only_months', count(*) FROM series WHERE month NOT IN (SELECT month FROM panel_a)""",
 )
 def gold_report(spark, sf):
-    return panel.gold_report(p.gold(spark, sf), st.panel_a(spark, sf), p.series(spark, sf))
+    return panel.gold_report(p.gold(spark, sf), p.panel_table(spark, sf), p.series(spark, sf))
 
 
 @query(
@@ -770,7 +770,7 @@ def bh_adjust(spark, sf):
 
 @query("product_table", ["market_level1"], _table_sql("product") + " FROM market_level1")
 def product_table(spark, sf):
-    return _statistics(p.level_one(spark, sf), ["product"])
+    return _statistics(stats.level_one(p.market_gold(spark, sf)), ["product"])
 
 
 @query("best_lag", ["best_lag"], "SELECT product, CAST(best_lag AS INTEGER) AS best_lag FROM best_lag")
@@ -790,7 +790,7 @@ def key_correlation(spark, sf):
 
 @query("key_table", ["market_level2"], _KEY_SQL + " FROM market_level2")
 def key_table(spark, sf):
-    return _statistics(p.level_two(spark, sf), ["entity", "product"], ("insufficient",))
+    return _statistics(p.build_level_two(spark, sf), ["entity", "product"], ("insufficient",))
 
 
 @query(
@@ -802,7 +802,7 @@ def key_table(spark, sf):
                     count(*) AS rows FROM panel_a GROUP BY product)""",
 )
 def product_label(spark, sf):
-    counted = st.panel_a(spark, sf).groupBy("product").agg(F.count("*").alias("rows"))
+    counted = p.panel_table(spark, sf).groupBy("product").agg(F.count("*").alias("rows"))
     return counted.select(
         "product", lb.product_label(F.col("product"), PRODUCT_PREFIX, GENERAL_LABEL).alias("label"), "rows"
     )
@@ -939,7 +939,7 @@ def ml_label(spark, sf):
     f"SELECT entity, product, origin, {_FEATURE_SQL}, value_origin, gains, split FROM dataset",
 )
 def ml_dataset(spark, sf):
-    return rounded(p.dataset(spark, sf), *features.NUMERIC_FEATURES)
+    return rounded(p.build_dataset(spark, sf), *features.NUMERIC_FEATURES)
 
 
 @query(
@@ -993,14 +993,9 @@ def _once(spark: SparkSession, sf: str, what: str, build: Callable[[], object])
     return _RUNS[key]
 
 
-def training_data(spark: SparkSession, sf: str) -> DataFrame:
-    """The dataset behind many fits, written once to the shared checkpoint folder."""
-    return _once(spark, sf, "dataset", lambda: cut_lineage(p.dataset(spark, sf)))
-
-
 def fold_aucs(spark: SparkSession, sf: str) -> DataFrame:
     return _once(
-        spark, sf, "aucs", lambda: cut_lineage(model.rolling_evaluation(training_data(spark, sf), FOLDS))
+        spark, sf, "aucs", lambda: cut_lineage(model.rolling_evaluation(p.dataset(spark, sf), FOLDS))
     )
 
 
@@ -1010,7 +1005,7 @@ def chosen_model(spark: SparkSession, sf: str) -> str:
 
 def final_run(spark: SparkSession, sf: str, kind: str | None = None) -> model.FinalTest:
     kind = kind or chosen_model(spark, sf)
-    return _once(spark, sf, f"final-{kind}", lambda: model.final_test(training_data(spark, sf), kind))
+    return _once(spark, sf, f"final-{kind}", lambda: model.final_test(p.dataset(spark, sf), kind))
 
 
 @query("rolling_eval")
@@ -1059,18 +1054,18 @@ def auc_by_product(spark, sf):
 
 @query("result_summary")
 def result_summary(spark, sf):
-    return model.result_summary(training_data(spark, sf), final_run(spark, sf).metrics)
+    return model.result_summary(p.dataset(spark, sf), final_run(spark, sf).metrics)
 
 
 @query("production_scores")
 def production_scores(spark, sf):
-    return model.production_scores(training_data(spark, sf), chosen_model(spark, sf))
+    return model.production_scores(p.dataset(spark, sf), chosen_model(spark, sf))
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
     run = final_run(spark, sf, model.LOGISTIC)
-    return model.permutation_importance(run.model, training_data(spark, sf).filter("split = 'test'"))
+    return model.permutation_importance(run.model, p.dataset(spark, sf).filter("split = 'test'"))
 
 
 @query("coefficients")
@@ -1555,7 +1550,7 @@ def key_status(spark, sf):
 
 @query("product_dim", ["list_names"], "SELECT * FROM list_names")
 def product_dim(spark, sf):
-    return serve.ordered_products(st.panel_a(spark, sf))
+    return serve.ordered_products(p.panel_table(spark, sf))
 
 
 @query(
@@ -1565,7 +1560,7 @@ def product_dim(spark, sf):
            SELECT entity, count(*) AS rows FROM panel_a GROUP BY entity) p JOIN entity_dim d ON p.entity = d.code""",
 )
 def entity_dim(spark, sf):
-    counted = st.panel_a(spark, sf).groupBy("entity").agg(F.count("*").alias("rows"))
+    counted = p.panel_table(spark, sf).groupBy("entity").agg(F.count("*").alias("rows"))
     return serve.with_entity_names(counted)
 
 
@@ -1577,7 +1572,7 @@ _SIGNED = "CASE WHEN v > 0 THEN '+' WHEN v < 0 THEN '−' ELSE '' END || " + o.n
     ["gold"],
     f"""SELECT month, entity, product, {o.month_label_sql('month')} AS month_label, {o.number_text_sql('rate', 2)} AS rate_text,
               CASE WHEN value_change_pct IS NULL THEN '—' ELSE {_SIGNED} END AS change_text,
-              CASE WHEN value_change_pct IS NULL THEN '—' ELSE {o.number_text_sql('v', 1)} || '%' END AS percent_text,
+              CASE WHEN value_change_pct IS NULL THEN '—' ELSE {o.number_text_sql('v', 2)} || '%' END AS percent_text,
               CASE WHEN value IS NULL THEN '—' WHEN value = 0 THEN 'R$ 0'
                    WHEN value >= 1e12 THEN 'R$ ' || {o.number_text_sql('value / 1e12', 2)} || ' tri'
                    WHEN value >= 1e9 THEN 'R$ ' || {o.number_text_sql('value / 1e9', 1)} || ' bi'
@@ -1595,6 +1590,6 @@ def format_labels(spark, sf):
         lb.month_label(F.col("month")).alias("month_label"),
         lb.number_text(F.col("rate"), 2).alias("rate_text"),
         lb.signed_text(F.col("value_change_pct"), 2).alias("change_text"),
-        lb.percent_text(change / 100, 1).alias("percent_text"),
+        lb.percent_text(change / 100, 2).alias("percent_text"),
         lb.currency_text(F.col("value")).alias("value_text"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.reference_data import ENTITY_CODES, PRODUCT_PREFIX
 from panelwright.operators import features, panel, silver, stats
 from panelwright.plans import standins as st
+from panelwright.session import stage_table
 
 SCOPE_START, SCOPE_END = "1995-01-01", "2001-07-01"
 N_MONTHS = silver.months_in_scope(SCOPE_START, SCOPE_END)
@@ -39,33 +40,57 @@ def silver_panel(spark: SparkSession, sf: str) -> silver.SilverTables:
     return silver.build_silver_panel(st.dirty(spark, sf), CONTRACT, LOAD_ID, "panel-source", st.RUN_AT)
 
 
+def _stage(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    folder = "".join(c if c.isalnum() else "_" for c in sf)
+    return stage_table(spark, f"{folder}/{name}", build)
+
+
 def series(spark: SparkSession, sf: str) -> DataFrame:
-    return silver_series(spark, sf).table.drop("_load_id")
+    """Silver series, as stored for the later stages."""
+    return _stage(spark, sf, "series", lambda: silver_series(spark, sf).table.drop("_load_id"))
+
+
+def panel_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Silver panel, as stored for the later stages."""
+    return _stage(spark, sf, "panel", lambda: st.panel_a(spark, sf))
 
 
 def market_series(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly total of the panel in millions: a series the keys really move with."""
-    return st.panel_a(spark, sf).groupBy("month").agg(
+    return panel_table(spark, sf).groupBy("month").agg(
         (F.sum(F.col("value").cast("decimal(30,2)")).cast("double") / 1_000_000).alias("rate")
     )
 
 
+def build_gold(spark: SparkSession, sf: str) -> DataFrame:
+    return panel.build_gold(panel_table(spark, sf), series(spark, sf))
+
+
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    return panel.build_gold(st.panel_a(spark, sf), series(spark, sf))
+    return _stage(spark, sf, "gold", lambda: build_gold(spark, sf))
 
 
 def market_gold(spark: SparkSession, sf: str) -> DataFrame:
-    return panel.build_gold(st.panel_a(spark, sf), market_series(spark, sf))
+    return _stage(
+        spark, sf, "market_gold", lambda: panel.build_gold(panel_table(spark, sf), market_series(spark, sf))
+    )
 
 
 def level_one(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.level_one(market_gold(spark, sf))
+    return _stage(spark, sf, "level_one", lambda: stats.level_one(market_gold(spark, sf)))
+
+
+def build_level_two(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.level_two(market_gold(spark, sf), stats.best_lag(level_one(spark, sf)))
 
 
 def level_two(spark: SparkSession, sf: str) -> DataFrame:
-    base = market_gold(spark, sf)
-    return stats.level_two(base, stats.best_lag(stats.level_one(base)))
+    return _stage(spark, sf, "level_two", lambda: build_level_two(spark, sf))
 
 
-def dataset(spark: SparkSession, sf: str) -> DataFrame:
+def build_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return features.build_dataset(gold(spark, sf), SPLIT)
+
+
+def dataset(spark: SparkSession, sf: str) -> DataFrame:
+    return _stage(spark, sf, "dataset", lambda: build_dataset(spark, sf))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.session import path_exists
+
 
 def read_delimited(
     spark: SparkSession, path: str | list[str], sep: str = ";", encoding: str = "UTF-8", schema: str | None = None
@@ -69,6 +71,4 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Presence check before a plan is built on ``path``."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return path_exists(spark, path)
