@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.session import cut_lineage
+
 RANGES = 256
 SKETCH_ACCURACY = 10_000
 
@@ -33,7 +35,9 @@ def running_sums(
     NULL must be filtered by the caller.
     """
     families = list(families)
-    distinct = df.groupBy(*families, order).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    # Every later step reads these rows again; a written copy keeps them the
+    # same each time, whatever is recomputed, and the input is read once.
+    distinct = cut_lineage(df.groupBy(*families, order).agg(*[F.sum(e).alias(n) for n, e in sums.items()]))
     quantiles = [i / ranges for i in range(1, ranges)]
     bounds = distinct.groupBy(*families).agg(
         F.array_distinct(F.percentile_approx(order, quantiles, SKETCH_ACCURACY)).alias("_bounds")
