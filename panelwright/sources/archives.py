@@ -83,7 +83,7 @@ def _members_of(archive: str, sep: str) -> Iterator[dict]:
                     "encoding": encoding,
                     "header": [h.strip('"') for h in first.split(sep)],
                 }
-    except (zipfile.BadZipFile, OSError) as error:
+    except (zipfile.BadZipFile, OSError, pa.ArrowInvalid) as error:
         yield {**blank, "archive": archive, "error": f"{type(error).__name__}: {error}"}
 
 
