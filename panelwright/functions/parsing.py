@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
-DAY_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}$"
-MONTH_PATTERN = r"^\d{4}-\d{1,2}$"
+DATE_PATTERN = r"^\d{4}-\d{1,2}(-\d{1,2})?$"
 
 
 def to_number(text: Column, decimal: str = ".") -> Column:
@@ -28,10 +27,12 @@ def to_integer(text: Column) -> Column:
 
 
 def to_day(text: Column) -> Column:
-    """C3. ``YYYY-MM-DD``, else ``YYYY-MM`` as the first day; impossible dates are NULL."""
-    return F.when(text.rlike(DAY_PATTERN), F.try_to_date(text, "yyyy-M-d")).when(
-        text.rlike(MONTH_PATTERN), F.try_to_date(text, "yyyy-M")
-    )
+    """C3. ``YYYY-MM-DD``, else ``YYYY-MM`` as the first day; impossible dates are NULL.
+
+    The cast reads both forms and never throws, unlike a formatter on bad
+    text; the pattern keeps out the other forms it would accept.
+    """
+    return F.when(text.rlike(DATE_PATTERN), text.try_cast("date"))
 
 
 def day_key(text: Column) -> Column:

@@ -29,16 +29,31 @@ def auc(
     shuffle and a large group is split into score ranges. A single class gives
     NULL, a constant score 0.5.
     """
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    table = _areas(scored, label, score, by, {"auc": weight})
+    return table.select(*by, "auc")
+
+
+def auc_both(scored: DataFrame, label: str, score: str, weight: str, by: Sequence[str] = ()) -> DataFrame:
+    """H6 and H7 from one ordering: ``auc`` and ``auc_weighted``."""
+    return _areas(scored, label, score, by, {"auc": None, "auc_weighted": weight})
+
+
+def _areas(
+    scored: DataFrame, label: str, score: str, by: Sequence[str], wanted: dict[str, str | None]
+) -> DataFrame:
     known = scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    sums = {
-        "_pos": F.when(F.col(label) == 1, w).otherwise(0.0),
-        "_neg": F.when(F.col(label) == 0, w).otherwise(0.0),
-    }
+    sums: dict[str, Column] = {}
+    for name, weight in wanted.items():
+        w = F.col(weight).cast("double") if weight else F.lit(1.0)
+        sums[f"_p_{name}"] = F.when(F.col(label) == 1, w).otherwise(0.0)
+        sums[f"_n_{name}"] = F.when(F.col(label) == 0, w).otherwise(0.0)
     steps = running_sums(known, by, score, sums)
-    area = F.sum(F.col("_pos") * (F.col("_neg_below") + F.col("_neg") / 2))
-    mass = F.max("_pos_total") * F.max("_neg_total")
-    return steps.groupBy(*by).agg(F.try_divide(area, mass).alias("auc"))
+    areas = []
+    for name in wanted:
+        pos, neg = f"_p_{name}", f"_n_{name}"
+        area = F.sum(F.col(pos) * (F.col(f"{neg}_below") + F.col(neg) / 2))
+        areas.append(F.try_divide(area, F.max(f"{pos}_total") * F.max(f"{neg}_total")).alias(name))
+    return steps.groupBy(*by).agg(*areas)
 
 
 def precision_at_n(
@@ -119,17 +134,14 @@ def metrics_table(
 ) -> DataFrame:
     """H9, H17. All metrics of every candidate as ``(…, metric, value)`` rows."""
     by = list(by)
-    plain = auc(scored, label, "score", by).select(*by, F.lit("auc").alias("metric"), F.col("auc").alias("value"))
-    heavy = auc(scored, label, "score", by, weight).select(
-        *by, F.lit("auc_weighted").alias("metric"), F.col("auc").alias("value")
-    )
+    areas = auc_both(scored, label, "score", weight, by).unpivot(by, ["auc", "auc_weighted"], "metric", "value")
     best = precision_at_n(scored, label, "score", [top], period, ties, by).select(
         *by, F.lit("precision_at_n").alias("metric"), F.col("precision").alias("value")
     )
     cells = confusion(scored, label, "predicted", by)
     named = ["precision", "recall", "f1", "accuracy", "rows"]
     flat = cells.select(*by, *[F.col(c).cast("double").alias(c) for c in named]).unpivot(by, named, "metric", "value")
-    return plain.unionByName(heavy).unionByName(best).unionByName(flat)
+    return areas.unionByName(best).unionByName(flat)
 
 
 def alerts(metrics: DataFrame, limit: float = ALERT_LIMIT) -> DataFrame:

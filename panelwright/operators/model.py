@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from panelwright.operators.evaluate import auc, baseline_scores, metrics_table
 from panelwright.operators.features import NUMERIC_FEATURES, RATE_FEATURES
 from panelwright.operators.reporting import long_counts
+from panelwright.session import cut_lineage
 
 LOGISTIC, BOOSTING = "logistic", "boosting"
 CANDIDATES = (LOGISTIC, BOOSTING)
@@ -231,7 +232,8 @@ def final_test(dataset: DataFrame, chosen: str, rounds: int = BOOSTING_ROUNDS) -
         )
 
     base = baseline_scores(train, test, LABEL).withColumn("score", F.col("score").cast("double")).select(*keep)
-    scored = _union([rows("model", model), rows("model_without_rate", bare), base])
+    # Scored once and stored: every metric below reads these rows.
+    scored = cut_lineage(_union([rows("model", model), rows("model_without_rate", bare), base]))
     predictions = score(model, test).select(
         *CATEGORICAL_FEATURES, "origin", LABEL, "acceleration_3m", "score"
     )

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.parsing import INTEGER_PATTERN, to_day, to_number
+from panelwright.functions.parsing import INTEGER_PATTERN, to_day, to_integer, to_number
 
 BAD_ENTITY = "bad_entity"
 BAD_TYPE = "bad_type"
@@ -62,29 +62,26 @@ def first_reason(rules: Sequence[Rule]) -> Column:
     return F.coalesce(*[F.when(mask, F.lit(name)) for name, mask in rules])
 
 
-def panel_rules(
-    entity: str,
-    date: str,
-    quantity: str,
-    value: str,
-    domain: Sequence[str],
-    as_of: str,
-    decimal: str = ",",
-    sentinel: float = -1,
-) -> list[Rule]:
-    """The contract of a panel source, in its fixed order."""
-    day = to_day(F.col(date))
-    types = (
-        bad_type(F.col(date), "date")
-        | bad_type(F.col(value), "float", decimal)
-        | bad_type(F.col(quantity), "int")
-    )
-    below = negative(to_number(F.col(value), decimal)) | negative(to_number(F.col(quantity)), sentinel)
+def typed_columns(date: str, quantity: str, value: str, decimal: str = ",") -> dict[str, Column]:
+    """Parsed forms of the text columns, named ``_day``, ``_quantity`` and ``_value``.
+
+    Parsed once and then only compared: every rule below is a cheap test.
+    """
+    return {
+        "_day": to_day(F.col(date)),
+        "_quantity": to_integer(F.col(quantity)),
+        "_value": to_number(F.col(value), decimal),
+    }
+
+
+def panel_rules(entity: str, domain: Sequence[str], as_of: str, sentinel: float = -1) -> list[Rule]:
+    """The contract of a panel source, in its fixed order, over ``typed_columns``."""
+    day, quantity, value = F.col("_day"), F.col("_quantity"), F.col("_value")
     return [
         (BAD_ENTITY, outside_domain(F.col(entity), domain)),
-        (BAD_TYPE, types),
+        (BAD_TYPE, day.isNull() | value.isNull() | quantity.isNull()),
         (DATE_OUT_OF_RANGE, in_future(day, as_of)),
-        (NEGATIVE_VALUE, below),
+        (NEGATIVE_VALUE, negative(value) | negative(quantity, sentinel)),
     ]
 
 

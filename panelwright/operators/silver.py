@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.parsing import day_key, month_start, to_day, to_integer, to_number
+from panelwright.functions.parsing import day_key, month_start, to_day, to_number
 from panelwright.operators import quality
 from panelwright.operators.reporting import long_counts
 from panelwright.session import broadcast_if_small
@@ -120,23 +120,24 @@ class PanelContract:
 def staged_rows(bronze: DataFrame, c: PanelContract) -> DataFrame:
     """D2–D6. Every bronze row with the ``stage`` at which it leaves, and its ``reason``.
 
-    The version test is a left join with a checked broadcast; the rest is one
-    projection. Nothing is dropped here, so the funnel can count every row.
+    Text is parsed below the version join (a left join with a checked
+    broadcast) and tested above it, so a filter on the stage never repeats the
+    parsing. Nothing is dropped here, so the funnel can count every row.
     """
     current = broadcast_if_small(
         current_versions(bronze, c.source_object).select(F.col(c.source_object), F.lit(True).alias("_current"))
     )
-    month = month_start(to_day(F.col(c.date)))
-    rules = quality.panel_rules(c.entity, c.date, c.quantity, c.value, c.domain, c.as_of, c.decimal, c.sentinel)
+    typed = bronze.withColumns(quality.typed_columns(c.date, c.quantity, c.value, c.decimal))
+    rules = quality.panel_rules(c.entity, c.domain, c.as_of, c.sentinel)
     stage = (
         F.when(F.col("_current").isNull(), STAGES[0])
         .when(F.coalesce(~in_scope_product(F.col(c.product), c.product_prefix), F.lit(True)), STAGES[1])
-        .when(out_of_window(month, c.start, c.end), STAGES[2])
+        .when(out_of_window(month_start(F.col("_day")), c.start, c.end), STAGES[2])
         .when(F.col("reason").isNotNull(), STAGES[3])
         .otherwise(STAGES[4])
     )
     return (
-        bronze.join(current, c.source_object, "left")
+        typed.join(current, c.source_object, "left")
         .withColumn("reason", quality.first_reason(rules))
         .withColumn("stage", stage)
         .drop("_current")
@@ -160,16 +161,15 @@ def build_silver_panel(bronze: DataFrame, c: PanelContract, load_id: str, source
     """D20. Panel, quarantine and funnel of one text source."""
     staged = staged_rows(bronze, c)
     valid = staged.filter(F.col("stage") == STAGES[4])
-    value = to_number(F.col(c.value), c.decimal).cast("decimal(20,2)")
     panel = build_panel(
         valid.withColumnsRenamed({c.entity: "entity", c.product: "product"}),
         ["entity", "product"],
-        to_day(F.col(c.date)),
-        to_integer(F.col(c.quantity)),
-        value,
+        F.col("_day"),
+        F.col("_quantity"),
+        F.col("_value").cast("decimal(20,2)"),
         c.sentinel,
     ).withColumn("_load_id", F.lit(load_id))
-    rejected = staged.filter(F.col("stage") == STAGES[3]).drop("stage")
+    rejected = staged.filter(F.col("stage") == STAGES[3]).select(*bronze.columns, "reason")
     table = quality.quarantine_table(rejected, load_id, source_system, c.source_object, run_at)
     return SilverTables(panel, table, funnel(staged))
 

@@ -293,7 +293,7 @@ def series_audit(spark, sf):
 )
 def source_profile(spark, sf):
     required = ["date_text", "entity", "quantity_text", "value_text", "absent_column"]
-    return audit.source_profile(st.dirty(spark, sf), required, "date_text")
+    return audit.source_profile(p.bronze(spark, sf), required, "date_text")
 
 
 @query(
@@ -306,7 +306,7 @@ def source_profile(spark, sf):
                  WHERE TRY_CAST(quantity_text AS DOUBLE) < 0 GROUP BY quantity_text""",
 )
 def source_exploration(spark, sf):
-    return audit.exploration(st.dirty(spark, sf), "product", "quantity_text", "value_text", PRODUCT_PREFIX)
+    return audit.exploration(p.bronze(spark, sf), "product", "quantity_text", "value_text", PRODUCT_PREFIX)
 
 
 @query(
@@ -317,7 +317,7 @@ def source_exploration(spark, sf):
 )
 def value_by_product(spark, sf):
     return audit.value_by_product(
-        st.dirty(spark, sf), "entity", "product", "date_text", "value_text", "AC", "1998-06"
+        p.bronze(spark, sf), "entity", "product", "date_text", "value_text", "AC", "1998-06"
     )
 
 
@@ -379,7 +379,7 @@ def check_masks(spark, sf):
         "outside_interval": quality.outside_interval(day, p.SCOPE_START, st.AS_OF),
     }
     return (
-        st.dirty(spark, sf)
+        p.bronze(spark, sf)
         .groupBy(*[small(m).alias(n) for n, m in masks.items()])
         .agg(
             F.count("*").alias("rows"),
@@ -390,9 +390,10 @@ def check_masks(spark, sf):
 
 
 def _classified(spark, sf) -> DataFrame:
-    c = p.CONTRACT
-    rules = quality.panel_rules(c.entity, c.date, c.quantity, c.value, c.domain, c.as_of, c.decimal, c.sentinel)
-    return quality.classify(st.dirty(spark, sf), rules)
+    c, rows = p.CONTRACT, p.bronze(spark, sf)
+    typed = rows.withColumns(quality.typed_columns(c.date, c.quantity, c.value, c.decimal))
+    rules = quality.panel_rules(c.entity, c.domain, c.as_of, c.sentinel)
+    return quality.classify(typed, rules).select(*rows.columns, "reason")
 
 
 @query(
@@ -698,7 +699,7 @@ def key_check(spark, sf):
         )
 
     return counted("gold", p.gold(spark, sf), ["month", "entity", "product"]).unionByName(
-        counted("text rows", st.dirty(spark, sf), ["_source_object", "date_text", "entity", "product"])
+        counted("text rows", p.bronze(spark, sf), ["_source_object", "date_text", "entity", "product"])
     )
 
 

@@ -30,6 +30,16 @@ CONTRACT = silver.PanelContract(
 )
 
 
+def _stage(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    folder = "".join(c if c.isalnum() else "_" for c in sf)
+    return stage_table(spark, f"{folder}/{name}", build)
+
+
+def bronze(spark: SparkSession, sf: str) -> DataFrame:
+    """Text rows, as landed for the later stages."""
+    return _stage(spark, sf, "bronze", lambda: st.dirty(spark, sf))
+
+
 def silver_series(spark: SparkSession, sf: str) -> silver.SilverTables:
     return silver.build_silver_series(
         st.readings(spark, sf), st.SERIES, SCOPE_START, SCOPE_END, st.AS_OF, LOAD_ID, "series-source", st.RUN_AT
@@ -37,12 +47,7 @@ def silver_series(spark: SparkSession, sf: str) -> silver.SilverTables:
 
 
 def silver_panel(spark: SparkSession, sf: str) -> silver.SilverTables:
-    return silver.build_silver_panel(st.dirty(spark, sf), CONTRACT, LOAD_ID, "panel-source", st.RUN_AT)
-
-
-def _stage(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
-    folder = "".join(c if c.isalnum() else "_" for c in sf)
-    return stage_table(spark, f"{folder}/{name}", build)
+    return silver.build_silver_panel(bronze(spark, sf), CONTRACT, LOAD_ID, "panel-source", st.RUN_AT)
 
 
 def series(spark: SparkSession, sf: str) -> DataFrame:

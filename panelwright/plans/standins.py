@@ -108,7 +108,7 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     amount = F.round(F.col("o_totalprice") / 10000, 2)
     text = F.when(F.col("o_orderpriority") == "3-MEDIUM", F.lit(None).cast("string")).otherwise(
-        F.format_string("%.2f", amount)
+        amount.cast("decimal(18,2)").cast("string")
     )
     return orders.select(
         F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00-03:00")).alias("date_text"),
@@ -122,7 +122,7 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
 def dirty(spark: SparkSession, sf: str) -> DataFrame:
     """Text rows with every kind of defect, in two versions per yearly file."""
     lines = shipped_lines(spark, sf)
-    price = F.translate(F.format_string("%.2f", F.col("l_extendedprice")), ".", ",")
+    price = F.translate(F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), ".", ",")
     value = (
         F.when((F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "R"), F.lit("abc"))
         .when((F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "A"), F.concat(F.lit("-"), price))

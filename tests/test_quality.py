@@ -63,8 +63,9 @@ def test_first_reason_wins_and_quarantine(spark):
         ("2030-01-31", "SP", "-1,00", "1"),
     ]
     df = spark.createDataFrame(rows, "d string, uf string, v string, n string")
-    rules = q.panel_rules("uf", "d", "n", "v", UFS, "2026-01-01")
-    valid, rejected = q.split_valid(q.classify(df, rules))
+    typed = df.withColumns(q.typed_columns("d", "n", "v"))
+    valid, rejected = q.split_valid(q.classify(typed, q.panel_rules("uf", UFS, "2026-01-01")))
+    rejected = rejected.select(*df.columns, "reason")
     assert valid.count() == 1
     counts = {r["reason"]: r["rows"] for r in q.reason_counts(rejected).collect()}
     assert counts == {"bad_entity": 1, "bad_type": 1, "negative_value": 2, "date_out_of_range": 1}
