@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
+LETTER = r"[A-Za-z]"
+EXPONENT_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d+\s*$"
+# Fewer digits than this cannot overflow a double.
+PLAIN_LENGTH = 300
 DATE_PATTERN = r"^\d{4}-\d{1,2}(-\d{1,2})?$"
 
 
 def to_number(text: Column, decimal: str = ".") -> Column:
     """C2. Every decimal separator is replaced, so ``1.234,56`` is not a number.
 
-    The pattern keeps out what a Spark cast would accept (``1.0d``, ``NaN``,
-    ``Infinity``); an exponent that overflows also ends as NULL.
+    A letter marks what a Spark cast would accept but a number is not
+    (``1.0d``, ``NaN``, ``Infinity``); only the exponent form passes with one,
+    and an exponent that overflows ends as NULL.
     """
     plain = text if decimal == "." else F.replace(text, F.lit(decimal), F.lit("."))
-    number = F.when(plain.rlike(NUMBER_PATTERN), F.trim(plain).try_cast("double"))
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    number = plain.try_cast("double")
+    without_letters = ~plain.rlike(LETTER) & (F.length(plain) <= PLAIN_LENGTH)
+    return F.when(without_letters, number).when(
+        plain.rlike(EXPONENT_PATTERN), F.when(F.abs(number) < F.lit(float("inf")), number)
+    )
 
 
 def to_integer(text: Column) -> Column:
     """Whole number from a pure integer literal; ``10.0`` is not one."""
-    return F.when(text.rlike(INTEGER_PATTERN), F.trim(text).try_cast("bigint"))
+    return text.try_cast("bigint")
 
 
 def to_day(text: Column) -> Column:

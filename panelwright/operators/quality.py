@@ -118,6 +118,10 @@ def quarantine_table(
     )
 
 
-def reason_counts(rejected: DataFrame, reason: str = "reason") -> DataFrame:
-    """C11."""
-    return rejected.groupBy(reason).agg(F.count("*").alias("rows"))
+def reason_counts(classified: DataFrame, reason: str = "reason") -> DataFrame:
+    """C11. Rejected rows per reason.
+
+    Valid rows are one more group that is dropped after counting; a filter
+    before it would evaluate the whole contract a second time.
+    """
+    return classified.groupBy(reason).agg(F.count(reason).alias("rows")).filter("rows > 0")

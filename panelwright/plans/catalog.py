@@ -412,7 +412,7 @@ def classify_rows(spark, sf):
     "SELECT reason, count(*) AS rows FROM dirty_classified WHERE reason IS NOT NULL GROUP BY reason",
 )
 def quarantine_by_reason(spark, sf):
-    return quality.reason_counts(quality.split_valid(_classified(spark, sf))[1])
+    return quality.reason_counts(_classified(spark, sf))
 
 
 @query(

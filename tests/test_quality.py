@@ -67,7 +67,7 @@ def test_first_reason_wins_and_quarantine(spark):
     valid, rejected = q.split_valid(q.classify(typed, q.panel_rules("uf", UFS, "2026-01-01")))
     rejected = rejected.select(*df.columns, "reason")
     assert valid.count() == 1
-    counts = {r["reason"]: r["rows"] for r in q.reason_counts(rejected).collect()}
+    counts = {r["reason"]: r["rows"] for r in q.reason_counts(q.classify(typed, q.panel_rules("uf", UFS, "2026-01-01"))).collect()}
     assert counts == {"bad_entity": 1, "bad_type": 1, "negative_value": 2, "date_out_of_range": 1}
     table = q.quarantine_table(rejected, "L1", "sys", None, "2026-01-01 00:00:00").collect()
     assert {json.loads(r["payload"])["uf"] for r in table} == {"XX", "SP"}
