@@ -13,7 +13,6 @@ from panelwright.functions.reference_data import (
     PRODUCT_PREFIX,
     PRODUCTS,
     entity_dimension,
-    product_dimension,
 )
 from panelwright.operators.decide import EXPAND, RULE_LIST, RULE_THRESHOLD
 
@@ -125,29 +124,26 @@ def listed_products(dim_rows: DataFrame, product: str = "product") -> DataFrame:
     """J18. Display names of product names that occur in a table.
 
     A bare prefix is the general product; otherwise the first known fragment
-    in display order wins; an unknown product shows its own name.
+    in display order wins; an unknown product shows its own name. The fixed
+    dimension becomes one conditional expression, so there is no join.
     """
     text = plain_lower(F.col(product))
     rest = F.trim(
         F.split_part(F.regexp_replace(F.col(product), f"(?i)^{PRODUCT_PREFIX}\\s*", ""), F.lit("("), F.lit(1))
     )
     rest = F.when(rest == "", F.col(product)).otherwise(rest)
-    known = product_dimension(dim_rows.sparkSession)
-    names = dim_rows.select(product).distinct()
-    general = F.trim(text) == PRODUCT_PREFIX.lower()
-    hit = (F.col("fragment") != "") & text.contains(F.col("fragment"))
-    matched = (
-        names.join(F.broadcast(known), (general & (F.col("fragment") == "")) | (~general & hit), "left")
-        .groupBy(product)
-        .agg(F.min(F.struct("position", "product_key", "name", "short_name")).alias("_d"))
-    )
-    return matched.select(
-        product,
-        F.coalesce("_d.product_key", text).alias("product_key"),
-        F.coalesce("_d.name", rest).alias("name"),
-        F.coalesce("_d.short_name", F.substring(rest, 1, 8)).alias("short_name"),
-        F.coalesce("_d.position", F.lit(len(PRODUCTS) + 1)).alias("position"),
-    )
+
+    def entry(position: Column, key: Column, name: Column, short: Column) -> Column:
+        return F.struct(
+            key.alias("product_key"), name.alias("name"), short.alias("short_name"), position.alias("position")
+        )
+
+    for position, key, fragment, name, short in sorted(PRODUCTS, key=lambda p: p[2] != ""):
+        test = text.contains(fragment) if fragment else F.trim(text) == PRODUCT_PREFIX.lower()
+        known = entry(F.lit(position), F.lit(key), F.lit(name), F.lit(short))
+        found = F.when(test, known) if not fragment else found.when(test, known)
+    shown = found.otherwise(entry(F.lit(len(PRODUCTS) + 1), text, rest, F.substring(rest, 1, 8)))
+    return dim_rows.select(product).distinct().select(product, shown.alias("_d")).select(product, "_d.*")
 
 
 def ordered_products(table: DataFrame, product: str = "product") -> DataFrame:

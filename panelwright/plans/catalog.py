@@ -6,6 +6,7 @@ SQL is absent where the result is not expressible in SQL (training, scoring).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,7 @@ from panelwright.operators import (
     ingest,
     model,
     panel,
+    publish,
     quality,
     reporting,
     serve,
@@ -32,7 +34,9 @@ from panelwright.operators import (
 from panelwright.plans import oracle as o
 from panelwright.plans import pipeline as p
 from panelwright.plans import standins as st
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, shared_dir
+from panelwright.sources import archives, text
+from panelwright.streaming import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -321,6 +325,10 @@ def value_by_product(spark, sf):
     )
 
 
+def _fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query(
     "text_roundtrip",
     ["dirty"],
@@ -330,13 +338,8 @@ def value_by_product(spark, sf):
 )
 def text_roundtrip(spark, sf):
     """A2, A6–A8: write as delimited text, scan it back as text, store it by date, read the table."""
-    import uuid
-
-    from panelwright.session import shared_dir
-    from panelwright.sources import text
-
-    root = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
-    rows = st.dirty(spark, sf)
+    root = _fresh_folder(spark, "text")
+    rows = p.bronze(spark, sf)
     rows.write.option("sep", ";").option("header", True).csv(f"{root}/raw")
     schema = ", ".join(f"`{c}` string" for c in rows.columns)
     scanned = text.read_delimited(spark, f"{root}/raw", schema=schema)
@@ -350,6 +353,67 @@ def text_roundtrip(spark, sf):
     )
 
 
+@query(
+    "archive_scan",
+    ["dirty"],
+    """SELECT substr(split_part(_source_object, '@', 2), 1, 10) || '_' || split_part(_source_object, '@', 1) AS member,
+              split_part(_source_object, '@', 2) AS version_ts, entity, product, count(*) AS rows,
+              CAST(sum(length(value_text)) AS BIGINT) AS characters, max(date_text) AS last_date
+       FROM dirty GROUP BY ALL""",
+)
+def archive_scan(spark, sf):
+    """A1, A3, A4: archives of the text rows, listed, checked and read member by member."""
+    folder = _fresh_folder(spark, "archives")
+    rows = p.bronze(spark, sf)
+    st.write_files(rows, folder, "zip")
+    required = ["date_text", "entity", "product", "quantity_text", "value_text"]
+    members = archives.archive_members(archives.list_archives(spark, folder))
+    accepted = archives.file_contract(members, required).filter("contract = 'accepted'")
+    return archives.member_rows(accepted, required).groupBy("member", "version_ts", "entity", "product").agg(
+        F.count("*").alias("rows"),
+        F.sum(F.length("value_text")).alias("characters"),
+        F.max("date_text").alias("last_date"),
+    )
+
+
+@query(
+    "document_scan",
+    ["readings"],
+    """SELECT date_text, count(*) AS rows, count(value_text) AS present,
+              CAST(sum(CAST(value_text AS DECIMAL(18,2))) AS DOUBLE) AS total FROM readings GROUP BY date_text""",
+)
+def document_scan(spark, sf):
+    """A5: JSON documents of the readings, scanned back as text; a JSON null stays NULL."""
+    folder = _fresh_folder(spark, "documents")
+    st.write_files(st.readings(spark, sf).select("date_text", "value_text", "_source_object"), folder, "json")
+    return text.read_odata(spark, folder).groupBy("date_text").agg(
+        F.count("*").alias("rows"),
+        F.count("value_text").alias("present"),
+        F.sum(F.col("value_text").cast("decimal(18,2)")).cast("double").alias("total"),
+    )
+
+
+@query(
+    "stream_load",
+    ["readings"],
+    """SELECT date_text, coalesce(value_text, '') AS value_text, count(*) AS rows, '2026-01-01' AS loaded_on
+       FROM readings GROUP BY ALL""",
+)
+def stream_load(spark, sf):
+    """B6, B9 as a stream, drained twice: the second pass and a lost checkpoint add nothing."""
+    root = _fresh_folder(spark, "stream")
+    rows = st.readings(spark, sf).select("date_text", "value_text")
+    rows.write.option("sep", ";").option("header", True).csv(f"{root}/in")
+    for checkpoint in ("first", "first", "lost"):
+        stream = load.stream_delimited(spark, f"{root}/in", "date_text string, value_text string")
+        load.load_stream(
+            stream, rows.columns, f"{root}/out", f"{root}/{checkpoint}", "series-source", p.LOAD_ID, st.RUN_AT
+        ).awaitTermination()
+    return text.read_table(spark, f"{root}/out").groupBy("date_text", "value_text").agg(
+        F.count("*").alias("rows"), F.min("_ingestion_date").cast("string").alias("loaded_on")
+    )
+
+
 # ---- C. validation ----------------------------------------------------------
 
 
@@ -592,7 +656,7 @@ def run_report(spark, sf):
     counters = built.report.unpivot([], built.report.columns, "metric", "n").filter("n > 0")
     reasons = built.quarantine.groupBy("reason").agg(F.count("*").alias("rows"))
     report = reporting.run_report(p.LOAD_ID, st.RUN_AT, counters, {"quarantine_by_reason": reasons})
-    return report.select("section", F.size("items").cast("bigint").alias("items"))
+    return report.groupBy("section").agg(F.count("item").alias("items"))
 
 
 # ---- E. gold ----------------------------------------------------------------
@@ -1312,6 +1376,34 @@ def serve_last_publication(spark, sf):
     return serve.last_publication(control)
 
 
+@query(
+    "publish_set",
+    ["gold", "market_level1", "market_level2", "recommended"],
+    """SELECT 'gold' AS "table", count(*) AS rows, count(value_change_pct) AS measured FROM gold
+       UNION ALL SELECT 'product_correlations', count(*), count(spearman) FROM market_level1
+       UNION ALL SELECT 'key_correlations', count(*), count(spearman) FROM market_level2
+       UNION ALL SELECT 'recommendation', count(*), count(value) FROM recommended""",
+)
+def publish_set(spark, sf):
+    """J1: the published tables, read back through the pointer of the newest publication."""
+    root = _fresh_folder(spark, "published")
+    tables = {
+        "gold": p.gold(spark, sf),
+        "product_correlations": p.level_one(spark, sf),
+        "key_correlations": p.level_two(spark, sf),
+        "recommendation": _recommended(spark, sf),
+    }
+    measures = {"gold": "value_change_pct", "recommendation": "value"}
+    publish.publish(tables, root, p.LOAD_ID, st.RUN_AT)
+    parts = [
+        publish.read_published(spark, root, name).agg(
+            F.lit(name).alias("table"), F.count("*").alias("rows"), F.count(measures.get(name, "spearman")).alias("measured")
+        )
+        for name in tables
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query(
     "serve_recommendation",
     ["recommended"],

@@ -6,12 +6,21 @@ SQL for the oracle. All of them read their whole tables.
 
 from __future__ import annotations
 
+import datetime
+import io
+import json
+import zipfile
+
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.reference_data import ENTITY_CODES
 from panelwright.operators.silver import build_panel
 from panelwright.session import use_utc
+from panelwright.sources.archives import file_system
 
 # Product names the part types stand for; the fourth is out of scope.
 PRODUCT_NAMES = {
@@ -182,6 +191,40 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def write_files(rows: DataFrame, folder: str, kind: str) -> None:
+    """Write the rows as the external files the loaders read: one file per Spark partition.
+
+    ``zip``: an archive with one delimited member per ``_source_object``.
+    ``json``: a document with a ``value`` list. File names follow the partition
+    number, so a retried task overwrites its own file.
+    """
+    names = rows.columns
+
+    def write(batches):
+        number = TaskContext.get().partitionId()
+        frames = [b.to_pandas() for b in batches]
+        if frames:
+            data = pd.concat(frames)
+            filesystem, inner = file_system(folder)
+            filesystem.create_dir(inner, recursive=True)
+            with filesystem.open_output_stream(f"{inner}/part-{number:05d}.{kind}") as out:
+                if kind == "json":
+                    out.write(json.dumps({"value": data.astype(object).where(data.notna(), None).to_dict("records")}).encode())
+                else:
+                    buffer = io.BytesIO()
+                    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                        for name, part in data.groupby("_source_object"):
+                            text = part[[c for c in names if c != "_source_object"]].to_csv(sep=";", index=False)
+                            member, version = name.split("@")
+                            when = datetime.datetime.fromisoformat(version).timetuple()[:6]
+                            info = zipfile.ZipInfo(f"{version[:10]}_{member}", when)
+                            archive.writestr(info, text.encode("utf-8-sig"), zipfile.ZIP_DEFLATED)
+                    out.write(buffer.getvalue())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(frames)], pa.int64())})
+
+    rows.mapInArrow(write, "n bigint").write.format("noop").mode("overwrite").save()
+
+
 def _sql_case(column: str, mapping: dict[str, str]) -> str:
     arms = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
     return f"CASE {column} {arms} END"

@@ -43,11 +43,15 @@ def list_archives(spark: SparkSession, path: str, pattern: str = "*.zip") -> Dat
     )
 
 
+def file_system(path: str):
+    """File system and inner path of a local path or a URI, for use inside tasks."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def _open(path: str):
-    uri = path.replace("file:///", "/", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-    if uri.startswith("file:/"):
-        uri = "/" + uri.split(":", 1)[1].lstrip("/")
-    filesystem, inner = pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+    filesystem, inner = file_system(path)
     return filesystem.open_input_file(inner)
 
 
