@@ -6,6 +6,7 @@ is a single narrow projection inside codegen: no shuffle, no Python.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.parsing import INTEGER_PATTERN, to_day, to_integer, to_number
 
+log = logging.getLogger(__name__)
+
 BAD_ENTITY = "bad_entity"
 BAD_TYPE = "bad_type"
 DATE_OUT_OF_RANGE = "date_out_of_range"
@@ -118,6 +121,19 @@ def quarantine_table(
     )
 
 
+def store_quarantine(table: DataFrame, path: str, append: bool = False) -> bool:
+    """C9/C10. Replace the quarantine of a rebuilt table, or append to it.
+
+    A failed write is logged and reported, it never stops the job.
+    """
+    try:
+        table.write.mode("append" if append else "overwrite").parquet(path)
+        return True
+    except Exception:
+        log.exception("quarantine not written: %s", path)
+        return False
+
+
 def reason_counts(classified: DataFrame, reason: str = "reason") -> DataFrame:
     """C11. Rejected rows per reason.
 

@@ -31,6 +31,7 @@ from panelwright.operators import (
     silver,
     stats,
 )
+from panelwright.plans import loading
 from panelwright.plans import oracle as o
 from panelwright.plans import pipeline as p
 from panelwright.plans import standins as st
@@ -376,6 +377,33 @@ def archive_scan(spark, sf):
     )
 
 
+@query(
+    "archive_load",
+    ["dirty"],
+    """SELECT substr(split_part(_source_object, '@', 2), 1, 10) || '_' || split_part(_source_object, '@', 1) || '@' ||
+              split_part(_source_object, '@', 2) AS _source_object, entity, product, count(*) AS rows, 'incremental' AS mode
+       FROM dirty GROUP BY ALL""",
+)
+def archive_load(spark, sf):
+    """B1–B8: archives loaded twice into one table; the second load finds nothing new.
+
+    Every archive holds its own member of a file, so member names carry the archive.
+    """
+    folder = _fresh_folder(spark, "load")
+    st.write_files(p.bronze(spark, sf), f"{folder}/in", "zip", unique_members=True)
+    required = ["date_text", "entity", "product", "quantity_text", "value_text"]
+    year = F.regexp_extract("member", r"lines_(\d{4})", 1)
+    for load_id in ("load-1", "load-2"):
+        loading.load_archives(
+            spark, f"{folder}/in", f"{folder}/_bronze", f"{folder}/_control", required, year, "panel-source", load_id, st.RUN_AT
+        )
+    stored = text.read_table(spark, f"{folder}/_bronze")
+    name = F.regexp_replace("_source_object", r"^part\d+_", "")
+    return stored.groupBy(name.alias("_source_object"), "entity", "product", F.col("_ingestion_mode").alias("mode")).agg(
+        F.count("*").alias("rows")
+    )
+
+
 @query(
     "document_scan",
     ["readings"],

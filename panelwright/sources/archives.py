@@ -140,15 +140,19 @@ def header_columns(members: DataFrame) -> list[str]:
     return sorted(r["c"] for r in names.collect())  # schema, not data
 
 
-def member_rows(members: DataFrame, columns: Sequence[str], sep: str = ";") -> DataFrame:
+CARRIED = ("archive", "member", "version_ts", "crc32")
+
+
+def member_rows(
+    members: DataFrame, columns: Sequence[str], sep: str = ";", carried: Sequence[str] = CARRIED
+) -> DataFrame:
     """A1–A2. Rows of the given members, every field as text.
 
     Members are spread so that each is one task's work, then streamed batch by
     batch. Columns a member lacks are NULL; its other columns all survive.
-    ``archive``, ``member``, ``version_ts`` and ``crc32`` are carried along.
+    The ``carried`` columns of a member are repeated on its rows.
     """
-    carried = ["archive", "member", "version_ts", "crc32"]
-    columns = list(columns)
+    carried, columns = list(carried), list(columns)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in carried + columns])
     arrow = pa.schema([(c, pa.string()) for c in carried + columns])
 
@@ -180,5 +184,5 @@ def member_rows(members: DataFrame, columns: Sequence[str], sep: str = ";") -> D
             fields = [block.column(c) if c in names else pa.nulls(size, pa.string()) for c in columns]
             yield pa.RecordBatch.from_arrays(fixed + fields, schema=arrow)
 
-    chosen = members.select(*carried, "encoding", "header")
+    chosen = members.select(*dict.fromkeys([*carried, "archive", "member", "encoding", "header"]))
     return chosen.repartition("archive", "member").mapInArrow(read, schema)

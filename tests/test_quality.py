@@ -78,3 +78,14 @@ def test_null_stays_in_payload(spark):
     df = spark.createDataFrame([("a", None, "x")], "a string, b string, reason string")
     payload = q.quarantine_table(df, "L", "s", "a", "2026-01-01 00:00:00").first()["payload"]
     assert json.loads(payload) == {"a": "a", "b": None}
+
+
+def test_quarantine_is_replaced_appended_and_never_fails(spark, tmp_path):
+    table = spark.createDataFrame([("a",)], "reason string")
+    path = str(tmp_path / "q")
+    assert q.store_quarantine(table, path) and q.store_quarantine(table, path)
+    assert spark.read.parquet(path).count() == 1
+    assert q.store_quarantine(table, path, append=True)
+    assert spark.read.parquet(path).count() == 2
+    (tmp_path / "file").write_text("x")
+    assert not q.store_quarantine(table, str(tmp_path / "file" / "q"))

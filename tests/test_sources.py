@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.operators import ingest
+from panelwright.plans import loading
 from panelwright.sources import archives, text
 
 REQUIRED = ["data_base", "uf", "modalidade", "numero_de_operacoes", "carteira_ativa"]
@@ -79,57 +80,76 @@ def test_rows_keep_text_and_extra_columns(spark, folder):
     assert rows.filter("member = '202501.csv'").first()["porte"] is None
 
 
-CONTROL = "archive string, member string, version_ts string, crc32 string, source_object string, status string"
+CONTROL = loading.CONTROL_SCHEMA
 
 
-def load(spark, folder, target, control, lose_half=False):
-    """One load: change set, rows of changed versions, append what is missing, control moves on."""
-    members = accepted(spark, folder)
-    changed = ingest.changed_members(members, control).cache()
-    columns = sorted([*REQUIRED, "porte"])
-    rows = archives.member_rows(changed, columns).join(
-        changed.select("archive", "member", "source_object"), ["archive", "member"]
-    )
-    new = rows.select(*columns, F.col("source_object").alias("_source_object")).withColumn(
-        "_record_hash", ingest.record_hash(columns)
-    )
-    kept = [*columns, "_source_object", "_record_hash"]
-    if text.table_exists(spark, target):
-        new = ingest.missing_rows(new, text.read_table(spark, target), kept)
-    if lose_half:
-        new = new.filter("uf = 'SP'")
-    loaded = ingest.with_metadata(new, "s", F.col("_source_object"), "L", "full", "2026-10-01 00:00:00")
-    text.append_by_date(loaded, target)
-    status = ingest.IN_PROGRESS if lose_half else ingest.COMPLETE
-    moved = ingest.control_state(control, changed, status)
-    return spark.createDataFrame(moved.collect(), CONTROL)
-
-
-def test_idempotent_resumed_and_republished(spark, folder, tmp_path):
-    target = str(tmp_path / "_bronze" / "rows")
-    empty = spark.createDataFrame([], CONTROL)
-    control = load(spark, folder, target, empty, lose_half=True)
-    assert text.read_table(spark, target).count() == 2
-    assert ingest.changed_members(accepted(spark, folder), control).filter("resumes").count() == 3
-    control = load(spark, folder, target, control)
-    table = text.read_table(spark, target)
-    assert table.count() == 7  # both copies of the repeated row, as in a clean load
-    assert "_ingestion_date" in table.columns
-    again = load(spark, folder, target, control)
-    assert text.read_table(spark, target).count() == 7
-    assert {r["status"] for r in again.collect()} == {"complete"}
-
-    write_zip(folder + "/2025.zip", [("202501.csv", (2026, 10, 1, 0, 0, 0), csv_bytes(["2025-01-31;AP;X;5;1,00"], ";".join(REQUIRED)))])
-    load(spark, folder, target, again)
-    stored = text.read_table(spark, target)
+def load(spark, folder, root):
+    return loading.load_archives(
+        spark, folder, f"{root}/_bronze/rows", f"{root}/_control", REQUIRED, F.substring("member", 1, 4), "s", "L", "2026-10-01 00:00:00"
+    ).count()
+
+
+def states(spark, root):
+    control = loading.read_control(spark, f"{root}/_control", f"{root}/_bronze/rows", F.substring("member", 1, 4))
+    return {r["member"]: r["status"] for r in control.collect()}
+
+
+def test_idempotent_and_republished(spark, folder, tmp_path):
+    root = str(tmp_path / "out")
+    assert load(spark, folder, root) == 4
+    table = text.read_table(spark, f"{root}/_bronze/rows")
+    assert table.count() == 7 and "_ingestion_date" in table.columns
+    assert states(spark, root) == {"202401.csv": "complete", "202402.csv": "complete", "202403.csv": "rejected", "202501.csv": "complete"}
+    assert load(spark, folder, root) == 0
+    assert text.read_table(spark, f"{root}/_bronze/rows").count() == 7
+
+    newer = (2026, 10, 1, 0, 0, 0)
+    write_zip(folder + "/2025.zip", [("202501.csv", newer, csv_bytes(["2025-01-31;AP;X;5;1,00"], ";".join(REQUIRED)))])
+    assert load(spark, folder, root) == 1
+    stored = text.read_table(spark, f"{root}/_bronze/rows")
     assert stored.count() == 8
     assert stored.filter("_source_object LIKE '202501.csv@%'").select("_source_object").distinct().count() == 2
 
+    # the control log is lost: states come back from the stored rows, nothing is loaded twice
     rebuilt = ingest.rebuild_control(stored, F.substring("member", 1, 4))
     newest = rebuilt.filter("member = '202501.csv'").first()
     assert newest["version_ts"] == "2026-10-01T00:00:00" and newest["crc32"] is None and newest["archive"] == "2025"
-    assert ingest.changed_members(accepted(spark, folder), rebuilt).count() == 0
-    assert ingest.fill_missing_crc(rebuilt, accepted(spark, folder)).filter("crc32 IS NULL").count() == 0
+    other = lambda: loading.load_archives(
+        spark, folder, f"{root}/_bronze/rows", f"{root}/_control2", REQUIRED, F.substring("member", 1, 4), "s", "L", "2026-10-01 00:00:00"
+    )
+    assert other().filter("contract = 'accepted'").count() == 0
+    assert text.read_table(spark, f"{root}/_bronze/rows").count() == 8
+    assert text.read_table(spark, f"{root}/_control2").filter("crc32 IS NULL").count() == 0
+
+
+def test_interrupted_version_is_completed_exactly(spark, folder, tmp_path):
+    root = str(tmp_path / "out")
+    load(spark, folder, root)
+    full = text.read_table(spark, f"{root}/_bronze/rows")
+    half, cut = f"{root}/half", full.filter("uf = 'SP'")
+    text.append_by_date(cut, half)
+    control = loading.read_control(spark, f"{root}/_control", half, F.lit("x"))
+    loading.log_control(control.filter("status = 'complete'"), f"{root}/_control3", ingest.IN_PROGRESS)
+    changes = loading.load_archives(
+        spark, folder, half, f"{root}/_control3", REQUIRED, F.substring("member", 1, 4), "s", "L", "2026-10-01 00:00:00"
+    )
+    assert changes.filter("resumes").count() == 3
+    columns = ["_source_object", "_record_hash"]
+    got = text.read_table(spark, half).select(*columns)
+    assert got.count() == 7  # both copies of the repeated row, as in a clean load
+    assert got.exceptAll(full.select(*columns)).count() == 0
+
+
+def test_series_document_loads_once(spark, tmp_path):
+    def run():
+        loading.load_series(spark, str(tmp_path / "d.json"), str(tmp_path / "_b"), "VALDATA", "url", "s", "L", "2026-10-01 00:00:00")
+        return text.read_table(spark, str(tmp_path / "_b"))
+
+    (tmp_path / "d.json").write_text(json.dumps({"value": ITEMS[:2]}))
+    assert run().count() == 2 and run().count() == 2
+    (tmp_path / "d.json").write_text(json.dumps({"value": ITEMS}))
+    modes = {r["_ingestion_mode"]: r["count"] for r in run().groupBy("_ingestion_mode").count().collect()}
+    assert modes == {"full": 2, "incremental": 1}
 
 
 def test_same_time_other_content_gets_its_own_version(spark):
