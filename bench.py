@@ -27,7 +27,7 @@ HEADLINE = [
     "bronze_audit",
     "version_changeset",
     "text_roundtrip",
-    "archive_scan",
+    "archive_load",
     "check_masks",
     "scope_funnel",
     "silver_build",

@@ -3,8 +3,8 @@
 A plain ``over (partition by family order by value)`` puts a family in one
 task; a family may be the whole table. Here equal values are first merged by a
 partial aggregation, the rest is cut into value ranges from a quantile sketch,
-and only the per-range totals (at most ``RANGES`` rows per family) are run up
-in a family-wide window.
+and only the per-range totals (at most ``MAX_RANGES`` rows per family) are run
+up in a family-wide window.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from panelwright.session import cut_lineage
 
-RANGES = 256
+MIN_RANGES, MAX_RANGES = 8, 1024
+ROWS_PER_RANGE = 1_000_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -25,19 +26,22 @@ def running_sums(
     families: Sequence[str],
     order: str,
     sums: dict[str, Column],
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """One row per (family, distinct ``order`` value).
 
     For every entry ``name -> expression`` in ``sums`` the result has ``name``
     (its sum at this value), ``name_below`` (its sum over all smaller values)
     and ``name_total`` (its sum over the family). Rows whose order value is
-    NULL must be filtered by the caller.
+    NULL must be filtered by the caller. The number of ranges follows the
+    number of distinct values, so a range stays one task's work.
     """
     families = list(families)
     # Every later step reads these rows again; a written copy keeps them the
     # same each time, whatever is recomputed, and the input is read once.
     distinct = cut_lineage(df.groupBy(*families, order).agg(*[F.sum(e).alias(n) for n, e in sums.items()]))
+    if ranges is None:
+        ranges = max(MIN_RANGES, min(MAX_RANGES, distinct.count() // ROWS_PER_RANGE))
     quantiles = [i / ranges for i in range(1, ranges)]
     bounds = distinct.groupBy(*families).agg(
         F.array_distinct(F.percentile_approx(order, quantiles, SKETCH_ACCURACY)).alias("_bounds")

@@ -7,9 +7,9 @@ the needed ones in front of a body. Nothing here is used by the Spark plans.
 from __future__ import annotations
 
 from panelwright.functions.labels import ACCENTED, MONTH_NAMES, PLAIN
-from panelwright.functions.reference_data import ENTITIES, ENTITY_CODES, GENERAL_LABEL, PRODUCT_PREFIX, PRODUCTS
+from panelwright.functions.reference_data import ENTITIES, ENTITY_CODES, PRODUCT_PREFIX, PRODUCTS
 from panelwright.plans import standins as st
-from panelwright.plans.pipeline import FOLD_YEARS, LOAD_ID, SCOPE_END, SCOPE_START, SPLIT
+from panelwright.plans.pipeline import SCOPE_END, SCOPE_START, SPLIT
 
 RELATIONS: dict[str, tuple[list[str], str]] = {
     name: (st.STANDIN_NEEDS.get(name, []), body) for name, body in st.STANDIN_SQL.items()

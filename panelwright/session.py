@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable
 
@@ -88,7 +87,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
-
-
-def env_cpus(default: str = "8") -> str:
-    return os.environ.get("BENCH_CPUS", default)
