@@ -1693,7 +1693,7 @@ _SIGNED = "CASE WHEN v > 0 THEN '+' WHEN v < 0 THEN '−' ELSE '' END || " + o.n
     ["gold"],
     f"""SELECT month, entity, product, {o.month_label_sql('month')} AS month_label, {o.number_text_sql('rate', 2)} AS rate_text,
               CASE WHEN value_change_pct IS NULL THEN '—' ELSE {_SIGNED} END AS change_text,
-              CASE WHEN value_change_pct IS NULL THEN '—' ELSE {o.number_text_sql('v', 2)} || '%' END AS percent_text,
+              CASE WHEN value_change_pct IS NULL THEN '—' ELSE {o.number_text_sql('value_change_pct / 100 * 100', 2)} || '%' END AS percent_text,
               CASE WHEN value IS NULL THEN '—' WHEN value = 0 THEN 'R$ 0'
                    WHEN value >= 1e12 THEN 'R$ ' || {o.number_text_sql('value / 1e12', 2)} || ' tri'
                    WHEN value >= 1e9 THEN 'R$ ' || {o.number_text_sql('value / 1e9', 1)} || ' bi'
@@ -1703,7 +1703,6 @@ _SIGNED = "CASE WHEN v > 0 THEN '+' WHEN v < 0 THEN '−' ELSE '' END || " + o.n
 )
 def format_labels(spark, sf):
     gold = p.gold(spark, sf)
-    change = F.round("value_change_pct", 2)
     return gold.select(
         "month",
         "entity",
@@ -1711,6 +1710,6 @@ def format_labels(spark, sf):
         lb.month_label(F.col("month")).alias("month_label"),
         lb.number_text(F.col("rate"), 2).alias("rate_text"),
         lb.signed_text(F.col("value_change_pct"), 2).alias("change_text"),
-        lb.percent_text(change / 100, 2).alias("percent_text"),
+        lb.percent_text(F.col("value_change_pct") / 100, 2).alias("percent_text"),
         lb.currency_text(F.col("value")).alias("value_text"),
     )
