@@ -6,22 +6,59 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import exact_dedup
+from panelwright.llm import exact_dedup, secret_scan
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
 }
 
+def _spans(kind: int, pattern: str, value: str) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, source, {kind} AS kind, part[i] AS match, {value} AS value,
+         list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(part[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT doc_id, source, part, gap, unnest(range(1, len(part) + 1)) AS i
+        FROM (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '{pattern}') AS part,
+                     regexp_split_to_array(coalesce(text, ''), '{pattern}') AS gap FROM documents))"""
+
+
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
 ORACLE: dict[str, str] = {
+    "op4_secret_scan": f"""
+WITH found AS ({_spans(0, _ASSIGN, "regexp_extract(part[i], '" + _ASSIGN.replace("'", "''") + "', 2)")}
+  UNION ALL {_spans(1, "AKIA[A-Z0-9]{16,}", "part[i]")}
+  UNION ALL {_spans(2, "[0-9a-f]{24,}", "part[i]")}
+  UNION ALL {_spans(3, "[A-Za-z0-9+/_-]{32,}", "part[i]")}),
+spans AS (SELECT *, start + length(match) AS stop FROM found
+  WHERE (kind <> 0 OR length(value) >= 6)
+    AND (kind <> 3 OR regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]'))),
+held AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM spans GROUP BY value),
+judged AS (SELECT s.*, owners >= 5 AS shared,
+    owners < 5 AND length(value) >= 16 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+      AND len(list_distinct(string_split(value, ''))) >= 8 AS live
+  FROM spans s JOIN held USING (value)),
+kept AS (SELECT *, ['assign', 'access', 'hex', 'generic'][kind + 1] || ':' || start || ':' || stop AS label
+  FROM judged WHERE kind <> 3 OR live)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(label, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+  coalesce(string_agg(label, ',' ORDER BY start, kind), '') AS spans,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (shared) AS n_shared
+FROM documents d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id""",
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
