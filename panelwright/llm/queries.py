@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import exact_dedup, secret_scan
+from panelwright.llm import exact_dedup, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf, "documents"))
 
@@ -22,6 +26,7 @@ def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
 }
