@@ -23,11 +23,13 @@ BLOCK_BYTES = 4096
 def _named(ws: Workspace, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Sorted integer names of the values of ``keys`` that occur twice or more.
 
-    The names are written before they are used: a task that runs again reads them and can't name anew.
+    The order is by hash, then by value: even ranges, and a short key for the samples that set them. Names
+    are written before they are used, so a task that runs again reads them and can't name anew.
     """
     repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = repeated.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    repeated = repeated.withColumn("place", F.xxhash64(*keys))
+    ordered = repeated.repartitionByRange(parts, "place").sortWithinPartitions("place", *keys).drop("place")
     return ws.table(ordered.withColumn("name", F.monotonically_increasing_id()))
 
 
