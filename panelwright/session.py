@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,19 @@ def build_session(app: str = "panelwright", cpus: str | int = "*", **conf: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, for executors that don't have it installed."""
+    context = spark.sparkContext
+    if any(name.endswith("/panelwright.zip") for name in context.listFiles):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="panelwright-package-")) / "panelwright.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, f"{root.name}/{source.relative_to(root)}")
+    context.addPyFile(str(target))
+
+
 def use_utc(spark: SparkSession) -> SparkSession:
     """Pin the session zone: month arithmetic must not depend on the machine."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
