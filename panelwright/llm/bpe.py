@@ -29,6 +29,8 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.session import ship_package
+
 LEXICON_WORDS = 1 << 16
 REMEMBERED = 300_000
 SLICE_CHARS = 2_000_000
@@ -294,6 +296,7 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iter
 
 def compile_lexicon(df: DataFrame, text_col: str, tokenizer_json: str, n_words: int = LEXICON_WORDS) -> bytes:
     """Counts the words of every text and compiles the ``n_words`` most frequent (ties by spelling)."""
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
