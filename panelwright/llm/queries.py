@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import bpe, exact_dedup, quality_rules, secret_scan
+from panelwright.llm import bpe, exact_dedup, jaccard_join, quality_rules, secret_scan
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -32,11 +32,16 @@ def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 def _spans(kind: int, pattern: str, value: str) -> str:
