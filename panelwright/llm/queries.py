@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import bpe, exact_dedup, jaccard_join, packing, quality_rules, secret_scan
+from panelwright.llm import bpe, exact_dedup, jaccard_join, packing, quality_rules, repeats, secret_scan
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,6 +20,10 @@ def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digest_texts(table(spark, sf, "documents"), TOKENIZER)
 
 
+def op2_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf, "documents")).drop("kept_text")
+
+
 def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -42,6 +46,7 @@ def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_repeats": op2_repeats,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,

@@ -44,7 +44,7 @@ class Workspace:
     def table(self, df: DataFrame) -> DataFrame:
         self._tables += 1
         path = f"{self.root}/{self._tables}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out
