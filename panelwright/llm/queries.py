@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import bpe, exact_dedup, jaccard_join, packing, quality_rules, repeats, secret_scan
+from panelwright.llm import bpe, exact_dedup, jaccard_join, language_id, packing, quality_rules, repeats, secret_scan
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -36,6 +36,10 @@ def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id.identify(table(spark, sf, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), TOKENIZER)
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
 }
