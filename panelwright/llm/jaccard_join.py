@@ -1,18 +1,21 @@
 """Documents linked by the Jaccard similarity of their word n-grams, joined on rare-first prefixes.
 
-Order. Every n-gram is counted, as a 64-bit hash, into a fixed number of counters over the whole corpus;
-n-grams are ordered by their counter, then by hash. In that order only the first
-``n - ceil(t n) + 1`` n-grams of a document need to be looked at: two documents that link share one there.
-
-Join. These prefixes are shuffled by n-gram and sorted by document size. N-grams that stand alone go.
-A first pass pairs each document with the smallest one of its n-gram and with the one before it, so
-groups of near copies become connected by about as many pairs as they have members. Only n-grams whose
-documents are still in different components then give the pairs between those components, so no link
-between different texts is lost and no group is expanded into all its pairs.
-
-Filters. Length: the smaller has at least ``t`` of the larger. Position: what is left after the shared
-n-gram must suffice. Suffix: n-grams of both counted by hash part bound the overlap from above. Each pair
-that is left is verified once, on both texts. Identical sets are one node from the start.
+Two documents of threshold similarity share many n-grams among the first ones of any fixed order, so two
+orders are used in turn. By hash, the first ``n - ceil(t n) + EXTRA n`` n-grams of a document (its sample)
+are shuffled, and each gets its exact document frequency. Then the sample is put in rare-first order, and
+``prefix_size`` of it is enough to meet every partner. N-grams that occur once come first and join with
+nothing: a document that isn't mostly repeated elsewhere leaves here.
+
+Join. The prefixes are joined by n-gram. In a first pass each document is paired with the smallest document
+of one of its n-grams and with one that comes just before it, so a group of near copies is connected by
+about two pairs for each member. Only n-grams whose documents are still in different components then give
+the pairs between those components, so no link between different texts is lost and no group is expanded
+into all its pairs.
+
+Filters. Length: the smaller has at least ``t`` of the larger. Position and suffix: the repeated n-grams
+before and after the shared one bound what both samples share, which must reach ``least_shared``; a second
+suffix filter counts n-grams by part of their hash. Each pair that is left is verified once, on both texts.
+Identical sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm import grams
@@ -31,7 +34,8 @@ from panelwright.llm.store import Workspace
 from panelwright.session import ship_package
 
 WORDS, PERCENT = 5, 75
-COUNTERS = 1 << 18
+# Percent of a set's size by which the sample exceeds a prefix, the cut of document frequencies, pairing rounds.
+EXTRA, FREQUENT, ROUNDS = 12, 1_000, 2
 REMEMBERED = 200_000
 SUFFIX_PARTS = 256
 
@@ -51,66 +55,69 @@ def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield first + i, np.zeros(0, np.uint64)
 
 
-def counter_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
-
-
 def suffix_counts(h: np.ndarray) -> np.ndarray:
     return np.bincount((h & np.uint64(SUFFIX_PARTS - 1)).astype(np.int64), minlength=SUFFIX_PARTS)
 
 
+def least_partner(n, percent: int):
+    return -(-percent * n // 100)
+
+
+def extra(n: int) -> int:
+    return max(1, EXTRA * n // 100)
+
+
+def sample_size(n: int, percent: int) -> int:
+    """So many n-grams, by hash: two linked documents share at least ``extra`` of the smaller one's size there."""
+    return n - least_partner(n, percent) + extra(n)
+
+
+def _sample_size(n: Column, percent: int) -> Column:
+    return n - F.ceil(percent * n / 100) + F.greatest(F.lit(1), F.floor(EXTRA * n / 100))
+
+
+def _prefix_size(n: Column, percent: int) -> Column:
+    """So many of the sample, rarest first: linked documents share one of them, whatever the partner's size."""
+    partner = F.ceil(percent * n / 100)
+    return _sample_size(n, percent) - F.greatest(F.lit(1), F.floor(EXTRA * partner / 100)) + 1
+
+
+def _possible(a: str, b: str, percent: int) -> Column:
+    """Can two documents that share an n-gram at these places of their repeated ones still be linked?"""
+    n_a, n_b, r_a, r_b, pos_a, pos_b = (F.col(f"{x}.{c}") for c in ("n", "repeated", "pos") for x in (a, b))
+    overlap = F.ceil(percent * (n_a + n_b) / (100 + percent))
+    least_shared = overlap - F.greatest(n_a - _sample_size(n_a, percent), n_b - _sample_size(n_b, percent))
+    most = F.least(pos_a, pos_b) + F.least(r_a - pos_a, r_b - pos_b)
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (most >= least_shared)
+
+
 def _facts(k: int):
-    """Size and identity of each document's set, and this task's counts of n-grams by counter."""
+    """Size and identity of each document's set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
-        kind = None
         for batch in batches:
-            kind = batch.schema.field("id").type
             sizes, keys = [], []
             for _, h in sets_of(batch.column("text"), k):
                 sizes.append(len(h))
                 keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-                if len(h):
-                    np.add.at(counts, counter_of(h), 1) if len(h) < 20_000 else counts.__iadd__(np.bincount(counter_of(h), minlength=COUNTERS))
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())],
-                ["id", "n", "key", "counter", "times"],
-            )
-        if kind is not None:
-            used = np.flatnonzero(counts)
-            n = len(used)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(used, pa.int32()), pa.array(counts[used])],
-                ["id", "n", "key", "counter", "times"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], ["id", "n", "key"])
 
     return run
 
 
-def _prefixes(k: int, percent: int, shared):
-    """The prefix rows of each document; a set that this task has just seen adds none."""
+def _samples(k: int, percent: int):
+    """The sample of each document; a set that this task has just seen adds none."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(shared.value, np.int64)
         seen: set[bytes] = set()
         for batch in batches:
-            ids, tokens, rows, sizes, places = batch.column("id"), [], [], [], []
-            held = 0
+            ids, tokens, rows = batch.column("id"), [], []
 
             def out() -> pa.RecordBatch:
                 row = np.repeat(rows, [len(t) for t in tokens])
-                return pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(tokens).view(np.int64)),
-                        ids.take(pa.array(row)),
-                        pa.array(np.repeat(sizes, [len(t) for t in tokens]).astype(np.int32)),
-                        pa.array(np.concatenate(places).astype(np.int32)),
-                    ],
-                    ["token", "id", "n", "pos"],
-                )
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), ids.take(pa.array(row))], ["token", "id"])
 
+            held = 0
             for i, h in sets_of(batch.column("text"), k):
                 if not len(h):
                     continue
@@ -120,76 +127,50 @@ def _prefixes(k: int, percent: int, shared):
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(key)
-                p = len(h) + (-percent * len(h) // 100) + 1
-                order = np.lexsort((h, counts[counter_of(h)]))[:p]
-                tokens.append(h[order])
+                tokens.append(h[: sample_size(len(h), percent)])
                 rows.append(i)
-                sizes.append(len(h))
-                places.append(np.arange(p))
-                held += p
+                held += len(tokens[-1])
                 if held > 200_000:
                     yield out()
-                    tokens, rows, sizes, places, held = [], [], [], [], 0
+                    tokens, rows, held = [], [], 0
             if tokens:
                 yield out()
 
     return run
 
 
-def _possible(n_a, pos_a, n_b, pos_b, percent: int):
-    """Length and position: can two sets that share an n-gram at these places still reach the threshold?"""
-    most = np.minimum(pos_a, pos_b) + 1 + np.minimum(n_a - pos_a, n_b - pos_b) - 1
-    return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (100 * most >= percent * (n_a + n_b - most))
-
-
-def _postings(percent: int):
-    """From rows sorted by (token, n, id): those of shared tokens, with the first and the previous id if possible."""
-    names = ["token", "id", "n", "pos"]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = None  # token, id, n, pos of the first row of the group that goes on, and its last row
-        held = None
-        kind = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kind = batch.schema.field("id").type
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            if held is not None:
-                cols = [np.concatenate([[h], c]) for h, c in zip(held, cols, strict=True)]
-            token = cols[0]
-            m = len(token)
-            begins = np.ones(m, bool)
-            begins[1:] = token[1:] != token[:-1]
-            prev = [np.concatenate([c[:1], c[:-1]]) for c in cols]
-            first_at = np.maximum.accumulate(np.where(begins, np.arange(m), 0))
-            first = [c[first_at] for c in cols]
-            if held is None and lead is not None and token[0] == lead[0][0]:
-                upto = int(np.argmax(begins[1:])) + 1 if begins[1:].any() else m
-                begins[0] = False
-                for c, v in zip(first, lead[0], strict=True):
-                    c[:upto] = v
-                for c, v in zip(prev, lead[1], strict=True):
-                    c[0] = v
-            shared = ~begins
-            shared[:-1] |= token[1:] == token[:-1]
-            if begins[-1]:
-                held, lead, m = [c[-1] for c in cols], None, m - 1
-            else:
-                held, lead = None, ([c[-1] for c in first], [c[-1] for c in cols])
-            keep = np.flatnonzero(shared[:m])
-            if not keep.size:
-                continue
-            cols, first, prev = ([c[keep] for c in x] for x in (cols, first, prev))
-            inner = ~begins[keep]
-            to_first = inner & _possible(cols[2], cols[3], first[2], first[3], percent)
-            to_prev = inner & (prev[1] != first[1]) & _possible(cols[2], cols[3], prev[2], prev[3], percent)
-            yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, cols), pa.array(first[1], kind, mask=~to_first), pa.array(prev[1], kind, mask=~to_prev)],
-                [*names, "first", "prev"],
-            )
+def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by token: those of tokens with several rows, with that number, cut at ``FREQUENT``.
 
-    return run
+    Of the group at the end of a batch no more than ``FREQUENT`` rows are held back.
+    """
+    token, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    frequent = None  # the token whose rows have been given out already, as it reached the cut
+
+    def rated(t: np.ndarray, i: np.ndarray, all_of: np.ndarray) -> pa.RecordBatch:
+        keep = all_of > 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array(t[keep]), pa.array(i[keep]), pa.array(np.minimum(all_of[keep], FREQUENT).astype(np.int32))], ["token", "id", "frequency"]
+        )
+
+    for batch in batches:
+        token = np.concatenate([token, batch.column("token").to_numpy()])
+        ids = np.concatenate([ids, batch.column("id").to_numpy()])
+        if not len(token):
+            continue
+        begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        sizes = np.diff(np.append(begins, len(token)))
+        if frequent is not None and token[0] == frequent:
+            sizes[0] = FREQUENT
+        all_of = np.repeat(sizes, np.diff(np.append(begins, len(token))))
+        if sizes[-1] >= FREQUENT:
+            frequent, cut = token[-1], len(token)
+        else:
+            frequent, cut = None, begins[-1]
+        yield rated(token[:cut], ids[:cut], all_of[:cut])
+        token, ids = token[cut:], ids[cut:]
+    if len(token):
+        yield rated(token, ids, np.full(len(token), len(token)))
 
 
 def _verify(k: int, percent: int):
@@ -223,64 +204,72 @@ def linked_components(
     ship_package(spark)
     ws = Workspace(spark, "jaccard")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    facts = ws.table(texts.mapInArrow(_facts(k), "id long, n long, key binary, counter int, times long"))
-    docs = facts.where("counter is null").select("id", "n", "key")
-    counted = facts.where("counter is not null").groupBy("counter").agg(F.sum("times").alias("times")).toArrow()
-    counts = np.zeros(COUNTERS, np.int64)  # at most COUNTERS rows come here
-    counts[counted["counter"].to_numpy()] = counted["times"].to_numpy()
-    shared = spark.sparkContext.broadcast(counts.tobytes())
-    known = docs.where("key is not null and id is not null")
+    facts = ws.table(texts.mapInArrow(_facts(k), "id long, n long, key binary"))
+    known = facts.where("key is not null and id is not null")
     reps = known.groupBy("key").agg(F.min("id").alias("rep"))
-    classes = ws.table(known.join(reps, "key").select("id", "rep").distinct())
+    classes = ws.table(known.join(reps, "key").select("id", "rep", "n").distinct())
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prefixes = texts.where("id is not null").mapInArrow(_prefixes(k, percent, shared), "token long, id long, n int, pos int")
+    repeated = (
+        texts.where("id is not null")
+        .mapInArrow(_samples(k, percent), "token long, id long")
+        .repartition(parts, "token")
+        .sortWithinPartitions("token")
+        .mapInArrow(_repeated, "token long, id long, frequency int")
+    )
+    by_doc = repeated.join(classes, "id").groupBy("rep", "n").agg(F.sort_array(F.collect_set(F.struct("frequency", "token"))).alias("list"))
+    n, held_back = F.col("n"), F.size("list")
+    wanted = _prefix_size(n, percent) - (_sample_size(n, percent) - held_back)
+    prefix = F.slice("list", F.lit(1), F.least(wanted, held_back).cast("int"))
     postings = ws.table(
-        prefixes.repartition(parts, "token")
-        .sortWithinPartitions("token", "n", "id")
-        .mapInArrow(_postings(percent), "token long, id long, n int, pos int, first long, prev long")
+        by_doc.where(wanted > 0)
+        .select("rep", "n", held_back.alias("repeated"), F.posexplode(prefix).alias("pos", "gram"))
+        .select("gram.token", "rep", "n", "repeated", "pos")
     )
-    held = ws.table(texts.join(postings.select("id").distinct(), "id", "left_semi"))
-
-    def by_rep(pairs: DataFrame) -> DataFrame:
-        a = classes.select(F.col("id").alias("a"), F.col("rep").alias("rep_a"))
-        b = classes.select(F.col("id").alias("b"), F.col("rep").alias("rep_b"))
-        named = pairs.distinct().join(a, "a").join(b, "b").where("rep_a <> rep_b")
-        pair = named.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"), "a", "b")
-        return pair.groupBy("rep_a", "rep_b").agg(F.min(F.struct("a", "b")).alias("p")).select("rep_a", "rep_b", "p.a", "p.b")
+    held = ws.table(texts.join(postings.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = held.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
         b = held.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        full = pairs.select("a", "b").join(a, "a").join(b, "b")
-        return full.mapInArrow(_verify(k, percent), "a long, b long")
-
-    same = classes.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    near = postings.where("first is not null").select(F.col("first").alias("a"), F.col("id").alias("b")).union(
-        postings.where("prev is not null").select(F.col("prev").alias("a"), F.col("id").alias("b"))
-    )
-    tried = ws.table(by_rep(near))
-    links = ws.table(verified(tried).union(same).distinct())
-    joined = components(ws, links)
-
-    # What is left: n-grams whose documents lie in several components.
-    at = postings.select("token", "id", "n", "pos").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    at = ws.table(at.withColumn("component", F.coalesce("component", "id")))
-    split = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_rows = at.join(split.select("token"), "token", "left_semi")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    most = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    near_enough = (
-        (F.col("x.component") < F.col("y.component"))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
-    )
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & near_enough).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    rest = ws.table(by_rep(pairs).join(tried.select("rep_a", "rep_b"), ["rep_a", "rep_b"], "left_anti"))
-    more = ws.table(verified(rest))
+        return ws.table(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(k, percent), "a long, b long"))
+
+    def pair(x: str, y: str) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    links = classes.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    joined, tried = components(ws, links), None
+
+    def placed() -> DataFrame:
+        """Prefix rows of n-grams whose documents lie in several components."""
+        at = postings.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+        at = ws.table(at.withColumn("component", F.coalesce("component", "rep")))
+        split = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        return at.join(split.select("token"), "token", "left_semi")
+
+    in_token = Window.partitionBy("token").orderBy("n", "rep")
+    row = F.struct("rep", "n", "repeated", "pos", "component")
+    for _ in range(ROUNDS):
+        near = placed().select(row.alias("y"), F.first(row).over(in_token).alias("first"), F.lag(row).over(in_token).alias("prev"))
+        found = []
+        for other, pick in (("first", F.min), ("prev", F.max)):
+            fit = near.where(F.col(f"{other}.component") != F.col("y.component")).where(_possible(other, "y", percent))
+            found.append(fit.groupBy("y.rep").agg(pick(f"{other}.rep").alias("other")))
+        fresh = found[0].union(found[1]).select(*pair("rep", "other")).distinct()
+        fresh = ws.table(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"))
+        tried = fresh if tried is None else tried.union(fresh)
+        more = verified(fresh)
+        if more.isEmpty():
+            break
+        links = ws.table(links.union(more))
+        joined = components(ws, links)
+
+    x, y = placed(), placed()
+    cross = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & _possible("x", "y", percent)
+    left = x.alias("x").join(y.alias("y"), cross).select(*pair("x.rep", "y.rep")).distinct()
+    more = verified(ws.table(left.join(tried, ["a", "b"], "left_anti")))
     if not more.isEmpty():
         joined = components(ws, ws.table(links.union(more)))
-    found = docs.join(joined.withColumnRenamed("node", "id"), "id", "left")
+    found = facts.select("id", "n").join(joined.withColumnRenamed("node", "id"), "id", "left")
     return found.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
