@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from panelwright.session import ship_package
 
 LEXICON_WORDS = 1 << 16
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 SLICE_CHARS = 2_000_000
 # Texts of these characters need no normalisation beyond lower case; others go through the library's normaliser.
 PLAIN = re.compile("[!-~¡-ʯ]*")
@@ -174,14 +174,23 @@ class Codec:
         for token, i in [*vocab.items(), *((t.decode(), i) for t, i in self._special.items())]:
             self.tokens[i] = token
         self._lexicon = Transducer.mapped(lexicon) if lexicon else None
+        self._marks = {m.encode() for m in ".,;:!?" if self._split(f"ab{m}") == ["ab", m]}
+        self._byte_ids = np.asarray([self._inner, self._final], np.int64)
+        self._joined = np.asarray([*self._merged, 0], np.int64)
+        self._fill_pairs()
         self._words: dict[bytes, bytes] = {}
         self._chunks: dict[bytes, bytes] = {}
 
     def words(self, chunk: bytes) -> list[bytes]:
         """Normalised words of a run without ASCII white space and without special tokens."""
+        if chunk.isalpha():
+            return [chunk.lower()]
+        if chunk[-1:] in self._marks and chunk[:-1].isalpha():
+            return [chunk[:-1].lower(), chunk[-1:]]
         text = chunk.decode()
         if PLAIN.fullmatch(text):
-            return [w.encode() for w in self._split(text.lower())]
+            text = text.lower()
+            return [text.encode()] if text.isalpha() else [w.encode() for w in self._split(text)]
         text = self._library.normalizer.normalize_str(text)
         return [bytes(map(self._byte_of.__getitem__, w)) for w, _ in self._library.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -226,6 +235,93 @@ class Codec:
                 heapq.heappush(queue, (r, before[i]))
         return [i for i in ids if i >= 0]
 
+    def _fill_pairs(self) -> None:
+        """The pairs once more, as a sparse hash table that numpy can search for many pairs at once."""
+        size = 1 << max(10, 3 + len(self._rank).bit_length())
+        self._pair_keys, self._pair_ranks = np.full(size, -1, np.int64), np.full(size, len(self._merged), np.int64)
+        keys, ranks = np.fromiter(self._rank.keys(), np.int64), np.fromiter(self._rank.values(), np.int64)
+        at = self._pair_slot(keys)
+        while keys.size:
+            free = self._pair_keys[at] < 0
+            self._pair_keys[at[free]] = keys[free]
+            mine = self._pair_keys[at] == keys
+            self._pair_ranks[at[mine]] = ranks[mine]
+            keys, ranks, at = keys[~mine], ranks[~mine], (at[~mine] + 1) % size
+
+    def _pair_slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(65 - len(self._pair_keys).bit_length())).astype(np.int64)
+
+    def _pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; the number of merges if it has none."""
+        keys = left << 20 | right
+        at = self._pair_slot(keys)
+        out = self._pair_ranks[at]
+        found = self._pair_keys[at]
+        odd = np.flatnonzero((found != keys) & (found >= 0))
+        out[found < 0] = len(self._merged)
+        while odd.size:
+            at[odd] = (at[odd] + 1) % len(self._pair_keys)
+            found = self._pair_keys[at[odd]]
+            out[odd] = np.where(found == keys[odd], self._pair_ranks[at[odd]], len(self._merged))
+            odd = odd[(found != keys[odd]) & (found >= 0)]
+        return out
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """As :meth:`merge` for each word; words of like length advance together, one join a round."""
+        out: list[bytes] = [b""] * len(words)
+        by_width: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            by_width.setdefault(-(-len(word) // 8), []).append(i)
+        for eighths, members in by_width.items():
+            if eighths * 8 > HEAP_FROM:
+                for i in members:
+                    out[i] = self.merge(words[i])
+                continue
+            for lo in range(0, len(members), 20_000):
+                part = members[lo : lo + 20_000]
+                for i, ids in zip(part, self._merge_block([words[i] for i in part], 8 * eighths), strict=True):
+                    out[i] = ids
+        return out
+
+    def _merge_block(self, words: list[bytes], width: int) -> list[bytes]:
+        none = len(self._merged)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
+        place = np.arange(width)
+        ids = self._byte_ids[0][text]
+        ids[place >= size[:, None]] = -1
+        every = np.arange(len(words))
+        ids[every, size - 1] = self._byte_ids[1][text[every, size - 1]]
+        rank = np.full((len(words), width), none, np.int64)
+        inner = place[:-1] < size[:, None] - 1
+        rank[:, :-1][inner] = self._pair_rank(ids[:, :-1][inner], ids[:, 1:][inner])
+        after, before = np.tile(place + 1, (len(words), 1)), np.tile(place - 1, (len(words), 1))
+        who = every
+        while who.size:
+            here = rank[who]
+            p = here.argmin(1)
+            best = here[np.arange(len(who)), p]
+            on = best < none
+            who, p, best = who[on], p[on], best[on]
+            q = after[who, p]
+            new = self._joined[best]
+            ids[who, p], ids[who, q], rank[who, q], rank[who, p] = new, -1, none, none
+            follows = after[who, q]
+            after[who, p] = follows
+            more = follows < size[who]
+            w, a, b = who[more], p[more], follows[more]
+            before[w, b] = a
+            rank[w, a] = self._pair_rank(new[more], ids[w, b])
+            leads = before[who, p]
+            more = leads >= 0
+            w, a = who[more], leads[more]
+            rank[w, a] = self._pair_rank(ids[w, a], new[more])
+        kept = ids >= 0
+        packed = ids[kept].astype("<u4").tobytes()
+        ends = np.cumsum(4 * kept.sum(1)).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
     def _learn(self, chunks: list[bytes]) -> None:
         parts: list[tuple[bytes, list]] = []
         for chunk in chunks:
@@ -238,10 +334,15 @@ class Codec:
                 parts.append((chunk, self.words(chunk)))
         fresh = list({w for _, found in parts for w in found if type(w) is bytes and w not in self._words})
         ids = self._lexicon.look_up(fresh) if self._lexicon else [None] * len(fresh)
-        for word, known in zip(fresh, ids, strict=True):
-            self._words[word] = self.merge(word) if known is None else known
+        unseen = [word for word, known in zip(fresh, ids, strict=True) if known is None]
+        self._words.update(zip(unseen, self.merge_many(unseen), strict=True))
+        self._words.update((word, known) for word, known in zip(fresh, ids, strict=True) if known is not None)
+        known = self._words
         for chunk, found in parts:
-            self._chunks[chunk] = b"".join(self._words[w] if type(w) is bytes else pack([w]) for w in found)
+            if len(found) == 1 and type(found[0]) is bytes:
+                self._chunks[chunk] = known[found[0]]
+            else:
+                self._chunks[chunk] = b"".join([known[w] if type(w) is bytes else pack([w]) for w in found])
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text, packed as little-endian unsigned 32-bit integers; None counts as empty."""
@@ -326,8 +427,8 @@ def compile_lexicon(df: DataFrame, text_col: str, tokenizer_json: str, n_words:
     words = df.select(F.col(text_col).alias("text")).mapInArrow(count, "word binary, times long")
     top = words.groupBy("word").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "word").limit(n_words)
     codec = Codec(tokenizer_json)
-    found = {bytes(r["word"]): b"" for r in top.select("word").collect()}
-    return Transducer.compile({w: codec.merge(w) for w in found})
+    found = [bytes(r["word"]) for r in top.select("word").collect()]
+    return Transducer.compile(dict(zip(found, codec.merge_many(list(found)), strict=True)))
 
 
 def encode_texts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", n_words: int = LEXICON_WORDS) -> DataFrame:
