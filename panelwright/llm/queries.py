@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import bpe, exact_dedup, jaccard_join, language_id, packing, quality_rules, repeats, secret_scan
+from panelwright.llm import bpe, exact_dedup, html_extract, jaccard_join, language_id, packing, quality_rules, repeats, secret_scan
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -48,6 +48,10 @@ def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.linked_components(table(spark, sf, "documents"))
 
 
+def op10_html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_repeats": op2_repeats,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_html_extract": op10_html_extract,
 }
 
 def _spans(kind: int, pattern: str, value: str) -> str:
