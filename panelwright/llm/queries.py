@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import bpe, exact_dedup, html_extract, jaccard_join, language_id, packing, quality_rules, repeats, secret_scan
+from panelwright.llm import bpe, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, quality_rules, repeats, secret_scan
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -40,6 +40,10 @@ def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(table(spark, sf, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), TOKENIZER)
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
+    "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_html_extract": op10_html_extract,
