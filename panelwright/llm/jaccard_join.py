@@ -6,16 +6,18 @@ are shuffled, and each gets its exact document frequency. Then the sample is put
 ``prefix_size`` of it is enough to meet every partner. N-grams that occur once come first and join with
 nothing: a document that isn't mostly repeated elsewhere leaves here.
 
-Join. The prefixes are joined by n-gram. In a first pass each document is paired with the smallest document
-of one of its n-grams and with one that comes just before it, so a group of near copies is connected by
-about two pairs for each member. Only n-grams whose documents are still in different components then give
-the pairs between those components, so no link between different texts is lost and no group is expanded
-into all its pairs.
+Join. The prefixes are joined by n-gram in two steps. First each document is paired with one hub: of the
+documents that lead its n-grams, those with the least share of unrepeated n-grams, the one it meets most.
+That connects groups of near copies by one pair for each member. Documents like the same hub then form blocks
+of about ``BLOCK``, apart for those already connected with it and the others; any other document is a
+block by itself. Blocks that share an n-gram and aren't one component make a pair of blocks, whose sets
+are compared in one task. So no link between different texts is lost, no group is expanded into all its
+pairs, and a text is moved once for each block it meets, not for each document.
 
 Filters. Length: the smaller has at least ``t`` of the larger. Position and suffix: the repeated n-grams
-before and after the shared one bound what both samples share, which must reach ``least_shared``; a second
-suffix filter counts n-grams by part of their hash. Each pair that is left is verified once, on both texts.
-Identical sets are one node from the start.
+before and after the shared one bound what both samples share, which must reach ``least_shared``; for a
+block its members' extremes are taken. Each pair that is left is verified on both texts. Identical sets are
+one node from the start.
 """
 
 from __future__ import annotations
@@ -34,10 +36,12 @@ from panelwright.llm.store import Workspace
 from panelwright.session import ship_package
 
 WORDS, PERCENT = 5, 75
-# Percent of a set's size by which the sample exceeds a prefix, the cut of document frequencies, pairing rounds.
-EXTRA, FREQUENT, ROUNDS = 12, 1_000, 2
+# Percent of a set's size by which the sample exceeds a prefix, and the cut of document frequencies.
+EXTRA, FREQUENT = 12, 1_000
+# Documents a block, and the percent of similarity with a hub that puts a document into its blocks.
+BLOCK, ALIKE = 64, 40
 REMEMBERED = 200_000
-SUFFIX_PARTS = 256
+COLUMNS = 100_000
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -55,10 +59,6 @@ def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield first + i, np.zeros(0, np.uint64)
 
 
-def suffix_counts(h: np.ndarray) -> np.ndarray:
-    return np.bincount((h & np.uint64(SUFFIX_PARTS - 1)).astype(np.int64), minlength=SUFFIX_PARTS)
-
-
 def least_partner(n, percent: int):
     return -(-percent * n // 100)
 
@@ -83,12 +83,12 @@ def _prefix_size(n: Column, percent: int) -> Column:
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
-    """Can two documents that share an n-gram at these places of their repeated ones still be linked?"""
-    n_a, n_b, r_a, r_b, pos_a, pos_b = (F.col(f"{x}.{c}") for c in ("n", "repeated", "pos") for x in (a, b))
-    overlap = F.ceil(percent * (n_a + n_b) / (100 + percent))
-    least_shared = overlap - F.greatest(n_a - _sample_size(n_a, percent), n_b - _sample_size(n_b, percent))
-    most = F.least(pos_a, pos_b) + F.least(r_a - pos_a, r_b - pos_b)
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (most >= least_shared)
+    """Can documents of two rows of one n-gram still be linked? ``n``, ``pos`` and ``after`` may be ranges of a block."""
+    lo_a, lo_b, hi_a, hi_b = (F.col(f"{x}.{c}") for c in ("n_low", "n_high") for x in (a, b))
+    overlap = F.ceil(percent * (lo_a + lo_b) / (100 + percent))
+    least_shared = overlap - F.greatest(hi_a - _sample_size(hi_a, percent), hi_b - _sample_size(hi_b, percent))
+    most = F.least(f"{a}.pos", f"{b}.pos") + F.least(f"{a}.after", f"{b}.after")
+    return (100 * F.least(hi_a, hi_b) >= percent * F.greatest(lo_a, lo_b)) & (most >= least_shared)
 
 
 def _facts(k: int):
@@ -173,20 +173,64 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rated(token, ids, np.full(len(token), len(token)))
 
 
-def _verify(k: int, percent: int):
-    """Pairs with both texts: those that pass the suffix filter and then the exact test."""
+def _similarity(k: int):
+    """Pairs with both texts: shared n-grams and n-grams of either."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for (i, x), (_, y) in zip(sets_of(batch.column("text_a"), k), sets_of(batch.column("text_b"), k), strict=True):
-                most = int(np.minimum(suffix_counts(x), suffix_counts(y)).sum())
-                if 100 * most < percent * (len(x) + len(y) - most):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both and 100 * both >= percent * (len(x) + len(y) - both):
-                    good.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+            both, either = [], []
+            for (_, x), (_, y) in zip(sets_of(batch.column("text_a"), k), sets_of(batch.column("text_b"), k), strict=True):
+                both.append(len(np.intersect1d(x, y, assume_unique=True)))
+                either.append(len(x) + len(y) - both[-1])
+            counts = [pa.array(both, pa.int64()), pa.array(either, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *counts], ["a", "b", "both", "either"])
+
+    return run
+
+
+def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Sizes of the intersections of each of the first ``left`` sets with each of the others."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(times), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    out = np.zeros((left, len(sets) - left))
+    for lo in range(0, len(shared), COLUMNS):
+        at = (column >= lo) & (column < lo + COLUMNS)
+        present = np.zeros((len(sets), min(COLUMNS, len(shared) - lo)), np.float32)
+        present[owner[at], column[at] - lo] = 1
+        out += present[:left] @ present[left:].T
+    return out
+
+
+def _between(k: int, percent: int):
+    """Pairs of blocks with their documents: links that connect components, one for each that is connected."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for x, y in zip(batch.column("docs_x"), batch.column("docs_y"), strict=True):
+                x, y = x.as_py(), y.as_py()
+                docs = [*x, *y]
+                sets = [h for _, h in sets_of(pa.array([d["text"] for d in docs]), k)]
+                size = np.asarray([len(h) for h in sets])
+                both = overlaps(sets, len(x))
+                good = (both > 0) & (100 * both >= percent * (size[: len(x), None] + size[None, len(x) :] - both))
+                root = {d["component"]: d["component"] for d in docs}
+
+                def find(c: int, root: dict = root) -> int:
+                    while root[c] != c:
+                        c = root[c] = root[root[c]]
+                    return c
+
+                for i, j in zip(*np.nonzero(good), strict=True):
+                    a, b = x[i], y[j]
+                    if (p := find(a["component"])) != (q := find(b["component"])):
+                        root[p] = q
+                        found.append((a["rep"], b["rep"]))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
@@ -228,45 +272,53 @@ def linked_components(
     )
     held = ws.table(texts.join(postings.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = held.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        b = held.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        return ws.table(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(k, percent), "a long, b long"))
-
-    def pair(x: str, y: str) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    links = classes.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    joined, tried = components(ws, links), None
-
-    def placed() -> DataFrame:
-        """Prefix rows of n-grams whose documents lie in several components."""
-        at = postings.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        at = ws.table(at.withColumn("component", F.coalesce("component", "rep")))
-        split = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        return at.join(split.select("token"), "token", "left_semi")
-
-    in_token = Window.partitionBy("token").orderBy("n", "rep")
-    row = F.struct("rep", "n", "repeated", "pos", "component")
-    for _ in range(ROUNDS):
-        near = placed().select(row.alias("y"), F.first(row).over(in_token).alias("first"), F.lag(row).over(in_token).alias("prev"))
-        found = []
-        for other, pick in (("first", F.min), ("prev", F.max)):
-            fit = near.where(F.col(f"{other}.component") != F.col("y.component")).where(_possible(other, "y", percent))
-            found.append(fit.groupBy("y.rep").agg(pick(f"{other}.rep").alias("other")))
-        fresh = found[0].union(found[1]).select(*pair("rep", "other")).distinct()
-        fresh = ws.table(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"))
-        tried = fresh if tried is None else tried.union(fresh)
-        more = verified(fresh)
-        if more.isEmpty():
-            break
-        links = ws.table(links.union(more))
-        joined = components(ws, links)
-
-    x, y = placed(), placed()
-    cross = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & _possible("x", "y", percent)
-    left = x.alias("x").join(y.alias("y"), cross).select(*pair("x.rep", "y.rep")).distinct()
-    more = verified(ws.table(left.join(tried, ["a", "b"], "left_anti")))
+    row = F.struct("rep", F.col("n").alias("n_low"), F.col("n").alias("n_high"), "pos", (F.col("repeated") - F.col("pos")).alias("after"))
+    unrepeated = (_sample_size(n, percent) - F.col("repeated")) / n
+    leader = F.first(row).over(Window.partitionBy("token").orderBy(unrepeated, "n", "rep"))
+    met = postings.select(row.alias("y"), leader.alias("x")).where("x.rep <> y.rep").where(_possible("x", "y", percent))
+    hubs = met.groupBy(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).count().groupBy("a").agg(F.max(F.struct("count", -F.col("b"))).alias("best"))
+    hubs = hubs.select("a", (-F.col("best.col2")).alias("b"))
+    text_a = held.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    text_b = held.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    compared = ws.table(hubs.join(text_a, "a").join(text_b, "b").mapInArrow(_similarity(k), "a long, b long, both long, either long"))
+    same = classes.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    links = ws.table(same.union(compared.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")))
+    joined = components(ws, links)
+
+    # Blocks of what is like a hub: kind 0 in the hub's component, kind 1 not, kind 2 documents without a hub.
+    alike = compared.where(100 * F.col("both") >= ALIKE * F.col("either")).select(F.col("a").alias("rep"), F.col("b").alias("hub"))
+    alike = alike.union(alike.select(F.col("hub").alias("rep"), "hub")).groupBy("rep").agg(F.min("hub").alias("hub"))
+    of_doc, of_hub = joined.withColumnRenamed("node", "rep"), joined.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+    docs = postings.select("rep").distinct().join(of_doc, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    docs = docs.join(alike, "rep", "left").join(of_hub, "hub", "left")
+    kind = F.when(F.col("hub").isNull(), 2).when(F.col("component") == F.coalesce("hub_component", "hub"), 0).otherwise(1)
+    docs = ws.table(docs.select("rep", "component", F.coalesce("hub", "rep").alias("hub"), kind.alias("kind")))
+    sizes = docs.groupBy("hub", "kind").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    block = F.struct("hub", "kind", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")).alias("block")
+    docs = ws.table(docs.join(sizes, ["hub", "kind"]).select("rep", "component", block))
+
+    at = postings.join(docs, "rep").groupBy("token", "block")
+    at = ws.table(
+        at.agg(
+            F.min("n").alias("n_low"),
+            F.max("n").alias("n_high"),
+            F.max("pos").alias("pos"),
+            F.max(F.col("repeated") - F.col("pos")).alias("after"),
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+        )
+    )
+    split = at.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("token")
+    open_rows = at.join(split, "token", "left_semi")
+    several = (F.least("x.low", "y.low") < F.greatest("x.high", "y.high")) & _possible("x", "y", percent)
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.block") <= F.col("y.block")) & several
+    pairs = open_rows.alias("x").join(open_rows.alias("y"), meet).select(F.col("x.block").alias("x"), F.col("y.block").alias("y"))
+    pairs = ws.table(pairs.distinct().where((F.col("x") < F.col("y")) | (F.col("x.kind") == 1)))
+    texts_of = docs.join(held.withColumnRenamed("id", "rep"), "rep").groupBy("block").agg(F.collect_list(F.struct("rep", "component", "text")).alias("docs"))
+    texts_of = ws.table(texts_of)
+    full = pairs.join(texts_of.select(F.col("block").alias("x"), F.col("docs").alias("docs_x")), "x")
+    full = full.join(texts_of.select(F.col("block").alias("y"), F.col("docs").alias("docs_y")), "y")
+    more = ws.table(full.select("docs_x", "docs_y").mapInArrow(_between(k, percent), "a long, b long"))
     if not more.isEmpty():
         joined = components(ws, ws.table(links.union(more)))
     found = facts.select("id", "n").join(joined.withColumnRenamed("node", "id"), "id", "left")
