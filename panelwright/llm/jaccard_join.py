@@ -9,8 +9,8 @@ nothing: a document that isn't mostly repeated elsewhere leaves here.
 Join. The prefixes are joined by n-gram in two steps. First each document is paired with one hub: of the
 documents that lead its n-grams, those with the least share of unrepeated n-grams, the one it meets most.
 That connects groups of near copies by one pair for each member. Documents like the same hub then form blocks
-of about ``BLOCK``, apart for those already connected with it and the others; any other document is a
-block by itself. Blocks that share an n-gram and aren't one component make a pair of blocks, whose sets
+of about ``BLOCK``, by size, and apart for those already connected with it and the others; any other
+document is a block by itself. Blocks that share an n-gram and aren't one component make a pair of blocks, whose sets
 are compared in one task. So no link between different texts is lost, no group is expanded into all its
 pairs, and a text is moved once for each block it meets, not for each document.
 
@@ -23,6 +23,7 @@ one node from the start.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,8 +40,9 @@ WORDS, PERCENT = 5, 75
 # Percent of a set's size by which the sample exceeds a prefix, and the cut of document frequencies.
 EXTRA, FREQUENT = 12, 1_000
 # Documents a block, and the percent of similarity with a hub that puts a document into its blocks.
-BLOCK, ALIKE = 64, 40
+BLOCK, ALIKE = 64, 25
 REMEMBERED = 200_000
+REMEMBERED_GRAMS = 4_000_000
 COLUMNS = 100_000
 
 
@@ -209,12 +211,28 @@ def _between(k: int, percent: int):
     """Pairs of blocks with their documents: links that connect components, one for each that is connected."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple[list[dict], list[np.ndarray]]] = {}
+        held = 0
+
+        def read(name: tuple, block: pa.ListScalar) -> tuple[list[dict], list[np.ndarray]]:
+            """A block's documents and their sets; those of the blocks seen last stay, up to a number of n-grams."""
+            nonlocal held
+            if name not in known:
+                docs = block.as_py()
+                sets = [h for _, h in sets_of(pa.array([d.pop("text") for d in docs]), k)]
+                held += sum(map(len, sets))
+                if held > REMEMBERED_GRAMS:
+                    known.clear()
+                    held = sum(map(len, sets))
+                known[name] = docs, sets
+            return known[name]
+
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for x, y in zip(batch.column("docs_x"), batch.column("docs_y"), strict=True):
-                x, y = x.as_py(), y.as_py()
-                docs = [*x, *y]
-                sets = [h for _, h in sets_of(pa.array([d["text"] for d in docs]), k)]
+            names = ([tuple(v.values()) for v in batch.column(c).to_pylist()] for c in ("x", "y"))
+            for name_x, name_y, docs_x, docs_y in zip(*names, batch.column("docs_x"), batch.column("docs_y"), strict=True):
+                (x, sets_x), (y, sets_y) = read(name_x, docs_x), read(name_y, docs_y)
+                docs, sets = [*x, *y], [*sets_x, *sets_y]
                 size = np.asarray([len(h) for h in sets])
                 both = overlaps(sets, len(x))
                 good = (both > 0) & (100 * both >= percent * (size[: len(x), None] + size[None, len(x) :] - both))
@@ -275,7 +293,7 @@ def linked_components(
     row = F.struct("rep", F.col("n").alias("n_low"), F.col("n").alias("n_high"), "pos", (F.col("repeated") - F.col("pos")).alias("after"))
     unrepeated = (_sample_size(n, percent) - F.col("repeated")) / n
     leader = F.first(row).over(Window.partitionBy("token").orderBy(unrepeated, "n", "rep"))
-    met = postings.select(row.alias("y"), leader.alias("x")).where("x.rep <> y.rep").where(_possible("x", "y", percent))
+    met = postings.select(row.alias("y"), leader.alias("x")).where("x.rep <> y.rep")
     hubs = met.groupBy(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).count().groupBy("a").agg(F.max(F.struct("count", -F.col("b"))).alias("best"))
     hubs = hubs.select("a", (-F.col("best.col2")).alias("b"))
     text_a = held.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -289,13 +307,14 @@ def linked_components(
     alike = compared.where(100 * F.col("both") >= ALIKE * F.col("either")).select(F.col("a").alias("rep"), F.col("b").alias("hub"))
     alike = alike.union(alike.select(F.col("hub").alias("rep"), "hub")).groupBy("rep").agg(F.min("hub").alias("hub"))
     of_doc, of_hub = joined.withColumnRenamed("node", "rep"), joined.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-    docs = postings.select("rep").distinct().join(of_doc, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) * 2).cast("int")
+    docs = postings.select("rep", step.alias("step")).distinct().join(of_doc, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     docs = docs.join(alike, "rep", "left").join(of_hub, "hub", "left")
     kind = F.when(F.col("hub").isNull(), 2).when(F.col("component") == F.coalesce("hub_component", "hub"), 0).otherwise(1)
-    docs = ws.table(docs.select("rep", "component", F.coalesce("hub", "rep").alias("hub"), kind.alias("kind")))
-    sizes = docs.groupBy("hub", "kind").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    block = F.struct("hub", "kind", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")).alias("block")
-    docs = ws.table(docs.join(sizes, ["hub", "kind"]).select("rep", "component", block))
+    docs = ws.table(docs.select("rep", "component", F.coalesce("hub", "rep").alias("hub"), kind.alias("kind"), "step"))
+    sizes = docs.groupBy("hub", "kind", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    block = F.struct("hub", "kind", "step", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")).alias("block")
+    docs = ws.table(docs.join(sizes, ["hub", "kind", "step"]).select("rep", "component", block))
 
     at = postings.join(docs, "rep").groupBy("token", "block")
     at = ws.table(
@@ -318,7 +337,7 @@ def linked_components(
     texts_of = ws.table(texts_of)
     full = pairs.join(texts_of.select(F.col("block").alias("x"), F.col("docs").alias("docs_x")), "x")
     full = full.join(texts_of.select(F.col("block").alias("y"), F.col("docs").alias("docs_y")), "y")
-    more = ws.table(full.select("docs_x", "docs_y").mapInArrow(_between(k, percent), "a long, b long"))
+    more = ws.table(full.select("x", "y", "docs_x", "docs_y").mapInArrow(_between(k, percent), "a long, b long"))
     if not more.isEmpty():
         joined = components(ws, ws.table(links.union(more)))
     found = facts.select("id", "n").join(joined.withColumnRenamed("node", "id"), "id", "left")
