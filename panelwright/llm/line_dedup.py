@@ -23,48 +23,49 @@ TAU = 2
 LEAST_CHARS = 16
 
 
-def _segment(n: Column, i: int, tau: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment ``i`` (from 1) of a line of ``n`` characters; the last ones are longer."""
-    short = F.floor(n / (tau + 1)).cast("int")
-    longer = n - short * (tau + 1)
-    before = F.greatest(F.lit(0), i - 1 - (tau + 1 - longer))
-    return short * (i - 1) + before + 1, short + F.when(i > tau + 1 - longer, 1).otherwise(0)
+def _keys(texts: DataFrame, tau: int, places: list[tuple[int, int, int]], name: str) -> DataFrame:
+    """(key, ``name``): hash of length, segment number and substring, for each of ``places`` that fits a line.
 
-
-def _key(n: Column, i: int, part: Column) -> Column:
-    return F.xxhash64(n, F.lit(i), part)
+    A place is (characters less, segment from 1, shift): the segment of a line that is so much shorter, in
+    this line, moved by the shift. Segments are even; the last ones are one character longer.
+    """
+    each = F.array(*(F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in places))
+    rows = texts.select("h", "line", "n", F.inline(each)).withColumn("other", F.col("n") - F.col("less"))
+    i, longer = F.col("i"), F.col("other") % (tau + 1)
+    short = F.call_function("div", F.col("other") - longer, F.lit(tau + 1)).cast("int")
+    size = short + F.when(i > tau + 1 - longer, 1).otherwise(0)
+    start = short * (i - 1) + F.greatest(F.lit(0), i - (tau + 2) + longer) + 1 + F.col("shift")
+    fits = (start >= 1) & (start + size <= F.col("n") + 1)
+    key = F.when(fits, F.xxhash64("other", "i", F.substring("line", start, size)))
+    return rows.select(key.alias("key"), F.col("h").alias(name)).where("key is not null")
 
 
-def _index_keys(tau: int) -> Column:
-    n, out = F.col("n"), []
-    for i in range(1, tau + 2):
-        start, size = _segment(n, i, tau)
-        out.append(_key(n, i, F.substring("line", start, size)))
-    return F.array(*out)
+def _index_places(tau: int) -> list[tuple[int, int, int]]:
+    return [(0, i, 0) for i in range(1, tau + 2)]
 
 
-def _probe_keys(tau: int) -> Column:
-    """For each shorter length and segment, the substrings that both the left and the right part allow."""
-    n, out = F.col("n"), []
+def _probe_places(tau: int) -> list[tuple[int, int, int]]:
+    """For each shorter length and segment, the shifts that both the left and the right part allow."""
+    out = []
     for less in range(tau + 1):
-        other = n - less
         for i in range(1, tau + 2):
-            start, size = _segment(other, i, tau)
             right = tau + 1 - i
-            for shift in range(max(1 - i, less - right), min(i - 1, less + right) + 1):
-                at = start + shift
-                fits = (at >= 1) & (at + size <= n + 1) & (other >= tau + 1)
-                out.append(F.when(fits, _key(other, i, F.substring("line", at, size))))
-    return F.filter(F.array(*out), lambda k: k.isNotNull())
+            out += [(less, i, shift) for shift in range(max(1 - i, less - right), min(i - 1, less + right) + 1)]
+    return out
 
 
 def edit_distance(longer: Column, shorter: Column, tau: int) -> Column:
-    """Edit distance of two arrays of characters if it is at most ``tau``, else more than ``tau``.
+    """Edit distance of two texts if it is at most ``tau``, else more than ``tau``.
 
     Bit ``top`` of a word belongs to the cell ``tau`` below the diagonal. The score follows that cell down to
-    the last row and then along it. The longer array must have ``tau`` or more characters, and no more
-    than ``tau`` more than the other.
+    the last row and then along it. The longer text must have ``tau`` or more characters, and no more
+    than ``tau`` more than the other. The texts are split once, into the only element of an array.
     """
+    both = F.array(F.struct(F.split(longer, "").alias("longer"), F.split(shorter, "").alias("shorter")))
+    return F.get(F.transform(both, lambda s: _array_distance(s["longer"], s["shorter"], tau)), F.lit(0))
+
+
+def _array_distance(longer: Column, shorter: Column, tau: int) -> Column:
     width = 2 * tau + 2
     top, every = width - 1, (1 << width) - 1
     start = F.struct(
@@ -104,7 +105,8 @@ def edit_distance(longer: Column, shorter: Column, tau: int) -> Column:
     def once(acc: Column, i: Column) -> Column:
         # One-element arrays give names to intermediate words, which an expression would otherwise repeat.
         first = F.transform(F.array(step(acc, i)), diagonal)
-        return F.get(F.transform(first, moved), F.lit(0))
+        # The score falls by no more than `tau` at the end, so from 2 tau + 1 on it can't come back.
+        return F.when(acc["dist"] > 2 * tau, acc).otherwise(F.get(F.transform(first, moved), F.lit(0)))
 
     n = F.size(shorter)
     over = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -121,8 +123,8 @@ def line_links(ws: Workspace, lines: DataFrame, tau: int = TAU) -> DataFrame:
     """(a, b) for each two distinct lines within ``tau`` edits, by the 128-bit digests of the lines, a < b."""
     n = F.length("line")
     texts = ws.table(lines.where(n >= LEAST_CHARS).groupBy("line").agg(F.lit(1).alias("one")).select("line", F.xxhash64("line").alias("h"), n.alias("n")))
-    index = texts.select(F.explode(_index_keys(tau)).alias("key"), F.col("h").alias("x"))
-    probe = texts.select(F.explode(_probe_keys(tau)).alias("key"), F.col("h").alias("y"))
+    index = _keys(texts, tau, _index_places(tau), "x")
+    probe = _keys(texts, tau, _probe_places(tau), "y")
     met = index.join(probe, "key").where("x <> y")
     pairs = ws.table(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
     x = texts.select(F.col("h").alias("x"), F.col("line").alias("line_x"), F.col("n").alias("n_x"))
@@ -132,9 +134,11 @@ def line_links(ws: Workspace, lines: DataFrame, tau: int = TAU) -> DataFrame:
     full = full.select(
         "line_x",
         "line_y",
-        F.split(F.when(swap, F.col("line_x")).otherwise(F.col("line_y")), "").alias("longer"),
-        F.split(F.when(swap, F.col("line_y")).otherwise(F.col("line_x")), "").alias("shorter"),
+        F.when(swap, F.col("line_x")).otherwise(F.col("line_y")).alias("longer"),
+        F.when(swap, F.col("line_y")).otherwise(F.col("line_x")).alias("shorter"),
     )
+    # Few rows, but much work for each: spread them over all tasks.
+    full = full.repartition(int(ws.spark.conf.get("spark.sql.shuffle.partitions")))
     near = full.where(edit_distance(F.col("longer"), F.col("shorter"), tau) <= tau)
     a, b = F.unhex(F.md5(F.col("line_x").cast("binary"))), F.unhex(F.md5(F.col("line_y").cast("binary")))
     return ws.table(near.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct())
