@@ -27,7 +27,7 @@ def _literal_prefix(prefix: str) -> str:
 def product_label(name: Column, prefix: str, general: str) -> Column:
     """F14. Drop the common prefix, cut at a parenthesis, capitalise the rest."""
     rest = F.trim(F.split_part(F.regexp_replace(name, _literal_prefix(prefix), ""), F.lit("("), F.lit(1)))
-    capital = F.concat(F.upper(F.substring(rest, 1, 1)), F.substring(rest, 2, 10_000))
+    capital = F.concat(F.upper(F.substring(rest, 1, 1)), F.substr(rest, F.lit(2)))
     return F.when(F.trim(name) == prefix, F.lit(general)).otherwise(capital)
 
 

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 LETTER = r"[A-Za-z]"
 EXPONENT_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d+\s*$"
-# Fewer digits than this cannot overflow a double.
-PLAIN_LENGTH = 300
 DATE_PATTERN = r"^\d{4}-\d{1,2}(-\d{1,2})?$"
 
 
@@ -17,15 +15,13 @@ def to_number(text: Column, decimal: str = ".") -> Column:
     """C2. Every decimal separator is replaced, so ``1.234,56`` is not a number.
 
     A letter marks what a Spark cast would accept but a number is not
-    (``1.0d``, ``NaN``, ``Infinity``); only the exponent form passes with one,
-    and an exponent that overflows ends as NULL.
+    (``1.0d``, ``NaN``, ``Infinity``); only the exponent form passes with one.
+    What overflows a double ends as NULL, whatever the length of the text.
     """
     plain = text if decimal == "." else F.replace(text, F.lit(decimal), F.lit("."))
     number = plain.try_cast("double")
-    without_letters = ~plain.rlike(LETTER) & (F.length(plain) <= PLAIN_LENGTH)
-    return F.when(without_letters, number).when(
-        plain.rlike(EXPONENT_PATTERN), F.when(F.abs(number) < F.lit(float("inf")), number)
-    )
+    finite = F.when(F.abs(number) < F.lit(float("inf")), number)
+    return F.when(~plain.rlike(LETTER) | plain.rlike(EXPONENT_PATTERN), finite)
 
 
 def to_integer(text: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TINY = 1e-300
-_STEPS = 300
+_CLOSE = 1e-15
 
 
 def _log_beta(a: np.ndarray, b: float) -> np.ndarray:
@@ -29,7 +29,8 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < _TINY, _TINY, d)
     total = d.copy()
-    for m in range(1, _STEPS):
+    # The fraction converges in about sqrt(max(a, b)) steps; what has not by far more than that is no number.
+    for m in range(1, 300 + 20 * math.isqrt(int(np.max(np.maximum(a, b))))):
         for top in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -39,9 +40,9 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1.0 + top / c
             c = np.where(np.abs(c) < _TINY, _TINY, c)
             total = total * d * c
-        if np.all(np.abs(d * c - 1.0) < 1e-15):
+        if np.all(np.abs(d * c - 1.0) < _CLOSE):
             break
-    return total
+    return np.where(np.abs(d * c - 1.0) < 1e3 * _CLOSE, total, np.nan)
 
 
 def two_sided_p(r: np.ndarray, n: np.ndarray) -> np.ndarray:

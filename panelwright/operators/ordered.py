@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, tasks_for
 
 MIN_RANGES, MAX_RANGES = 8, 1024
 ROWS_PER_RANGE = 1_000_000
@@ -116,7 +116,7 @@ def replicate(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
         df.filter(F.col(times) > chunk)
         .withColumn("_i", F.explode(pieces))
         .withColumn("_part", F.least(F.lit(chunk), F.col(times) - F.col("_i") * chunk).cast("int"))
-        .repartition(*keep, "_i")
+        .repartition(tasks_for(df.sparkSession), *keep, "_i")
         .select(*keep, "_part")
     )
     return small.unionByName(large).select(*keep, F.explode(F.array_repeat(F.lit(1), F.col("_part"))).alias("_copy")).drop("_copy")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from panelwright.functions.parsing import day_key, month_start, to_day, to_number
 from panelwright.operators import quality
 from panelwright.operators.reporting import long_counts
-from panelwright.session import broadcast_if_small
 
 STAGES = ["superseded_version", "product_out_of_scope", "month_out_of_scope", "quarantined", "aggregated"]
 
@@ -30,8 +29,8 @@ def current_versions(df: DataFrame, source_object: str = "_source_object") -> Da
 
 
 def keep_current(df: DataFrame, source_object: str = "_source_object") -> DataFrame:
-    """D2. Semi-join with the current versions."""
-    current = broadcast_if_small(current_versions(df, source_object).select(source_object))
+    """D2. Semi-join with the current versions; adaptive execution broadcasts them by their measured bytes."""
+    current = current_versions(df, source_object).select(source_object)
     return df.join(current, source_object, "left_semi")
 
 
@@ -118,13 +117,11 @@ class PanelContract:
 def staged_rows(bronze: DataFrame, c: PanelContract) -> DataFrame:
     """D2–D6. Every bronze row with the ``stage`` at which it leaves, and its ``reason``.
 
-    Text is parsed below the version join (a left join with a checked
-    broadcast) and tested above it, so a filter on the stage never repeats the
+    Text is parsed below the version join (a left join that adaptive
+    execution broadcasts by measured bytes) and tested above it, so a filter on the stage never repeats the
     parsing. Nothing is dropped here, so the funnel can count every row.
     """
-    current = broadcast_if_small(
-        current_versions(bronze, c.source_object).select(F.col(c.source_object), F.lit(True).alias("_current"))
-    )
+    current = current_versions(bronze, c.source_object).select(F.col(c.source_object), F.lit(True).alias("_current"))
     typed = bronze.withColumns(quality.typed_columns(c.date, c.quantity, c.value, c.decimal))
     rules = quality.panel_rules(c.entity, c.domain, c.as_of, c.sentinel)
     stage = (

@@ -149,7 +149,7 @@ def dirty(spark: SparkSession, sf: str) -> DataFrame:
         .when((F.col("l_linenumber") == 6) & (F.col("l_returnflag") == "N"), F.date_format("day", "yyyy-MM"))
         .otherwise(F.date_format("day", "yyyy-MM-dd"))
     )
-    version = F.when(F.col("l_linestatus") == "O", F.lit("2026-03-25T17:29:40")).otherwise(F.lit("2026-09-15T02:38:32"))
+    version = F.when(F.col("l_linestatus") == "O", F.lit("2026-02-11T08:15:30")).otherwise(F.lit("2026-08-04T21:05:10"))
     return lines.select(
         date.alias("date_text"),
         F.when(F.col("l_tax") == 0.08, F.lit("XX")).otherwise(F.col("entity")).alias("entity"),
@@ -278,7 +278,7 @@ STANDIN_SQL = {
                CASE WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN 'abc'
                     WHEN l_linenumber = 7 AND l_returnflag = 'A' THEN '-' || price ELSE price END AS value_text,
                'lines_' || CAST(year(day) AS VARCHAR) || '.csv@' ||
-               CASE WHEN l_linestatus = 'O' THEN '2026-03-25T17:29:40' ELSE '2026-09-15T02:38:32' END AS _source_object
+               CASE WHEN l_linestatus = 'O' THEN '2026-02-11T08:15:30' ELSE '2026-08-04T21:05:10' END AS _source_object
         FROM (SELECT *, replace(printf('%.2f', l_extendedprice), '.', ',') AS price FROM shipped_lines)""",
     "versions": """
         SELECT event_type AS archive, event_type || '_' || strftime(ts, '%Y%m%d') || '.csv' AS member,

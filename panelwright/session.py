@@ -1,4 +1,4 @@
-"""Session settings and the two places where a plan may be cut or a side broadcast."""
+"""Session settings, stored stages, and the place where a plan may be cut."""
 
 from __future__ import annotations
 
@@ -10,9 +10,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have before a broadcast hint is put on it. Sides this module
-# checks are narrow (one short text key), so the bound is about 100 MB.
-BROADCAST_ROWS = 1_000_000
 
 
 def build_session(app: str = "panelwright", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -46,6 +43,11 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(str(target))
 
 
+def tasks_for(spark: SparkSession) -> int:
+    """Partitions for rows that are few but each much work; adaptive execution leaves a given number alone."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def use_utc(spark: SparkSession) -> SparkSession:
     """Pin the session zone: month arithmetic must not depend on the machine."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -91,14 +93,3 @@ def stage_table(spark: SparkSession, name: str, build: Callable[[], DataFrame])
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting; past the bound the join stays a shuffle join.
-
-    Only a row count comes to the driver. Past the bound the plan falls back to
-    a sort-merge join, where adaptive execution splits hot partitions.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

@@ -10,10 +10,12 @@ one deflate stream, so it is the unit of work; it is streamed in batches.
 from __future__ import annotations
 
 import codecs
+import csv
 import datetime
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.csv as pacsv
@@ -22,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Candidate encodings in order, and the bytes read to choose one.
-ENCODINGS = ["utf-8-sig", "utf-8", "latin-1"]
-PROBE_BYTES = 1024 * 1024
+from panelwright.session import ship_package, tasks_for
+
+# UTF-8 with or without its mark, and what is read as single bytes otherwise.
+UNICODE, SINGLE_BYTE = "utf-8-sig", "latin-1"
+CHUNK_BYTES = 1 << 20
 
 MEMBER_SCHEMA = (
     "archive string, member string, version_ts string, crc32 string, bytes bigint, "
@@ -55,28 +59,42 @@ def _open(path: str):
     return filesystem.open_input_file(inner)
 
 
-def choose_encoding(head: bytes) -> str | None:
-    """A3. First candidate that decodes the probe; a cut last character is fine."""
-    for name in ENCODINGS:
-        try:
-            codecs.getincrementaldecoder(name)().decode(head, final=False)
-            return name
-        except UnicodeDecodeError:
-            continue
-    return None
+def _index(handle) -> zipfile.ZipFile:
+    """The archive's index; a file without room for the end record can't be searched for one."""
+    if handle.size() < zipfile.sizeEndCentDir:
+        raise zipfile.BadZipFile("File is not a zip file")
+    return zipfile.ZipFile(handle)
+
+
+def member_encoding(stream: BinaryIO) -> str:
+    """A3. Reads a member to its end: UTF-8 if every byte of it is, else single bytes."""
+    reader = codecs.getincrementaldecoder("utf-8")("strict")
+    try:
+        for chunk in iter(lambda: stream.read(CHUNK_BYTES), b""):
+            reader.decode(chunk)
+        reader.decode(b"", final=True)
+    except UnicodeDecodeError:
+        return SINGLE_BYTE
+    return UNICODE
+
+
+def member_header(stream: BinaryIO, encoding: str, sep: str) -> list[str]:
+    """The first record, by the rules of CSV: separators and line ends inside quotes belong to a name."""
+    with io.TextIOWrapper(stream, encoding, newline="") as lines:
+        return next(csv.reader(lines, delimiter=sep), [""])
 
 
 def _members_of(archive: str, sep: str) -> Iterator[dict]:
     blank = dict.fromkeys(["member", "version_ts", "crc32", "bytes", "encoding", "header", "error"])
     try:
-        with _open(archive) as handle, zipfile.ZipFile(handle) as index:
+        with _open(archive) as handle, _index(handle) as index:
             for info in index.infolist():
                 if not info.filename.lower().endswith(".csv"):
                     continue
                 with index.open(info) as stream:
-                    head = stream.read(PROBE_BYTES)
-                encoding = choose_encoding(head)
-                first = head.decode(encoding, errors="ignore").split("\n", 1)[0].strip("\r\n") if encoding else ""
+                    encoding = member_encoding(stream)
+                with index.open(info) as stream:
+                    header = member_header(stream, encoding, sep)
                 yield {
                     **blank,
                     "archive": archive,
@@ -85,9 +103,9 @@ def _members_of(archive: str, sep: str) -> Iterator[dict]:
                     "crc32": f"{info.CRC:08x}",
                     "bytes": info.file_size,
                     "encoding": encoding,
-                    "header": [h.strip('"') for h in first.split(sep)],
+                    "header": header,
                 }
-    except (zipfile.BadZipFile, OSError, pa.ArrowInvalid) as error:
+    except zipfile.BadZipFile as error:  # storage that fails is no bad archive: it ends the task, which runs again
         yield {**blank, "archive": archive, "error": f"{type(error).__name__}: {error}"}
 
 
@@ -95,8 +113,9 @@ def archive_members(archives: DataFrame, sep: str = ";") -> DataFrame:
     """A1. One row per ``.csv`` member with version, CRC, encoding and header.
 
     A file that is no archive gives one row with ``error`` and no member; the
-    others go on.
+    others go on. Archives are dealt out one by one over all tasks.
     """
+    ship_package(archives.sparkSession)
     schema = MEMBER_SCHEMA
     arrow = pa.schema(
         [
@@ -118,7 +137,7 @@ def archive_members(archives: DataFrame, sep: str = ";") -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return archives.select("archive").repartition("archive").mapInArrow(read, schema)
+    return archives.select("archive").repartition(tasks_for(archives.sparkSession)).mapInArrow(read, schema)
 
 
 def file_contract(members: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -152,6 +171,7 @@ def member_rows(
     batch. Columns a member lacks are NULL; its other columns all survive.
     The ``carried`` columns of a member are repeated on its rows.
     """
+    ship_package(members.sparkSession)
     carried, columns = list(carried), list(columns)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in carried + columns])
     arrow = pa.schema([(c, pa.string()) for c in carried + columns])
@@ -185,4 +205,4 @@ def member_rows(
             yield pa.RecordBatch.from_arrays(fixed + fields, schema=arrow)
 
     chosen = members.select(*dict.fromkeys([*carried, "archive", "member", "encoding", "header"]))
-    return chosen.repartition("archive", "member").mapInArrow(read, schema)
+    return chosen.repartition(tasks_for(members.sparkSession)).mapInArrow(read, schema)

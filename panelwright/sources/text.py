@@ -59,8 +59,11 @@ def append_by_date(df: DataFrame, path: str, partition: str = "_ingestion_date")
     df.write.mode("append").partitionBy(partition).parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame:
-    """A7. Spark reads ``_name=value`` directories below a table root as partitions."""
+def read_table(spark: SparkSession, path: str, merge_schema: bool = True) -> DataFrame:
+    """A7. Spark reads ``_name=value`` directories below a table root as partitions.
+
+    Loads may differ in their columns; the table has all of them.
+    """
     return spark.read.option("mergeSchema", merge_schema).parquet(path)
 
 

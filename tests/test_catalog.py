@@ -9,6 +9,8 @@ import os
 import duckdb
 import pytest
 
+from panelwright.plans import catalog
+
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -30,7 +32,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 def test_every_query_has_a_check():
     queries, oracle = spark_entry.queries(), spark_entry.oracle_sql()
     assert set(oracle) <= set(queries)
-    assert set(queries) - set(oracle) == WITHOUT_SQL
+    assert set(catalog.QUERIES) - set(oracle) == WITHOUT_SQL
 
 
 @needs_data
@@ -50,7 +52,7 @@ def duck():
 
 def chosen():
     if os.environ.get("PANELWRIGHT_ALL"):
-        return sorted(spark_entry.oracle_sql())
+        return sorted(catalog.ORACLE)
     return SAMPLE
 
 

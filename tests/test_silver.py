@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import silver
 
-OLD, NEW = "2026-03-25T17:29:40", "2026-09-15T02:38:32"
+OLD, NEW = "2026-02-11T08:15:30", "2026-08-04T21:05:10"
 PRODUCT = "Financiamentos imobiliários"
 COLUMNS = "date string, uf string, product string, n string, v string, _source_object string"
 CONTRACT = silver.PanelContract(

@@ -1,5 +1,6 @@
 """A and B end to end: archives to stored rows, twice, interrupted, republished."""
 
+import io
 import json
 import zipfile
 
@@ -11,7 +12,7 @@ from panelwright.plans import loading
 from panelwright.sources import archives, text
 
 REQUIRED = ["data_base", "uf", "modalidade", "numero_de_operacoes", "carteira_ativa"]
-OLD, NEW = (2026, 3, 25, 17, 29, 40), (2026, 9, 15, 2, 38, 32)
+OLD, NEW = (2026, 2, 11, 8, 15, 30), (2026, 8, 4, 21, 5, 10)
 HEADER = ";".join([*REQUIRED, "porte"])
 LINES = [
     '2024-01-31;SP;"Financiamentos; imobiliários";10;1234,56;NA',
@@ -51,15 +52,18 @@ def test_members_encoding_and_contract(spark, folder):
     checked = {r["member"]: r for r in archives.file_contract(listed, REQUIRED).collect()}
     assert set(checked) == {"202401.csv", "202402.csv", "202403.csv", "202501.csv", None}
     assert checked["202401.csv"]["encoding"] == "utf-8-sig" and checked["202402.csv"]["encoding"] == "latin-1"
-    assert checked["202401.csv"]["version_ts"] == "2026-03-25T17:29:40"
+    assert checked["202401.csv"]["version_ts"] == "2026-02-11T08:15:30"
     assert len(checked["202401.csv"]["crc32"]) == 8
     assert checked["202403.csv"]["contract"] == "rejected" and checked["202403.csv"]["missing"] == ["carteira_ativa"]
     assert checked[None]["contract"] == "bad_archive"
 
 
 def test_cut_character_at_the_probe_end():
-    assert archives.choose_encoding("é".encode()[:1]) == "utf-8-sig"
-    assert archives.choose_encoding(b"\xe9;") == "latin-1"
+    for raw, want in ((b"", "utf-8-sig"), ("ß;".encode(), "utf-8-sig"), (b"\xe9;", "latin-1"), ("ß".encode()[:1], "latin-1")):
+        assert archives.member_encoding(io.BytesIO(raw)) == want
+    late = b"a;b\n" + b"1;2\n" * 400_000 + b"\xfc;3\n"
+    assert archives.member_encoding(io.BytesIO(late)) == "latin-1"
+    assert archives.member_header(io.BytesIO('"x;1";"two\nlines";y\n1;2;3\n'.encode()), "utf-8-sig", ";") == ["x;1", "two\nlines", "y"]
 
 
 def accepted(spark, folder):
