@@ -112,9 +112,9 @@ def exact_groups(
     groups = whole.groupBy("n_blocks", "name").agg(
         F.max("row_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
+    groups = ws.table(groups.where("group_size > 1"))  # written, so a hot group's join can be split
     members = ws.table(
         whole.join(groups, ["n_blocks", "name"])
-        .where("group_size > 1")
         .select("row_id", "text_sha256", "keep_id", "group_size")
         .distinct()
     )

@@ -268,7 +268,7 @@ def linked_components(
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     facts = ws.table(texts.mapInArrow(_facts(k), "id long, n long, key binary"))
     known = facts.where("key is not null and id is not null")
-    reps = known.groupBy("key").agg(F.min("id").alias("rep"))
+    reps = ws.table(known.groupBy("key").agg(F.min("id").alias("rep")))  # written, so a hot key's join can be split
     classes = ws.table(known.join(reps, "key").select("id", "rep", "n").distinct())
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
