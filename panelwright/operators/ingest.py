@@ -39,9 +39,14 @@ def with_metadata(
     )
 
 
-def record_hash(columns: Sequence[str], source_object: str = "_source_object") -> Column:
-    """B2. SHA-256 of the fields in name order and the source object, all in codegen."""
-    fields = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+def record_hash(columns: Sequence[str], source_object: str = "_source_object", own_fields: bool = False) -> Column:
+    """B2. SHA-256 of the fields in name order and the source object, all in codegen.
+
+    With ``own_fields``, fields that are NULL don't count: rows of files with different headers, read over
+    the columns of all of them, keep the hash they have over their own header.
+    """
+    options = {"ignoreNullFields": str(own_fields).lower()}
+    fields = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(columns)]), options)
     return F.sha2(F.concat(fields, F.col(source_object)), 256)
 
 

@@ -75,7 +75,7 @@ def load_archives(
     def rows_of(chosen: DataFrame) -> DataFrame:
         rows = archives.member_rows(chosen, columns, carried=[*archives.CARRIED, "source_object"])
         named = rows.select(*columns, F.col("source_object").alias("_source_object"))
-        return named.withColumn("_record_hash", ingest.record_hash(columns))
+        return named.withColumn("_record_hash", ingest.record_hash(columns, own_fields=True))
 
     new = rows_of(accepted.filter("NOT resumes"))
     resumed = accepted.filter("resumes")

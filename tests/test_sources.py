@@ -221,3 +221,19 @@ def test_watermark_load(spark):
     assert sorted((r["d"], r["v"]) for r in got) == [("2026-01-02", "2"), ("2026-01-03", "3")]
     assert {r["_ingestion_mode"] for r in got} == {"incremental"}
     assert ingest.watermark(stored, "d").first()["watermark"] == "2026-01-02"
+
+
+def test_hash_of_a_row_follows_its_own_header(spark):
+    row = spark.createDataFrame([("1", "", None, "f@v")], "x string, y string, z string, _source_object string")
+    hashes = row.select(
+        ingest.record_hash(["x", "y"], own_fields=True).alias("own"), ingest.record_hash(["x", "y", "z"], own_fields=True).alias("union")
+    ).first()
+    assert hashes.own == hashes.union
+
+
+def test_members_are_dealt_out_over_tasks(spark, tmp_path):
+    for i in range(6):
+        write_zip(tmp_path / f"{i}.zip", [(f"{i}{j}.csv", OLD, csv_bytes()) for j in range(4)])
+    members = archives.archive_members(archives.list_archives(spark, str(tmp_path))).cache()
+    rows = archives.member_rows(members, REQUIRED).withColumn("task", F.spark_partition_id())
+    assert members.count() == 24 and rows.select("task").distinct().count() > 3
