@@ -61,4 +61,5 @@ class Workspace:
 
 def words_of(text: Column) -> Column:
     """Maximal runs without ASCII white space; NULL counts as no text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, WORD_BREAK))
