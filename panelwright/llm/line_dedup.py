@@ -4,7 +4,9 @@ A line of ``n`` characters is cut into ``tau`` + 1 even segments. If another lin
 of these segments occurs in it unchanged, close to its own place. So each distinct line is indexed under
 (length, segment number, segment), and probes the lengths from its own down to ``tau`` less with the few
 substrings that can be an unchanged segment there. Pairs that meet are verified once by a banded
-bit-parallel edit distance: one word of ``2 tau + 2`` bits holds a column of the band.
+bit-parallel edit distance: one word of ``2 tau + 2`` bits holds a column of the band. Of a line of up to
+``tau`` characters some segment is empty, so it meets all lines up to ``tau`` longer; two of these are
+linked whatever they hold.
 
 Linked lines form classes; the first line of a class, by document and line number, stays. Copies of a line
 are one row before anything is joined. Only DataFrame functions are used.
@@ -19,8 +21,8 @@ from panelwright.llm.components import components
 from panelwright.llm.store import Workspace
 
 TAU = 2
-# Shorter lines (brackets, numbers, headings) are compared as they are: few edits make different ones equal.
-LEAST_CHARS = 16
+# Every line that isn't blank is compared, however short.
+LEAST_CHARS = 1
 
 
 def _keys(texts: DataFrame, tau: int, places: list[tuple[int, int, int]], name: str) -> DataFrame:
@@ -122,7 +124,7 @@ def _lines(text: Column) -> Column:
 def line_links(ws: Workspace, lines: DataFrame, tau: int = TAU) -> DataFrame:
     """(a, b) for each two distinct lines within ``tau`` edits, by the 128-bit digests of the lines, a < b."""
     n = F.length("line")
-    texts = ws.table(lines.where(n >= LEAST_CHARS).groupBy("line").agg(F.lit(1).alias("one")).select("line", F.xxhash64("line").alias("h"), n.alias("n")))
+    texts = ws.table(lines.groupBy("line").agg(F.lit(1).alias("one")).select("line", F.xxhash64("line").alias("h"), n.alias("n")))
     index = _keys(texts, tau, _index_places(tau), "x")
     probe = _keys(texts, tau, _probe_places(tau), "y")
     met = index.join(probe, "key").where("x <> y")
@@ -139,7 +141,8 @@ def line_links(ws: Workspace, lines: DataFrame, tau: int = TAU) -> DataFrame:
     )
     # Few rows, but much work for each: spread them over all tasks.
     full = full.repartition(int(ws.spark.conf.get("spark.sql.shuffle.partitions")))
-    near = full.where(edit_distance(F.col("longer"), F.col("shorter"), tau) <= tau)
+    # Texts of up to `tau` characters turn into each other by `tau` edits; the band needs one that is longer.
+    near = full.where(F.when(F.length("longer") <= tau, True).otherwise(edit_distance(F.col("longer"), F.col("shorter"), tau) <= tau))
     a, b = F.unhex(F.md5(F.col("line_x").cast("binary"))), F.unhex(F.md5(F.col("line_y").cast("binary")))
     return ws.table(near.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct())
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -68,5 +69,21 @@ def test_equals_comparing_all_lines(spark, tau):
     assert sorted(str(tuple(r)) for r in line_dedup.line_classes(df, tau=tau).collect()) == brute(corpus(), tau)
 
 
+@pytest.mark.parametrize("tau", [1, 2, 3])
+def test_links_of_short_lines(spark, tau):
+    from panelwright.llm.store import Workspace
+
+    draw = random.Random(7)
+    lines = {"".join(draw.choice("abé 😀") for _ in range(draw.randint(1, 9))).replace(" ", "_") for _ in range(150)}
+    lines |= {"".join(draw.choice("abcdefgh") for _ in range(n)) for n in (1, 1, 2, 2, 3, 3, 4, 5, 15, 17)}
+    lines |= {"Euxvi, et et.", "Euxvi, | et.", "fourteen chars", "fourteen charsxy", "}", "},", "*" * 15, "*" * 16, "*" * 17}
+    lines = sorted(lines)
+    table = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = {(bytes(r.a), bytes(r.b)) for r in line_dedup.line_links(Workspace(spark, "t"), table, tau).collect()}
+    md5 = {x: hashlib.md5(x.encode()).digest() for x in lines}
+    want = {tuple(sorted((md5[x], md5[y]))) for i, x in enumerate(lines) for y in lines[i + 1 :] if edits(x, y) <= tau}
+    assert got == want
+
+
 def test_empty_table(spark):
     assert line_dedup.line_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
