@@ -49,17 +49,20 @@ def _generic_shape(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Z]") & value.rlike("[a-z]")
 
 
-def scan(ws: Workspace, df: DataFrame, id_col: str, text_col: str, owner_col: str) -> tuple[DataFrame, DataFrame]:
+def scan(
+    ws: Workspace, df: DataFrame, id_col: str, text_col: str, owner_col: str, row_col: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Rows (row, id, owner), and spans (row, kind, start, end, n_repos, n_owners, shared, live) of candidates.
 
-    ``row`` numbers the input's rows, so rows that repeat an id stay apart. ``end`` is exclusive; both
-    offsets count code points. Generic tokens come back only when they are live.
+    ``row`` numbers the input's rows, so rows that repeat an id stay apart; it is ``row_col`` if the input has
+    been written with such numbers. ``end`` is exclusive; both offsets count code points. Generic tokens come
+    back only when they are live.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = F.concat(*(_matches(text, k, p) for k, p in enumerate((ASSIGN, ACCESS, HEX, GENERIC))))
     rows = ws.table(
         df.select(
-            F.monotonically_increasing_id().alias("row"),
+            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
             F.col(id_col).alias("id"),
             F.col(owner_col).cast("string").alias("owner"),
             found.alias("found"),
@@ -132,20 +135,21 @@ def redact_live(
 ) -> DataFrame:
     """``df`` with each live credential's span in ``text_col`` replaced by ``mark``; copied examples stay.
 
-    Overlapping spans become one. Ids are taken as unique: rows that repeat an id must hold the same text.
+    Overlapping spans become one. Rows are numbered and written with their texts, and cut by that number, so
+    ids may be NULL or repeat.
     """
     ws = Workspace(df.sparkSession, "redact")
-    rows, judged = scan(ws, df, id_col, text_col, owner_col)
-    live = judged.where("live").join(rows.select("row", "id"), "row")
-    order = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = ws.table(df.withColumn("_cut_row", F.monotonically_increasing_id()))
+    _, judged = scan(ws, numbered, id_col, text_col, owner_col, "_cut_row")
+    order = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     merged = (
-        live.select("id", "start", "end").distinct()
+        judged.where("live").select("row", "start", "end").distinct()
         .withColumn("fresh", F.when(F.col("start") <= F.max("end").over(order), 0).otherwise(1))
-        .withColumn("block", F.sum("fresh").over(Window.partitionBy("id").orderBy("start", "end")))
-        .groupBy("id", "block").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        .groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+        .withColumn("block", F.sum("fresh").over(Window.partitionBy("row").orderBy("start", "end")))
+        .groupBy("row", "block").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
     )
-    cuts = ws.table(merged.select(F.col("id").alias("_cut_id"), F.col("cuts").alias("_cuts")))
+    cuts = ws.table(merged.select(F.col("row").alias("_cut_row"), F.col("cuts").alias("_cuts")))
     text = F.col(text_col)
 
     def before(cut: Column, i: Column) -> Column:
@@ -154,5 +158,5 @@ def redact_live(
 
     tail = F.substring(text, (F.element_at("_cuts", -1)["end"] + 1).cast("int"), F.length(text))
     clean = F.concat(F.array_join(F.transform("_cuts", lambda c, i: F.concat(before(c, i), F.lit(mark))), ""), tail)
-    joined = df.join(cuts, F.col(id_col) == F.col("_cut_id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_cuts").isNull(), text).otherwise(clean)).drop("_cut_id", "_cuts")
+    joined = numbered.join(cuts, "_cut_row", "left")
+    return joined.withColumn(text_col, F.when(F.col("_cuts").isNull(), text).otherwise(clean)).select(df.columns)

@@ -58,5 +58,16 @@ def test_redaction_cuts_live_spans_only(spark):
     assert got[7] == "[secret]"
 
 
+def test_redaction_goes_by_row(spark):
+    other = f"a longer text before it, then secret: {LIVE}"
+    twice = [(1, f"token={LIVE}", "o1"), (1, "nothing to cut in this text of the same id", "o1"), (1, other, "o1")]
+    df = messy(spark, [*twice, *[(None, t, o) for _, t, o in twice], (None, f"password = {LIVE}", "o1")], "doc_id long, text string, source string")
+    out = s.redact_live(df)
+    got = sorted(str((r.doc_id, r.text)) for r in out.collect())
+    cut = ["[secret]", twice[1][1], "a longer text before it, then [secret]"]
+    assert out.columns == df.columns
+    assert got == sorted([*(str((i, t)) for i in (1, None) for t in cut), str((None, "[secret]"))])
+
+
 def test_empty_table(spark):
     assert s.find_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
