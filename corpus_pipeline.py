@@ -14,26 +14,41 @@ from panelwright.llm.store import Workspace
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in ``gone``; a row without an id goes if a NULL is in it."""
-    ids = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def _numbered(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """``docs`` written with a number for each row: ids may be NULL or repeat, so decisions go by row."""
+    return ws.table(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _without(numbered: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose number isn't in ``gone``, without the numbers."""
+    return numbered.join(gone.select("_row"), "_row", "left_anti").drop("_row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that fail the base rules or the likelihood ratio go."""
-    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, Workspace(spark, "quality-stage").table(judged.where(~F.col("kept")).select("doc_id")))
+    ws = Workspace(spark, "quality-stage")
+    numbered = _numbered(ws, docs)
+    judged = quality_rules.judge(numbered, table(spark, sf_dir, "labels"), row_col="_row")
+    return _without(numbered, ws.table(judged.where(~F.col("kept")).select("_row")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of identical texts, the row with the largest id stays."""
-    return _without(docs, exact_dedup.exact_groups(docs).where(~F.col("kept")))
+    """Of identical texts, the row with the largest id stays, the last of these; one without an id if none has one."""
+    numbered = _numbered(Workspace(spark, "exact-stage"), docs)
+    groups = exact_dedup.exact_groups(numbered.select(F.struct("doc_id", "_row").alias("place"), "text"), id_col="place")
+    return _without(numbered, groups.where(~F.col("kept")).select("place._row"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts, the row with the smallest id stays."""
-    return _without(docs, jaccard_join.linked_components(docs).where(F.col("component_id") != F.col("doc_id")))
+    """Of each group of linked texts, the row with the smallest id stays, the first of these; one without an id if none has one."""
+    ws = Workspace(spark, "near-stage")
+    numbered = _numbered(ws, docs)
+    linked = jaccard_join.linked_components(numbered.select("_row", "text"), id_col="_row").select("_row", "component_id")
+    rows = ws.table(numbered.select("_row", "doc_id").join(linked, "_row"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    groups = rows.groupBy("component_id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"))
+    groups = ws.table(groups.where("size > 1").select("component_id", F.col("first._row").alias("first")))
+    return _without(numbered, rows.join(groups, "component_id").where("_row <> first"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

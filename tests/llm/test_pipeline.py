@@ -38,6 +38,41 @@ def test_stages_on_odd_rows(spark, texts):
     assert near == ids - {40, 41, 42, 43}
 
 
+def odd_ids():
+    """(id, text): NULL and repeated ids, with copies and without."""
+    import random
+
+    draw = random.Random(5)
+    prose = [" ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(90)) for _ in range(6)]
+    same = [(None, prose[0]), (None, prose[0]), (7, prose[0]), (7, prose[0]), (None, prose[1]), (7, prose[2]), (None, prose[3]), (None, prose[3])]
+    near = [(None, prose[4] + " x"), (None, prose[4] + " y"), (9, prose[5]), (9, prose[5] + " z")]
+    return prose, [*same, *near, (None, "short"), (7, "short too"), (None, None), (None, None)]
+
+
+@needs_data
+def test_decisions_go_by_row(spark):
+    from collections import Counter
+
+    prose, rows = odd_ids()
+    whole = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+
+    def left(stage):
+        return Counter((r.doc_id, r.text) for r in stage(spark, whole, SF).collect())
+
+    assert left(corpus_pipeline.exact_copies) == Counter(
+        [(7, prose[0]), (None, prose[1]), (7, prose[2]), (None, prose[3]), *rows[8:14], (None, None)]
+    )
+    near = left(corpus_pipeline.near_copies)
+    assert sum(near.values()) == 10 and {(7, prose[0]), (None, prose[1]), (7, prose[2]), (None, prose[3])} < set(near)
+    assert sum((near[x] for x in rows[8:10])) == 1 and sum((near[x] for x in rows[10:12])) == 1 and near[(None, None)] == 2
+    no_marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    corpus_pipeline_table, corpus_pipeline.table = corpus_pipeline.table, lambda *_: no_marks
+    try:
+        assert left(corpus_pipeline.quality) == Counter(rows[:12])
+    finally:
+        corpus_pipeline.table = corpus_pipeline_table
+
+
 @needs_data
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns[:2] == ["doc_id", "piece"]
