@@ -38,8 +38,10 @@ BLOCKS = frozenset(
 HOLDERS = frozenset("html body main article section nav aside header footer div ul ol dl table tbody thead tfoot tr form fieldset figure details center".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Their text is never part of a page's visible prose.
-SILENT = frozenset("script style noscript template textarea title iframe svg math select option button object canvas head".split())
+SILENT = frozenset("script style noscript template textarea title iframe svg math select datalist option button object canvas head".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
+# What may stand in a head; anything else, text too, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BOUNDS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
@@ -97,12 +99,15 @@ class Page:
         return len(self.tag) - 1
 
     def _read(self, source: str) -> None:
-        stack, block, at, links, quiet = [0], 0, 0, 0, 0
+        stack, block, at, links = [0], 0, 0, 0
+        silent: list[str] = []  # open silent elements, outermost first
         loose = (-1, -1)  # block and node of the last loose run
 
         def text(part: str) -> None:
             nonlocal loose
-            if quiet or not part or part.isspace() and (not self.runs or self.runs[-1][1] != block):
+            if silent and silent[-1] == "head" and not part.isspace():
+                silent.pop()
+            if silent or not part or part.isspace() and (not self.runs or self.runs[-1][1] != block):
                 return
             node = stack[-1]
             if self.tag[node] in HOLDERS or node == 0:
@@ -127,7 +132,8 @@ class Page:
                 if name == "a":
                     links = max(0, links - 1)
                 elif name in SILENT and name not in RAW:
-                    quiet = max(0, quiet - 1)
+                    if name in silent:  # with all that is still open in it
+                        del silent[len(silent) - 1 - silent[::-1].index(name) :]
                 if name in BLOCKS:
                     block += 1
                 for i in range(len(stack) - 1, 0, -1):
@@ -136,18 +142,22 @@ class Page:
                         break
                 continue
             attributes = m[3] if m[2] else m[6]
+            if silent and silent[-1] == "head" and name not in IN_HEAD:
+                silent.pop()
+            if silent and silent[-1] == "option" and name in ("option", "optgroup"):
+                silent.pop()
             if name in RAW:
                 end = _SHUT[name].search(source, at)
                 at = len(source) if not end else max(end.start(), source.find(">", end.start()) + 1)
                 continue
             if name in SILENT:
                 if not attributes.endswith("/"):
-                    quiet += 1
+                    silent.append(name)
                 continue
             if name in BLOCKS:
                 block += 1
-                if quiet and name == "body":
-                    quiet = 0
+                if name == "body":
+                    silent.clear()
                 if name != "hr":
                     for i in range(len(stack) - 1, 0, -1):
                         if self.tag[stack[i]] == "p":

@@ -47,6 +47,17 @@ def test_reading_of_markup():
     assert everything("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
 
 
+def test_silent_elements_without_end_tags():
+    assert everything("<p>a</p><select><option>A<option>B</select><p>b</p>") == "a\nb"
+    assert everything("<select><optgroup><option>A<optgroup><option>B<option>C</select>after") == "after"
+    assert everything("<datalist><option>A<option>B</datalist>after") == "after"
+    assert everything("<html><head><meta charset=x><title>t</title><link rel=y><p>text") == "text"
+    assert everything("<head><script>s()</script>\n<span>loose</span> run") == "loose run"
+    assert everything("<head><title>t</title>words") == "words"
+    assert everything("<head><style>s</style></head><body><div>in</div>") == "in"
+    assert everything("</option></select>x<button>no<svg><text>no</button>y<object>no</object>z") == "xyz"
+
+
 def test_labels_below_a_dropped_node_are_dropped():
     import numpy as np
 
