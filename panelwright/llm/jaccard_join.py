@@ -85,14 +85,30 @@ def _prefix_size(n: Column, percent: int) -> Column:
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
-    """Can documents of two rows of one n-gram still be linked? ``n``, ``pos`` and ``after`` may be ranges of a block."""
+    """Can documents of two rows of one n-gram still be linked? ``n``, ``pos`` and ``after`` may be ranges of a block.
+
+    ``unsampled`` is the most n-grams that one of the documents has outside its sample; it doesn't always rise with ``n``.
+    """
     lo_a, lo_b, hi_a, hi_b = (F.col(f"{x}.{c}") for c in ("n_low", "n_high") for x in (a, b))
     overlap = F.ceil(percent * (lo_a + lo_b) / (100 + percent))
-    least_shared = overlap - F.greatest(hi_a - _sample_size(hi_a, percent), hi_b - _sample_size(hi_b, percent))
+    least_shared = overlap - F.greatest(f"{a}.unsampled", f"{b}.unsampled")
     most = F.least(f"{a}.pos", f"{b}.pos") + F.least(f"{a}.after", f"{b}.after")
     return (100 * F.least(hi_a, hi_b) >= percent * F.greatest(lo_a, lo_b)) & (most >= least_shared)
 
 
+def _block_rows(postings: DataFrame, percent: int) -> DataFrame:
+    """One row for each n-gram and block: the extremes of its documents, which ``_possible`` needs."""
+    return postings.groupBy("token", "block").agg(
+        F.min("n").alias("n_low"),
+        F.max("n").alias("n_high"),
+        F.max(F.col("n") - _sample_size(F.col("n"), percent)).alias("unsampled"),
+        F.max("pos").alias("pos"),
+        F.max(F.col("repeated") - F.col("pos")).alias("after"),
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+    )
+
+
 def _facts(k: int):
     """Size and identity of each document's set."""
 
@@ -316,17 +332,7 @@ def linked_components(
     block = F.struct("hub", "kind", "step", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")).alias("block")
     docs = ws.table(docs.join(sizes, ["hub", "kind", "step"]).select("rep", "component", block))
 
-    at = postings.join(docs, "rep").groupBy("token", "block")
-    at = ws.table(
-        at.agg(
-            F.min("n").alias("n_low"),
-            F.max("n").alias("n_high"),
-            F.max("pos").alias("pos"),
-            F.max(F.col("repeated") - F.col("pos")).alias("after"),
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-        )
-    )
+    at = ws.table(_block_rows(postings.join(docs, "rep"), percent))
     split = at.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("token")
     open_rows = at.join(split, "token", "left_semi")
     several = (F.least("x.low", "y.low") < F.greatest("x.high", "y.high")) & _possible("x", "y", percent)

@@ -62,3 +62,15 @@ def test_components_of_long_chains_and_stars(spark):
 
 def test_empty_table(spark):
     assert jaccard_join.linked_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_filter_of_blocks_keeps_what_their_members_may_share(spark):
+    from pyspark.sql import functions as F
+
+    outside = [n - jaccard_join.sample_size(n, jaccard_join.PERCENT) for n in (83, 84)]
+    shared = -(-jaccard_join.PERCENT * 2 * 83 // (100 + jaccard_join.PERCENT)) - max(outside)
+    assert outside == [54, 53] and shared == 18  # two sets of 83 may share no more of their samples
+    rows = [(1, block, n, 0, shared, block) for block in (1, 2) for n in (83, 84)]
+    at = jaccard_join._block_rows(spark.createDataFrame(rows, "token long, block long, n long, pos int, repeated int, component long"), jaccard_join.PERCENT)
+    met = at.alias("x").join(at.alias("y"), (F.col("x.block") < F.col("y.block")) & jaccard_join._possible("x", "y", jaccard_join.PERCENT))
+    assert met.count() == 1
