@@ -1,8 +1,8 @@
 """Languages of texts by bit-sliced Bloom filters of byte n-grams.
 
-One filter per language would be asked one by one; here the filters lie side by side. A slot is a 64-bit
-word with one bit for each language, and an n-gram sets its languages' bits in ``HASHES`` slots. The AND
-of these slots returns, at once, all languages that contain the n-gram. A text's n-grams are counted per
+One filter per language would be asked one by one; here the filters lie side by side. A slot has one bit
+for each language, in as many 64-bit words as that takes, and an n-gram sets its languages' bits in
+``HASHES`` slots. The AND of these slots returns, at once, all languages that contain the n-gram. A text's n-grams are counted per
 language; the n-grams that a filter of its fill would accept by chance are taken off; the largest count
 decides. The filters have a fixed size at any number of texts.
 
@@ -25,7 +25,7 @@ from panelwright.llm.store import Workspace
 from panelwright.session import ship_package
 
 TRAINING_TEXTS = 2_000
-LANGUAGES = 64
+WORD = 64
 SLOTS, HASHES = 1 << 19, 3
 GRAM = 4
 LEAST_COUNT, SHARE = 3, 0.5
@@ -82,29 +82,29 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _filled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        mask = batch.column("mask")
+        word, mask = batch.column("word"), batch.column("mask")
         for slot in slots_of(batch.column("gram").to_numpy()):
-            yield pa.RecordBatch.from_arrays([pa.array(slot), mask], ["slot", "mask"])
+            yield pa.RecordBatch.from_arrays([word, pa.array(slot), mask], ["word", "slot", "mask"])
 
 
 class Filters:
-    """The learned languages (by falling number of texts, then name), and the slots."""
+    """The learned languages (by falling number of texts, then name), and the slots: one row of them for each ``WORD`` languages."""
 
     def __init__(self, languages: list[str], slots: np.ndarray):
         self.languages, self.slots = languages, slots
-        bits = [(slots >> np.uint64(j) & np.uint64(1)).sum() / SLOTS for j in range(len(languages))]
+        bits = [(slots[j // WORD] >> np.uint64(j % WORD) & np.uint64(1)).sum() / SLOTS for j in range(len(languages))]
         self.chance = np.asarray(bits) ** HASHES
 
     def counts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Per row and language: n-grams found, less those expected by chance."""
         value, row = byte_grams(data, begins)
         first, second, third = slots_of(value)
-        mask = self.slots[first] & self.slots[second] & self.slots[third]
+        masks = [word[first] & word[second] & word[third] for word in self.slots]
         rows = len(begins) - 1
         total = np.bincount(row, minlength=rows)
         out = np.zeros((rows, len(self.languages)))
         for j, chance in enumerate(self.chance):
-            seen = np.bincount(row[(mask >> np.uint64(j) & np.uint64(1)).astype(bool)], minlength=rows)
+            seen = np.bincount(row[(masks[j // WORD] >> np.uint64(j % WORD) & np.uint64(1)).astype(bool)], minlength=rows)
             out[:, j] = np.maximum(0, (seen - total * chance) / (1 - chance)) if chance < 1 else 0
         return out
 
@@ -123,14 +123,14 @@ class Filters:
 
 
 def learn(ws: Workspace, df: DataFrame, id_col: str, text_col: str, lang_col: str) -> Filters:
-    """From at most ``TRAINING_TEXTS`` texts of each of the ``LANGUAGES`` most frequent languages, by hashed id."""
+    """From at most ``TRAINING_TEXTS`` texts of each labelled language, by hashed id."""
     spark = df.sparkSession
     known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     named = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("name"))
-    ranked = named.groupBy("name").count().orderBy(F.desc("count"), "name").limit(LANGUAGES)
+    ranked = named.groupBy("name").count().orderBy(F.desc("count"), "name")
     languages = [r["name"] for r in ranked.collect()]
     if not languages:
-        return Filters([], np.zeros(SLOTS, np.uint64))
+        return Filters([], np.zeros((1, SLOTS), np.uint64))
     numbers = spark.createDataFrame(list(enumerate(languages)), "language int, name string")
     order = Window.partitionBy("name").orderBy(F.xxhash64("id"), "id")
     chosen = named.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= TRAINING_TEXTS)
@@ -142,10 +142,11 @@ def learn(ws: Workspace, df: DataFrame, id_col: str, text_col: str, lang_col: st
     shares = counts.where(F.col("times") >= LEAST_COUNT).join(F.broadcast(sizes), "language").withColumn("share", F.col("times") / F.col("size"))
     largest = shares.groupBy("gram").agg(F.max("share").alias("largest"))
     member = shares.join(largest, "gram").where(F.col("share") >= SHARE * F.col("largest"))
-    masks = member.groupBy("gram").agg(F.bit_or(F.expr("shiftleft(1L, language)")).alias("mask"))
-    filled = masks.mapInArrow(_filled, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    slots = np.zeros(SLOTS, np.uint64)  # at most SLOTS rows come here
-    slots[filled["slot"].to_numpy()] = filled["mask"].to_numpy().view(np.uint64)
+    word = F.floor(F.col("language") / WORD).cast("int").alias("word")
+    masks = member.groupBy("gram", word).agg(F.bit_or(F.expr(f"shiftleft(1L, language % {WORD})")).alias("mask"))
+    filled = masks.mapInArrow(_filled, "word int, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    slots = np.zeros((-(-len(languages) // WORD), SLOTS), np.uint64)  # at most SLOTS rows a word come here
+    slots[filled["word"].to_numpy(), filled["slot"].to_numpy()] = filled["mask"].to_numpy().view(np.uint64)
     return Filters(languages, slots)
 
 
@@ -167,7 +168,7 @@ def identify(
 
     def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, slots = shared.value
-        known = Filters(languages, np.frombuffer(slots, np.uint64))
+        known = Filters(languages, np.frombuffer(slots, np.uint64).reshape(-1, SLOTS))
         for batch in batches:
             found = list(known.decide(batch.column("text")))
             yield pa.RecordBatch.from_arrays(

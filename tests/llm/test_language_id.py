@@ -41,3 +41,14 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in language_id.identify(df).collect()] == [(1, zlib.crc32(b"1") % 4 == 2, "und", 0.0)]
     assert language_id.identify(df.limit(0)).count() == 0
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    draw = random.Random(3)
+    rows = []
+    for k in range(70):
+        words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(draw.choice(words) for _ in range(40)), f"l{k:02}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df).collect()}
+    assert {i: got[i] for i, _, _ in rows} == {i: lang for i, _, lang in rows}
