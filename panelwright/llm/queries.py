@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import bpe, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, quality_rules, repeats, secret_scan
+from panelwright.llm import (
+    bpe, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, prefix_trie,
+    quality_rules, repeats, secret_scan, sql_checks, vector_codes,
+)
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,6 +59,14 @@ def op10_html_extract(spark: SparkSession, sf: str) -> DataFrame:
     return html_extract.extract(table(spark, sf, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_repeats": op2_repeats,
@@ -67,8 +78,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_html_extract": op10_html_extract,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
+
 def _spans(kind: int, pattern: str, value: str) -> str:
     pattern = pattern.replace("'", "''")
     return f"""
@@ -106,4 +120,6 @@ FROM documents d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id""",
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_vector_codes": sql_checks.vector_codes(),
+    "op12_prefix_trie": sql_checks.PREFIX_TRIE,
 }
