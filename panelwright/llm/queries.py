@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.llm import (
     bpe, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, prefix_trie,
-    quality_rules, repeats, secret_scan, sql_checks, vector_codes,
+    private_data, quality_rules, repeats, secret_scan, sql_checks, vector_codes,
 )
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -67,6 +67,10 @@ def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
 
 
+def op13_private_data(spark: SparkSession, sf: str) -> DataFrame:
+    return private_data.find_private(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_repeats": op2_repeats,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extract": op10_html_extract,
     "op11_vector_codes": op11_vector_codes,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_private_data": op13_private_data,
 }
 
 
