@@ -50,35 +50,39 @@ def record_hash(columns: Sequence[str], source_object: str = "_source_object", o
     return F.sha2(F.concat(fields, F.col(source_object)), 256)
 
 
+def version_id(archive: Column, member: Column, version_ts: Column) -> Column:
+    """B3. ``archive!/member@time``: members of equal name in two archives are two files."""
+    return F.concat(archive, F.lit("!/"), member, F.lit("@"), version_ts)
+
+
 def changed_members(members: DataFrame, control: DataFrame) -> DataFrame:
     """B3–B4. Members whose version is not handled yet, with their version id.
 
     ``members``: archive, member, version_ts, crc32 (from the archive index).
-    ``control``: member, version_ts, crc32, source_object, status. A CRC that
-    changed under the same timestamp gets its own id. A control row rebuilt
-    from stored rows has no CRC and matches on the timestamp alone.
+    ``control``: archive, member, version_ts, crc32, source_object, status; one row per version, so an archive that
+    goes back to an earlier version has nothing new. A CRC that changed under the same timestamp gets its own
+    id. A control row rebuilt from stored rows has no CRC and matches on the timestamp alone.
     """
-    c = control.select(
-        "member",
-        F.col("version_ts").alias("_ts"),
-        F.col("crc32").alias("_crc"),
-        F.col("source_object").alias("_object"),
-        F.col("status").alias("_status"),
-    )
-    same_time = F.coalesce(F.col("_ts") == F.col("version_ts"), F.lit(False))
-    same_crc = F.col("_crc").isNull() | (F.col("_crc") == F.col("crc32"))
-    handled = F.coalesce(F.col("_status").isin(COMPLETE, REJECTED), F.lit(False)) & same_time & same_crc
-    plain = F.concat_ws("@", "member", "version_ts")
-    source_object = F.when(same_time & ~same_crc, F.concat(plain, F.lit("#crc"), F.col("crc32"))).otherwise(plain)
+    keys = ["archive", "member", "version_ts"]
+    states = F.struct(F.col("crc32").alias("crc"), F.col("source_object").alias("id"), "status")
+    known = control.groupBy(*keys).agg(F.collect_list(states).alias("_known"))  # as many as the CRCs seen at one time
+
+    def any_known(test) -> Column:
+        return F.coalesce(F.exists("_known", test), F.lit(False))
+
+    def same(k: Column) -> Column:
+        return k["crc"].isNull() | (k["crc"] == F.col("crc32"))
+
+    plain = version_id(F.col("archive"), F.col("member"), F.col("version_ts"))
+    earlier = F.get(F.filter("_known", same), F.lit(0))["id"]
+    other = any_known(lambda k: k["crc"] != F.col("crc32"))
+    source_object = F.coalesce(earlier, F.when(other, F.concat(plain, F.lit("#crc"), F.col("crc32"))), plain)
     return (
-        members.join(c, "member", "left")
-        .filter(~handled)
+        members.join(known, keys, "left")
+        .filter(~any_known(lambda k: k["status"].isin(COMPLETE, REJECTED) & same(k)))
         .withColumn("source_object", source_object)
-        .withColumn(
-            "resumes",
-            F.coalesce((F.col("_status") == IN_PROGRESS) & (F.col("_object") == F.col("source_object")), F.lit(False)),
-        )
-        .drop("_ts", "_crc", "_object", "_status")
+        .withColumn("resumes", any_known(lambda k: (k["status"] == IN_PROGRESS) & (k["id"] == F.col("source_object"))))
+        .drop("_known")
     )
 
 
@@ -97,26 +101,21 @@ def archive_actions(listing: DataFrame, control: DataFrame) -> DataFrame:
 
 
 def control_state(control: DataFrame, changes: DataFrame, status: str) -> DataFrame:
-    """B6. Control table with ``changes`` moved to ``status``; other rows stay.
+    """B6. Control table with the versions in ``changes`` moved to ``status``; other rows stay.
 
     Written before the rows with ``in_progress`` and after them with
     ``complete`` or ``rejected``.
     """
     columns = ["archive", "member", "version_ts", "crc32", "source_object", "status"]
     moved = changes.withColumn("status", F.lit(status)).select(*columns)
-    return control.join(moved, "member", "left_anti").select(*columns).unionByName(moved)
+    return control.join(moved, ["archive", "source_object"], "left_anti").select(*columns).unionByName(moved)
 
 
 def fill_missing_crc(control: DataFrame, members: DataFrame) -> DataFrame:
     """B4. A rebuilt control row takes the CRC the first time its version is seen again."""
-    seen = members.select("member", F.col("version_ts").alias("_ts"), F.col("crc32").alias("_crc"))
-    return (
-        control.join(seen, "member", "left")
-        .withColumn(
-            "crc32", F.coalesce("crc32", F.when(F.col("_ts") == F.col("version_ts"), F.col("_crc")))
-        )
-        .drop("_ts", "_crc")
-    )
+    keys = ["archive", "member", "version_ts"]
+    seen = members.select(*keys, F.col("crc32").alias("_crc"))
+    return control.join(seen, keys, "left").withColumn("crc32", F.coalesce("crc32", "_crc")).drop("_crc")
 
 
 def missing_rows(new: DataFrame, stored: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -128,25 +127,16 @@ def missing_rows(new: DataFrame, stored: DataFrame, columns: Sequence[str]) -> D
     return bag_difference(new, stored, columns)
 
 
-def rebuild_control(bronze: DataFrame, archive: Column, source_object: str = "_source_object") -> DataFrame:
-    """B8. Control table from stored rows: newest version per member, CRC unknown.
-
-    ``archive`` is computed from the column ``member``.
-    """
-    versions = bronze.select(source_object).distinct()
-    parts = versions.select(
-        F.col(source_object).alias("source_object"),
-        F.split_part(F.col(source_object), F.lit("@"), F.lit(1)).alias("member"),
-        F.split_part(F.split_part(F.col(source_object), F.lit("@"), F.lit(2)), F.lit("#"), F.lit(1)).alias("version_ts"),
-    )
-    newest = parts.groupBy("member").agg(
-        F.max_by("source_object", F.struct("version_ts", "source_object")).alias("source_object"),
-        F.max("version_ts").alias("version_ts"),
-    )
-    return newest.select(
-        archive.alias("archive"),
-        "member",
-        "version_ts",
+def rebuild_control(bronze: DataFrame, source_object: str = "_source_object") -> DataFrame:
+    """B8. Control table from stored rows: every version that is stored, CRC unknown."""
+    whole = F.col("source_object")
+    at = F.length(whole) - F.length(F.substring_index(whole, "@", -1))
+    file, version = F.substring(whole, F.lit(1), at - 1), F.substring(whole, at + 1, F.length(whole))
+    cut = F.instr(file, "!/")
+    return bronze.select(F.col(source_object).alias("source_object")).distinct().select(
+        F.substring(file, F.lit(1), F.greatest(cut - 1, F.lit(0))).alias("archive"),
+        F.when(cut > 0, F.substring(file, cut + 2, F.length(file))).otherwise(file).alias("member"),
+        F.split_part(version, F.lit("#"), F.lit(1)).alias("version_ts"),
         F.lit(None).cast("string").alias("crc32"),
         "source_object",
         F.lit(COMPLETE).alias("status"),

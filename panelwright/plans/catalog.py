@@ -37,6 +37,7 @@ from panelwright.plans import pipeline as p
 from panelwright.plans import standins as st
 from panelwright.session import cut_lineage, shared_dir
 from panelwright.sources import archives, text
+from panelwright.sources.events import fold_events
 from panelwright.streaming import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,7 +96,7 @@ def _control(spark: SparkSession, sf: str) -> DataFrame:
         "member",
         "version_ts",
         crc.alias("crc32"),
-        F.concat_ws("@", "member", "version_ts").alias("source_object"),
+        ingest.version_id(F.col("archive"), F.col("member"), F.col("version_ts")).alias("source_object"),
         status.alias("status"),
     )
 
@@ -113,7 +114,7 @@ o.relation(
     "control",
     ["members_before"],
     """SELECT archive, member, version_ts, CASE WHEN archive = 'click' THEN NULL ELSE crc32 END AS crc32,
-              member || '@' || version_ts AS source_object,
+              archive || '!/' || member || '@' || version_ts AS source_object,
               CASE archive WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'in_progress' ELSE 'complete' END AS status
        FROM members_before""",
 )
@@ -122,9 +123,10 @@ o.relation(
     ["members", "control"],
     """SELECT m.archive, m.member, m.version_ts, m.crc32,
               CASE WHEN c.version_ts = m.version_ts AND c.crc32 IS NOT NULL AND c.crc32 <> m.crc32
-                   THEN m.member || '@' || m.version_ts || '#crc' || m.crc32 ELSE m.member || '@' || m.version_ts END AS source_object,
+                   THEN m.archive || '!/' || m.member || '@' || m.version_ts || '#crc' || m.crc32
+                   ELSE m.archive || '!/' || m.member || '@' || m.version_ts END AS source_object,
               c.status, c.source_object AS old_object
-       FROM members m LEFT JOIN control c ON m.member = c.member
+       FROM members m LEFT JOIN control c ON m.archive = c.archive AND m.member = c.member AND m.version_ts = c.version_ts
        WHERE NOT coalesce(c.status IN ('complete', 'rejected') AND c.version_ts = m.version_ts
                           AND (c.crc32 IS NULL OR c.crc32 = m.crc32), false)""",
 )
@@ -184,7 +186,7 @@ def archive_actions(spark, sf):
     "control_transition",
     ["control", "changed"],
     """SELECT archive, member, version_ts, crc32, source_object, status FROM control
-       WHERE member NOT IN (SELECT member FROM changed)
+       WHERE source_object NOT IN (SELECT source_object FROM changed)
        UNION ALL SELECT archive, member, version_ts, crc32, source_object, 'complete' FROM changed""",
 )
 def control_transition(spark, sf):
@@ -199,7 +201,7 @@ def control_transition(spark, sf):
     ["control", "members"],
     """SELECT c.archive, c.member, c.version_ts,
               coalesce(c.crc32, CASE WHEN m.version_ts = c.version_ts THEN m.crc32 END) AS crc32, c.source_object, c.status
-       FROM control c LEFT JOIN members m ON c.member = m.member""",
+       FROM control c LEFT JOIN members m ON c.archive = m.archive AND c.member = m.member""",
 )
 def control_crc_fill(spark, sf):
     return ingest.fill_missing_crc(_control(spark, sf), _members(spark, sf, 24)).select(
@@ -222,13 +224,28 @@ def resume_missing(spark, sf):
 @query(
     "control_rebuild",
     ["versions"],
-    """SELECT archive, member, max(version_ts) AS version_ts, CAST(NULL AS VARCHAR) AS crc32,
-              arg_max(_source_object, version_ts) AS source_object, 'complete' AS status
-       FROM (SELECT DISTINCT split_part(_source_object, '.csv', 1) AS archive, split_part(_source_object, '@', 1) AS member,
-                    split_part(_source_object, '@', 2) AS version_ts, _source_object FROM versions) GROUP BY ALL""",
+    """SELECT archive, split_part(_source_object, '@', 1) AS member, split_part(_source_object, '@', 2) AS version_ts,
+              CAST(NULL AS VARCHAR) AS crc32, archive || '!/' || _source_object AS source_object, 'complete' AS status
+       FROM versions GROUP BY ALL""",
 )
 def control_rebuild(spark, sf):
-    return ingest.rebuild_control(st.versions(spark, sf), F.split_part(F.col("member"), F.lit(".csv"), F.lit(1)))
+    stored = st.versions(spark, sf).select(F.concat("archive", F.lit("!/"), "_source_object").alias("_source_object"))
+    return ingest.rebuild_control(stored)
+
+
+@query(
+    "control_fold",
+    ["versions"],
+    """SELECT archive, member, _source_object AS source_object, count(*) AS events, max(event_id) AS seq,
+              arg_max(level, event_id) AS status FROM versions GROUP BY ALL""",
+)
+def control_fold(spark, sf):
+    """B6: the newest event of each version, however long its history."""
+    logged = st.versions(spark, sf).select(
+        "archive", "member", F.col("_source_object").alias("source_object"), F.col("level").alias("status"), F.col("event_id").alias("seq")
+    )
+    keys = ["archive", "member", "source_object"]
+    return fold_events(logged, keys).join(logged.groupBy(*keys).agg(F.count("*").alias("events")), keys)
 
 
 _DOC = ["date_text", "value_text", "_source_object"]
@@ -387,18 +404,15 @@ def archive_scan(spark, sf):
 def archive_load(spark, sf):
     """B1–B8: archives loaded twice into one table; the second load finds nothing new.
 
-    Every archive holds its own member of a file, so member names carry the archive.
+    Every archive holds a member of each file under the same name.
     """
     folder = _fresh_folder(spark, "load")
-    st.write_files(p.bronze(spark, sf), f"{folder}/in", "zip", unique_members=True)
+    st.write_files(p.bronze(spark, sf), f"{folder}/in", "zip")
     required = ["date_text", "entity", "product", "quantity_text", "value_text"]
-    year = F.regexp_extract("member", r"lines_(\d{4})", 1)
     for load_id in ("load-1", "load-2"):
-        loading.load_archives(
-            spark, f"{folder}/in", f"{folder}/_bronze", f"{folder}/_control", required, year, "panel-source", load_id, st.RUN_AT
-        )
+        loading.load_archives(spark, f"{folder}/in", f"{folder}/_bronze", f"{folder}/_control", required, "panel-source", load_id, st.RUN_AT)
     stored = text.read_table(spark, f"{folder}/_bronze")
-    name = F.regexp_replace("_source_object", r"^part\d+_", "")
+    name = F.regexp_replace("_source_object", r"^.*!/", "")
     return stored.groupBy(name.alias("_source_object"), "entity", "product", F.col("_ingestion_mode").alias("mode")).agg(
         F.count("*").alias("rows")
     )

@@ -191,10 +191,10 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def write_files(rows: DataFrame, folder: str, kind: str, unique_members: bool = False) -> None:
+def write_files(rows: DataFrame, folder: str, kind: str) -> None:
     """Write the rows as the external files the loaders read: one file per Spark partition.
 
-    ``zip``: an archive with one delimited member per ``_source_object``.
+    ``zip``: an archive with one delimited member per ``_source_object``, of the same name in every archive.
     ``json``: a document with a ``value`` list. File names follow the partition
     number, so a retried task overwrites its own file.
     """
@@ -217,8 +217,7 @@ def write_files(rows: DataFrame, folder: str, kind: str, unique_members: bool =
                             text = part[[c for c in names if c != "_source_object"]].to_csv(sep=";", index=False)
                             member, version = name.split("@")
                             when = datetime.datetime.fromisoformat(version).timetuple()[:6]
-                            prefix = f"part{number}_" if unique_members else ""
-                            info = zipfile.ZipInfo(f"{prefix}{version[:10]}_{member}", when)
+                            info = zipfile.ZipInfo(f"{version[:10]}_{member}", when)
                             archive.writestr(info, text.encode("utf-8-sig"), zipfile.ZIP_DEFLATED)
                     out.write(buffer.getvalue())
         yield pa.RecordBatch.from_pydict({"n": pa.array([len(frames)], pa.int64())})

@@ -8,8 +8,6 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 
 
 def build_session(app: str = "panelwright", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -93,3 +91,24 @@ def stage_table(spark: SparkSession, name: str, build: Callable[[], DataFrame])
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it doesn't exist."""
+    target, files = _file_system(spark, path)
+    return [entry.getPath().getName() for entry in files.listStatus(target)] if files.exists(target) else []
+
+
+def committed_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path`` whose write has been committed."""
+    return [name for name in folder_names(spark, path) if path_exists(spark, f"{path}/{name}/_SUCCESS")]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target, files = _file_system(spark, path)
+    files.delete(target, True)

@@ -14,6 +14,7 @@ import csv
 import datetime
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 from typing import BinaryIO
 
@@ -30,20 +31,25 @@ from panelwright.session import ship_package, tasks_for
 UNICODE, SINGLE_BYTE = "utf-8-sig", "latin-1"
 CHUNK_BYTES = 1 << 20
 
-MEMBER_SCHEMA = (
-    "archive string, member string, version_ts string, crc32 string, bytes bigint, "
-    "encoding string, header array<string>, error string"
-)
+INDEX_SCHEMA = "archive string, path string, member string, version_ts string, crc32 string, bytes bigint, error string"
+# What a task says of a member that it couldn't read to its end.
+ROW, ERROR = "row", "error"
 
 
 def list_archives(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
-    """Archive paths; the content column is pruned, so only names are listed."""
+    """``path`` of each archive, its name below the folder (``archive``), its size and time.
+
+    The content column is pruned, so files are listed only. The name doesn't change when the folder moves.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    below = F.element_at(F.split("path", F.concat(F.lit(r"\Q"), F.lit(root), F.lit(r"\E/")), 2), -1)
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .load(path)
-        .select(F.col("path").alias("archive"), F.col("length").alias("archive_bytes"))
+        .select("path", below.alias("archive"), F.col("length").alias("archive_bytes"), F.col("modificationTime").alias("modified"))
     )
 
 
@@ -84,60 +90,73 @@ def member_header(stream: BinaryIO, encoding: str, sep: str) -> list[str]:
         return next(csv.reader(lines, delimiter=sep), [""])
 
 
-def _members_of(archive: str, sep: str) -> Iterator[dict]:
-    blank = dict.fromkeys(["member", "version_ts", "crc32", "bytes", "encoding", "header", "error"])
-    try:
-        with _open(archive) as handle, _index(handle) as index:
-            for info in index.infolist():
-                if not info.filename.lower().endswith(".csv"):
-                    continue
-                with index.open(info) as stream:
-                    encoding = member_encoding(stream)
-                with index.open(info) as stream:
-                    header = member_header(stream, encoding, sep)
-                yield {
-                    **blank,
-                    "archive": archive,
-                    "member": info.filename,
-                    "version_ts": datetime.datetime(*info.date_time).isoformat(),
-                    "crc32": f"{info.CRC:08x}",
-                    "bytes": info.file_size,
-                    "encoding": encoding,
-                    "header": header,
-                }
-    except zipfile.BadZipFile as error:  # storage that fails is no bad archive: it ends the task, which runs again
-        yield {**blank, "archive": archive, "error": f"{type(error).__name__}: {error}"}
+def _reason(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"[:500]
 
 
-def archive_members(archives: DataFrame, sep: str = ";") -> DataFrame:
-    """A1. One row per ``.csv`` member with version, CRC, encoding and header.
+def archive_index(archives: DataFrame) -> DataFrame:
+    """A1. One row per ``.csv`` member with version and CRC, from the archives' indexes alone.
 
-    A file that is no archive gives one row with ``error`` and no member; the
-    others go on. Archives are dealt out one by one over all tasks.
+    A file that is no archive gives one row with ``error``, an empty member and the file's own time as version;
+    the others go on. Archives are dealt out one by one over all tasks.
     """
     ship_package(archives.sparkSession)
-    schema = MEMBER_SCHEMA
-    arrow = pa.schema(
-        [
-            ("archive", pa.string()),
-            ("member", pa.string()),
-            ("version_ts", pa.string()),
-            ("crc32", pa.string()),
-            ("bytes", pa.int64()),
-            ("encoding", pa.string()),
-            ("header", pa.list_(pa.string())),
-            ("error", pa.string()),
-        ]
-    )
+    arrow = pa.schema([("bytes", pa.int64()) if n == "bytes" else (n, pa.string()) for n in T.StructType.fromDDL(INDEX_SCHEMA).names])
+
+    def members_of(archive: str, path: str, modified: str) -> Iterator[dict]:
+        found = {"archive": archive, "path": path}
+        try:
+            with _open(path) as handle, _index(handle) as index:
+                for info in index.infolist():
+                    if info.filename.lower().endswith(".csv"):
+                        when = datetime.datetime(*info.date_time).isoformat()
+                        yield found | {"member": info.filename, "version_ts": when, "crc32": f"{info.CRC:08x}", "bytes": info.file_size}
+        except (zipfile.BadZipFile, NotImplementedError, ValueError) as error:  # storage that fails ends the task, which runs again
+            yield found | {"member": "", "version_ts": modified, "error": _reason(error)}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive in batch.column(0).to_pylist():
-                rows = list(_members_of(archive, sep))
+            for row in batch.to_pylist():
+                rows = list(members_of(**row))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return archives.select("archive").repartition(tasks_for(archives.sparkSession)).mapInArrow(read, schema)
+    modified = F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("modified")
+    listed = archives.select("archive", "path", modified).repartition(tasks_for(archives.sparkSession))
+    return listed.mapInArrow(read, INDEX_SCHEMA)
+
+
+def probe_members(members: DataFrame, sep: str = ";") -> DataFrame:
+    """A3–A4. Encoding and header of each member; ``error`` for one that can't be read. Reads members to their end."""
+    ship_package(members.sparkSession)
+    schema = T.StructType(members.schema.fields)
+    schema = schema.add("encoding", "string").add("header", T.ArrayType(T.StringType()))
+    error_at = members.columns.index("error")
+
+    def probe(row: dict) -> tuple[str | None, list[str] | None, str | None]:
+        try:
+            with _open(row["path"]) as handle, _index(handle) as index:
+                with index.open(row["member"]) as stream:
+                    encoding = member_encoding(stream)
+                with index.open(row["member"]) as stream:
+                    return encoding, member_header(stream, encoding, sep), None
+        except UNREADABLE as error:
+            return None, None, _reason(error)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.select(["path", "member", "error"]).to_pylist()
+            found = [(None, None, r["error"]) if r["error"] is not None else probe(r) for r in rows]
+            batch = batch.set_column(error_at, "error", pa.array([f[2] for f in found], pa.string()))
+            batch = batch.append_column("encoding", pa.array([f[0] for f in found], pa.string()))
+            yield batch.append_column("header", pa.array([f[1] for f in found], pa.list_(pa.string())))
+
+    return members.repartition(tasks_for(members.sparkSession)).mapInArrow(read, schema)
+
+
+def archive_members(archives: DataFrame, sep: str = ";") -> DataFrame:
+    """A1, A3. Every member with version, CRC, encoding and header."""
+    return probe_members(archive_index(archives), sep)
 
 
 def file_contract(members: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -145,8 +164,8 @@ def file_contract(members: DataFrame, required: Sequence[str]) -> DataFrame:
     wanted = F.array(*[F.lit(c) for c in required])
     missing = F.array_sort(F.array_except(wanted, F.coalesce("header", F.array().cast("array<string>"))))
     status = (
-        F.when(F.col("error").isNotNull(), F.lit("bad_archive"))
-        .when(F.col("encoding").isNull(), F.lit("unreadable"))
+        F.when(F.col("error").isNotNull() & (F.col("member") == ""), F.lit("bad_archive"))
+        .when(F.col("error").isNotNull(), F.lit("unreadable"))
         .when(F.size(missing) > 0, F.lit("rejected"))
         .otherwise(F.lit("accepted"))
     )
@@ -162,47 +181,85 @@ def header_columns(members: DataFrame) -> list[str]:
 CARRIED = ("archive", "member", "version_ts", "crc32")
 
 
-def member_rows(
+class RowTooLong(Exception):
+    """A record has more fields than the header."""
+
+
+# Faults of a member, as opposed to those of the storage.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, UnicodeDecodeError, NotImplementedError, csv.Error, pa.ArrowInvalid, RowTooLong)
+
+
+def tagged_rows(
     members: DataFrame, columns: Sequence[str], sep: str = ";", carried: Sequence[str] = CARRIED
 ) -> DataFrame:
-    """A1–A2. Rows of the given members, every field as text.
+    """A1–A2, B6. Rows of the given members, every field as text, and what went wrong, in one pass.
 
-    Members are spread so that each is one task's work, then streamed batch by
-    batch. Columns a member lacks are NULL; its other columns all survive.
-    The ``carried`` columns of a member are repeated on its rows.
+    ``tag`` is ``row`` for a record. A member that can't be read to its end (a bad checksum, a broken stream, a record with
+    more fields than the header) has one row with the tag ``error`` and a ``reason``, besides the records before the fault.
+    Members are spread so that each is one task's work, then streamed batch by batch. A record with fewer fields
+    is filled up with empty ones. Columns a member lacks are NULL; its other columns all survive. The ``carried``
+    columns of a member are repeated on its rows.
     """
     ship_package(members.sparkSession)
     carried, columns = list(carried), list(columns)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in carried + columns])
-    arrow = pa.schema([(c, pa.string()) for c in carried + columns])
+    names = ["tag", "reason", *carried, *columns]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    arrow = pa.schema([(c, pa.string()) for c in names])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                with _open(row["archive"]) as handle, zipfile.ZipFile(handle) as index:
-                    with index.open(row["member"]) as raw:
-                        yield from _text_batches(raw, row)
-
-    def _text_batches(raw, row) -> Iterator[pa.RecordBatch]:
-        buffered = io.BufferedReader(raw, 1 << 20)
-        if row["encoding"] == "utf-8-sig" and buffered.peek(3)[:3] == codecs.BOM_UTF8:
+                try:
+                    with _open(row["path"]) as handle, _index(handle) as index, index.open(row["member"]) as raw:
+                        yield from text_batches(raw, row)
+                except UNREADABLE as error:
+                    yield pa.RecordBatch.from_pylist([{"tag": ERROR, "reason": _reason(error), **{c: row[c] for c in carried}}], schema=arrow)
+
+    def text_batches(raw, row: dict) -> Iterator[pa.RecordBatch]:
+        buffered = io.BufferedReader(raw, CHUNK_BYTES)
+        if row["encoding"] == UNICODE and buffered.peek(3)[:3] == codecs.BOM_UTF8:
             buffered.read(3)
+        short: list[list[str]] = []
+
+        def odd(record) -> str:
+            if record.actual_columns > record.expected_columns:
+                return "error"
+            short.append(next(csv.reader([record.text], delimiter=sep), []))
+            return "skip"
+
+        header = row["header"]
         reader = pacsv.open_csv(
             buffered,
-            read_options=pacsv.ReadOptions(
-                encoding="latin-1" if row["encoding"] == "latin-1" else "utf8", block_size=8 << 20
-            ),
-            parse_options=pacsv.ParseOptions(delimiter=sep, newlines_in_values=True),
-            convert_options=pacsv.ConvertOptions(
-                column_types={c: pa.string() for c in row["header"]}, strings_can_be_null=False
-            ),
+            read_options=pacsv.ReadOptions(encoding=SINGLE_BYTE if row["encoding"] == SINGLE_BYTE else "utf8", block_size=8 * CHUNK_BYTES),
+            parse_options=pacsv.ParseOptions(delimiter=sep, newlines_in_values=True, invalid_row_handler=odd),
+            convert_options=pacsv.ConvertOptions(column_types={c: pa.string() for c in header}, strings_can_be_null=False),
         )
+
+        def shaped(size: int, fields: dict[str, pa.Array]) -> pa.RecordBatch:
+            fixed = {"tag": ROW, "reason": None, **{c: row[c] for c in carried}}
+            own = [pa.repeat(pa.scalar(v, pa.string()), size) for v in fixed.values()]
+            return pa.RecordBatch.from_arrays([*own, *(fields[c] if c in fields else pa.nulls(size, pa.string()) for c in columns)], schema=arrow)
+
+        def filled() -> Iterator[pa.RecordBatch]:
+            if short:
+                whole = [r + [""] * (len(header) - len(r)) for r in short]
+                short.clear()
+                yield shaped(len(whole), {c: pa.array(v, pa.string()) for c, v in zip(header, zip(*whole, strict=True), strict=True)})
+
         for block in reader:
-            names = set(block.schema.names)
-            size = block.num_rows
-            fixed = [pa.repeat(pa.scalar(row[c], pa.string()), size) for c in carried]
-            fields = [block.column(c) if c in names else pa.nulls(size, pa.string()) for c in columns]
-            yield pa.RecordBatch.from_arrays(fixed + fields, schema=arrow)
+            yield shaped(block.num_rows, dict(zip(block.schema.names, block.columns, strict=True)))
+            yield from filled()
+        yield from filled()
 
-    chosen = members.select(*dict.fromkeys([*carried, "archive", "member", "encoding", "header"]))
+    chosen = members.select(*dict.fromkeys([*carried, "path", "member", "encoding", "header"]))
     return chosen.repartition(tasks_for(members.sparkSession)).mapInArrow(read, schema)
+
+
+def member_rows(
+    members: DataFrame, columns: Sequence[str], sep: str = ";", carried: Sequence[str] = CARRIED
+) -> DataFrame:
+    """A1–A2. The records of :func:`tagged_rows`; a member that can't be read ends the query with its reason."""
+    rows = tagged_rows(members, columns, sep, carried)
+    fault = F.concat(F.lit("member "), F.col("member") if "member" in carried else F.lit(""), F.lit(" can't be read: "), "reason")
+    kept = F.when(F.col("tag") == ERROR, F.raise_error(fault)).otherwise(F.lit(True))
+    return rows.where(kept.cast("boolean")).drop("tag", "reason")

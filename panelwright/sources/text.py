@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.session import path_exists
+from panelwright.session import folder_names
 
 
 def read_delimited(
@@ -73,5 +73,5 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    """Presence check before a plan is built on ``path``."""
-    return path_exists(spark, path)
+    """Whether a write to ``path`` has been committed; what a dead one left half-made is no table."""
+    return any("=" in name or name.endswith(".parquet") for name in folder_names(spark, path))

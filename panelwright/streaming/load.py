@@ -19,7 +19,7 @@ from panelwright.sources.text import append_by_date, read_table, table_exists
 
 
 def stream_delimited(spark: SparkSession, folder: str, schema: str, sep: str = ";", files_per_batch: int = 1000) -> DataFrame:
-    """A2 as a stream, with the file name and its time as the version."""
+    """A2 as a stream; the file's whole path and its time to the millisecond are the version."""
     rows = (
         spark.readStream.schema(schema)
         .option("sep", sep)
@@ -30,9 +30,8 @@ def stream_delimited(spark: SparkSession, folder: str, schema: str, sep: str = "
         .csv(folder)
         .na.fill("")
     )
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    version = F.date_format(F.col("_metadata.file_modification_time"), "yyyy-MM-dd'T'HH:mm:ss")
-    return rows.select("*", F.concat_ws("@", name, version).alias("_source_object"))
+    version = F.date_format(F.col("_metadata.file_modification_time"), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    return rows.select("*", F.concat_ws("@", F.col("_metadata.file_path"), version).alias("_source_object"))
 
 
 def load_stream(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import ingest
 from panelwright.plans import loading
 from panelwright.sources import archives, text
+from panelwright.sources.events import EventLog
 
 REQUIRED = ["data_base", "uf", "modalidade", "numero_de_operacoes", "carteira_ativa"]
 OLD, NEW = (2026, 2, 11, 8, 15, 30), (2026, 8, 4, 21, 5, 10)
@@ -50,12 +51,13 @@ def folder(tmp_path):
 def test_members_encoding_and_contract(spark, folder):
     listed = archives.archive_members(archives.list_archives(spark, folder))
     checked = {r["member"]: r for r in archives.file_contract(listed, REQUIRED).collect()}
-    assert set(checked) == {"202401.csv", "202402.csv", "202403.csv", "202501.csv", None}
+    assert set(checked) == {"202401.csv", "202402.csv", "202403.csv", "202501.csv", ""}
+    assert {r["archive"] for r in checked.values()} == {"2024.zip", "2025.zip", "broken.zip"}
     assert checked["202401.csv"]["encoding"] == "utf-8-sig" and checked["202402.csv"]["encoding"] == "latin-1"
     assert checked["202401.csv"]["version_ts"] == "2026-02-11T08:15:30"
     assert len(checked["202401.csv"]["crc32"]) == 8
     assert checked["202403.csv"]["contract"] == "rejected" and checked["202403.csv"]["missing"] == ["carteira_ativa"]
-    assert checked[None]["contract"] == "bad_archive"
+    assert checked[""]["contract"] == "bad_archive" and "zip" in checked[""]["error"]
 
 
 def test_cut_character_at_the_probe_end():
@@ -84,46 +86,116 @@ def test_rows_keep_text_and_extra_columns(spark, folder):
     assert rows.filter("member = '202501.csv'").first()["porte"] is None
 
 
-CONTROL = loading.CONTROL_SCHEMA
+CONTROL = "archive string, member string, version_ts string, crc32 string, source_object string, status string"
 
 
-def load(spark, folder, root):
-    return loading.load_archives(
-        spark, folder, f"{root}/_bronze/rows", f"{root}/_control", REQUIRED, F.substring("member", 1, 4), "s", "L", "2026-10-01 00:00:00"
-    ).count()
+def load(spark, folder, root, control="_control"):
+    return loading.load_archives(spark, folder, f"{root}/_bronze/rows", f"{root}/{control}", REQUIRED, "s", "L", "2026-10-01 00:00:00").count()
 
 
 def states(spark, root):
-    control = loading.read_control(spark, f"{root}/_control", f"{root}/_bronze/rows", F.substring("member", 1, 4))
+    control = loading.read_control(loading.control_log(spark, f"{root}/_control"), f"{root}/_bronze/rows")
     return {r["member"]: r["status"] for r in control.collect()}
 
 
 def test_idempotent_and_republished(spark, folder, tmp_path):
     root = str(tmp_path / "out")
-    assert load(spark, folder, root) == 4
+    assert load(spark, folder, root) == 5
     table = text.read_table(spark, f"{root}/_bronze/rows")
     assert table.count() == 7 and "_ingestion_date" in table.columns
-    assert states(spark, root) == {"202401.csv": "complete", "202402.csv": "complete", "202403.csv": "rejected", "202501.csv": "complete"}
+    first = {"202401.csv": "complete", "202402.csv": "complete", "202403.csv": "rejected", "202501.csv": "complete", "": "rejected"}
+    assert states(spark, root) == first
     assert load(spark, folder, root) == 0
     assert text.read_table(spark, f"{root}/_bronze/rows").count() == 7
 
     newer = (2026, 10, 1, 0, 0, 0)
+    earlier = open(folder + "/2025.zip", "rb").read()
     write_zip(folder + "/2025.zip", [("202501.csv", newer, csv_bytes(["2025-01-31;AP;X;5;1,00"], ";".join(REQUIRED)))])
     assert load(spark, folder, root) == 1
     stored = text.read_table(spark, f"{root}/_bronze/rows")
     assert stored.count() == 8
-    assert stored.filter("_source_object LIKE '202501.csv@%'").select("_source_object").distinct().count() == 2
+    assert stored.filter("_source_object LIKE '2025.zip!/202501.csv@%'").select("_source_object").distinct().count() == 2
 
     # the control log is lost: states come back from the stored rows, nothing is loaded twice
-    rebuilt = ingest.rebuild_control(stored, F.substring("member", 1, 4))
-    newest = rebuilt.filter("member = '202501.csv'").first()
-    assert newest["version_ts"] == "2026-10-01T00:00:00" and newest["crc32"] is None and newest["archive"] == "2025"
-    other = lambda: loading.load_archives(
-        spark, folder, f"{root}/_bronze/rows", f"{root}/_control2", REQUIRED, F.substring("member", 1, 4), "s", "L", "2026-10-01 00:00:00"
-    )
-    assert other().filter("contract = 'accepted'").count() == 0
+    rebuilt = {r["version_ts"]: r for r in ingest.rebuild_control(stored).filter("member = '202501.csv'").collect()}
+    assert set(rebuilt) == {"2026-08-04T21:05:10", "2026-10-01T00:00:00"}
+    assert rebuilt["2026-10-01T00:00:00"]["crc32"] is None and rebuilt["2026-10-01T00:00:00"]["archive"] == "2025.zip"
+    assert load(spark, folder, root, "_control2") == 2  # the rejected member and the file that is no archive
     assert text.read_table(spark, f"{root}/_bronze/rows").count() == 8
-    assert text.read_table(spark, f"{root}/_control2").filter("crc32 IS NULL").count() == 0
+    assert loading.control_log(spark, f"{root}/_control2").state().filter("crc32 IS NULL AND member <> ''").count() == 0
+
+    # an archive that goes back to a version that is stored has nothing new
+    open(folder + "/2025.zip", "wb").write(earlier)
+    assert load(spark, folder, root) == 0
+
+
+def test_members_of_one_name_in_two_archives(spark, tmp_path):
+    for name in ("a", "b"):
+        write_zip(tmp_path / f"{name}.zip", [("rows.csv", OLD if name == "a" else NEW, csv_bytes([f"2024-01-31;SP;{name}{i};1;1,00;x" for i in range(10)]))])
+    root = str(tmp_path / "out")
+    for changes in (2, 0, 0):
+        assert load(spark, str(tmp_path), root) == changes
+        assert text.read_table(spark, f"{root}/_bronze/rows").count() == 20
+
+
+def test_a_fault_stays_with_its_member(spark, tmp_path):
+    members = [
+        ("good.csv", OLD, csv_bytes()),
+        ("short.csv", OLD, csv_bytes(["2024-01-31;SP;\"a;b\";1", LINES[0], "2024-02-29"])),
+        ("long.csv", OLD, csv_bytes([*LINES, "1;2;3;4;5;6;7"])),
+        ("damaged.csv", OLD, csv_bytes(["2024-01-31;SP;damaged;1;1,00;x"] * 500)),
+        ("after.csv", OLD, csv_bytes()),
+    ]
+    write_zip(tmp_path / "a.zip", members)
+    with zipfile.ZipFile(tmp_path / "a.zip") as z:
+        info = z.getinfo("damaged.csv")
+        at = info.header_offset + 30 + len(info.filename) + info.compress_size // 2
+    raw = bytearray((tmp_path / "a.zip").read_bytes())
+    raw[at] ^= 0xFF
+    (tmp_path / "a.zip").write_bytes(raw)
+    root = str(tmp_path / "out")
+    # a first load that died has left a half-made folder
+    (tmp_path / "out/_bronze/rows/_temporary/0").mkdir(parents=True)
+    assert load(spark, str(tmp_path), root) == 5
+    stored = text.read_table(spark, f"{root}/_bronze/rows")
+    by_member = {r[0]: r["count"] for r in stored.groupBy(F.substring_index(F.substring_index("_source_object", "!/", -1), "@", 1)).count().collect()}
+    assert by_member == {"good.csv": 3, "short.csv": 3, "after.csv": 3}
+    short = stored.filter("_source_object LIKE '%short%'")
+    assert short.filter("modalidade = 'a;b' AND carteira_ativa = '' AND porte = ''").count() == 1
+    assert short.filter("data_base = '2024-02-29' AND uf = ''").count() == 1
+    control = {r["member"]: r for r in loading.control_log(spark, f"{root}/_control").state().collect()}
+    assert {m: r["status"] for m, r in control.items()} == {
+        "good.csv": "complete", "short.csv": "complete", "after.csv": "complete", "long.csv": "in_progress", "damaged.csv": "in_progress"
+    }
+    assert "7" in control["long.csv"]["reason"] and control["damaged.csv"]["reason"] and control["good.csv"]["reason"] is None
+
+    # mended under the same time: what is missing is loaded, nothing twice
+    mended = {"long.csv": csv_bytes(), "damaged.csv": csv_bytes()}
+    write_zip(tmp_path / "a.zip", [(n, w, mended.get(n, d)) for n, w, d in members])
+    assert load(spark, str(tmp_path), root) == 2
+    assert text.read_table(spark, f"{root}/_bronze/rows").count() == 15
+    assert load(spark, str(tmp_path), root) == 0
+    with pytest.raises(Exception, match="can't be read"):
+        write_zip(tmp_path / "a.zip", members)
+        archives.member_rows(accepted(spark, str(tmp_path)), REQUIRED).count()
+
+
+def test_event_log_folds_and_compacts(spark, tmp_path):
+    log = EventLog(spark, str(tmp_path / "log"), "k string, v string", ["k"], compact_after=4)
+    assert not log.exists() and log.state().count() == 0
+    want = {}
+    for i in range(1, 11):
+        rows = [(f"k{i % 3}", f"v{i}"), (f"only{i}", None)]
+        want |= dict(rows)
+        assert log.append(spark.createDataFrame(rows, "k string, v string")) == i
+        assert {r["k"]: r["v"] for r in log.state().collect()} == want
+    names = sorted(p.name for p in (tmp_path / "log").iterdir())
+    assert sum(n.startswith("state-") for n in names) == 2 and "batch-000000000001" not in names
+    # a number taken by a writer that died is passed over; two writers don't share one
+    (tmp_path / "log/batch-000000000011").mkdir()
+    other = EventLog(spark, str(tmp_path / "log"), "k string, v string", ["k"])
+    assert other.append(spark.createDataFrame([("k0", "last")], "k string, v string")) == 12
+    assert {r["k"]: r["v"] for r in log.state().collect()} == want | {"k0": "last"}
 
 
 def test_interrupted_version_is_completed_exactly(spark, folder, tmp_path):
@@ -132,11 +204,9 @@ def test_interrupted_version_is_completed_exactly(spark, folder, tmp_path):
     full = text.read_table(spark, f"{root}/_bronze/rows")
     half, cut = f"{root}/half", full.filter("uf = 'SP'")
     text.append_by_date(cut, half)
-    control = loading.read_control(spark, f"{root}/_control", half, F.lit("x"))
-    loading.log_control(control.filter("status = 'complete'"), f"{root}/_control3", ingest.IN_PROGRESS)
-    changes = loading.load_archives(
-        spark, folder, half, f"{root}/_control3", REQUIRED, F.substring("member", 1, 4), "s", "L", "2026-10-01 00:00:00"
-    )
+    control = loading.control_log(spark, f"{root}/_control").state()
+    loading.log_control(loading.control_log(spark, f"{root}/_control3"), control.filter("status = 'complete'"), ingest.IN_PROGRESS)
+    changes = loading.load_archives(spark, folder, half, f"{root}/_control3", REQUIRED, "s", "L", "2026-10-01 00:00:00")
     assert changes.filter("resumes").count() == 3
     columns = ["_source_object", "_record_hash"]
     got = text.read_table(spark, half).select(*columns)
@@ -158,8 +228,8 @@ def test_series_document_loads_once(spark, tmp_path):
 
 def test_same_time_other_content_gets_its_own_version(spark):
     members = spark.createDataFrame([("a", "m.csv", "t1", "bb")], "archive string, member string, version_ts string, crc32 string")
-    for status, crc, want in (("complete", "aa", "m.csv@t1#crcbb"), ("in_progress", "bb", "m.csv@t1"), ("complete", "bb", None), ("rejected", None, None)):
-        control = spark.createDataFrame([("a", "m.csv", "t1", crc, "m.csv@t1", status)], CONTROL)
+    for status, crc, want in (("complete", "aa", "a!/m.csv@t1#crcbb"), ("in_progress", "bb", "a!/m.csv@t1"), ("complete", "bb", None), ("rejected", None, None)):
+        control = spark.createDataFrame([("a", "m.csv", "t1", crc, "a!/m.csv@t1", status), ("b", "m.csv", "t1", "bb", "b!/m.csv@t1", "complete")], CONTROL)
         got = ingest.changed_members(members, control).collect()
         assert (got[0]["source_object"] if got else None) == want
 

@@ -31,4 +31,17 @@ def test_stream_equals_batch_and_repeats_nothing(spark, tmp_path):
     drain(spark, tmp_path, "cp2")
     final = read_table(spark, str(tmp_path / "out"))
     assert final.count() == 4
-    assert final.filter(F.col("_source_object").startswith("a.csv@")).count() == 3
+    assert final.filter(F.col("_source_object").contains("/in/a.csv@")).count() == 3
+
+
+def test_files_of_one_name_and_time_in_two_folders(spark, tmp_path):
+    import os
+
+    for name in ("x", "y"):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "a.csv").write_text("d;v\n2026-01-01;1\n")
+        os.utime(tmp_path / "in" / name / "a.csv", (1_700_000_000, 1_700_000_000))
+        rows = stream_delimited(spark, str(tmp_path / "in" / "*"), SCHEMA)
+        query = load_stream(rows, ["d", "v"], str(tmp_path / "out"), str(tmp_path / "cp"), "s", "L", "2026-01-01 00:00:00")
+        query.awaitTermination(120)
+    assert read_table(spark, str(tmp_path / "out")).count() == 2
