@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.functions.money import exact_total, to_money
 from panelwright.functions.parsing import day_key, to_number
 
 
@@ -114,6 +115,6 @@ def value_by_product(
     return (
         rows.filter((F.col(entity) == chosen_entity) & F.col(date).startswith(month))
         .groupBy(product)
-        .agg(F.sum(to_number(F.col(value), decimal).cast("decimal(20,2)")).cast("double").alias("value"))
+        .agg(exact_total(to_money(F.col(value), decimal)).alias("value"))
         .orderBy(F.col("value").desc_nulls_last(), product)
     )

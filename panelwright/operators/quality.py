@@ -12,12 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.functions.money import to_money
 from panelwright.functions.parsing import INTEGER_PATTERN, to_day, to_integer, to_number
 
 log = logging.getLogger(__name__)
 
 BAD_ENTITY = "bad_entity"
 BAD_TYPE = "bad_type"
+TOO_LARGE = "number_too_large"
 DATE_OUT_OF_RANGE = "date_out_of_range"
 NEGATIVE_VALUE = "negative_value"
 DUPLICATE_KEY = "duplicate_key"
@@ -31,7 +33,7 @@ def outside_domain(value: Column, domain: Sequence[str]) -> Column:
 
 
 def bad_type(text: Column, kind: str, decimal: str = ".") -> Column:
-    """C4. ``float``, ``int`` or ``date``."""
+    """C4. ``float``, ``int`` or ``date``. The form alone counts; whether a number fits is a rule of its own."""
     if kind == "float":
         return to_number(text, decimal).isNull()
     if kind == "int":
@@ -66,15 +68,17 @@ def first_reason(rules: Sequence[Rule]) -> Column:
 
 
 def typed_columns(date: str, quantity: str, value: str, decimal: str = ",") -> dict[str, Column]:
-    """Parsed forms of the text columns, named ``_day``, ``_quantity`` and ``_value``.
+    """Parsed forms of the text columns, named ``_day``, ``_quantity`` and ``_value``, and ``_fault``.
 
-    Parsed once and then only compared: every rule below is a cheap test.
+    Parsed once and then only compared: every rule below is a cheap test. ``_fault`` tells text of the wrong
+    form from numbers that are right but too large to be kept exactly; only rows without a parsed form are
+    looked at again for it.
     """
-    return {
-        "_day": to_day(F.col(date)),
-        "_quantity": to_integer(F.col(quantity)),
-        "_value": to_number(F.col(value), decimal),
-    }
+    day, count, amount = to_day(F.col(date)), to_integer(F.col(quantity)), to_money(F.col(value), decimal)
+    no_number = F.when(amount.isNull(), bad_type(F.col(value), "float", decimal)).otherwise(F.lit(False))
+    no_count = F.when(count.isNull(), bad_type(F.col(quantity), "int")).otherwise(F.lit(False))
+    fault = F.when(day.isNull() | no_number | no_count, BAD_TYPE).when(amount.isNull() | count.isNull(), TOO_LARGE)
+    return {"_day": day, "_quantity": count, "_value": amount, "_fault": fault}
 
 
 def panel_rules(entity: str, domain: Sequence[str], as_of: str, sentinel: float = -1) -> list[Rule]:
@@ -82,7 +86,8 @@ def panel_rules(entity: str, domain: Sequence[str], as_of: str, sentinel: float
     day, quantity, value = F.col("_day"), F.col("_quantity"), F.col("_value")
     return [
         (BAD_ENTITY, outside_domain(F.col(entity), domain)),
-        (BAD_TYPE, day.isNull() | value.isNull() | quantity.isNull()),
+        (BAD_TYPE, F.col("_fault").eqNullSafe(BAD_TYPE)),
+        (TOO_LARGE, F.col("_fault").eqNullSafe(TOO_LARGE)),
         (DATE_OUT_OF_RANGE, in_future(day, as_of)),
         (NEGATIVE_VALUE, negative(value) | negative(quantity, sentinel)),
     ]

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from panelwright.functions.money import MONEY, exact_total
 from panelwright.functions.parsing import day_key, month_start, to_day, to_number
 from panelwright.operators import quality
 from panelwright.operators.reporting import long_counts
+from panelwright.session import path_exists, shared_dir
 
 STAGES = ["superseded_version", "product_out_of_scope", "month_out_of_scope", "quarantined", "aggregated"]
 
@@ -62,8 +66,8 @@ def build_panel(
 ) -> DataFrame:
     """D7–D9. Sum per month and key.
 
-    A masked quantity counts in the value but not in the quantity. The value is
-    summed as given: pass a decimal for sums that do not depend on row order.
+    A masked quantity counts in the value but not in the quantity. Values are
+    summed exactly, so totals do not depend on row order.
     Partial aggregation runs before the only shuffle.
     """
     return (
@@ -71,7 +75,7 @@ def build_panel(
         .agg(
             F.sum(F.when(quantity >= 0, quantity).otherwise(0)).cast("bigint").alias("qty_disclosed"),
             F.count_if(quantity == sentinel).alias("masked_rows"),
-            F.sum(value).cast("double").alias("value"),
+            exact_total(value).alias("value"),
         )
     )
 
@@ -119,7 +123,7 @@ def staged_rows(bronze: DataFrame, c: PanelContract) -> DataFrame:
 
     Text is parsed below the version join (a left join that adaptive
     execution broadcasts by measured bytes) and tested above it, so a filter on the stage never repeats the
-    parsing. Nothing is dropped here, so the funnel can count every row.
+    parsing. Nothing is dropped here, so the funnel can count every row. The versions are read from one column.
     """
     current = current_versions(bronze, c.source_object).select(F.col(c.source_object), F.lit(True).alias("_current"))
     typed = bronze.withColumns(quality.typed_columns(c.date, c.quantity, c.value, c.decimal))
@@ -139,12 +143,6 @@ def staged_rows(bronze: DataFrame, c: PanelContract) -> DataFrame:
     )
 
 
-def funnel(staged: DataFrame) -> DataFrame:
-    """D6. Rows read and rows leaving at each stage, in one pass."""
-    counts = [F.count_if(F.col("stage") == s).alias(s) for s in STAGES]
-    return staged.agg(F.count("*").alias("read"), *counts)
-
-
 @dataclass(frozen=True)
 class SilverTables:
     table: DataFrame
@@ -152,21 +150,52 @@ class SilverTables:
     report: DataFrame
 
 
-def build_silver_panel(bronze: DataFrame, c: PanelContract, load_id: str, source_system: str, run_at: str) -> SilverTables:
-    """D20. Panel, quarantine and funnel of one text source."""
-    staged = staged_rows(bronze, c)
-    valid = staged.filter(F.col("stage") == STAGES[4])
+def stage_panel(bronze: DataFrame, c: PanelContract, folder: str) -> None:
+    """D6, D20. One pass over bronze: what goes on is written to ``folder`` by stage, the funnel is counted on the way.
+
+    Rows that leave earlier are counted only. Rows to be summed keep their parsed fields, quarantined ones
+    their text, so later plans read no more than they need. The funnel is written last and marks the folder as whole.
+    """
+    counts = Observation("funnel")
+    rows = staged_rows(bronze, c).observe(counts, F.count(F.lit(1)).alias("read"), *[F.count_if(F.col("stage") == s).alias(s) for s in STAGES])
+    rows = rows.filter(F.col("stage").isin(*STAGES[3:]))
+    summed = F.col("stage") == STAGES[4]
+    text = {n: F.when(~summed, F.col(n)) for n in bronze.columns if n not in (c.entity, c.product)}
+    parsed = {n: F.when(summed, F.col(n)) for n in ("_day", "_quantity", "_value")}
+    rows.withColumns(text | parsed).drop("_fault").write.mode("overwrite").partitionBy("stage").parquet(f"{folder}/rows")
+    funnel = bronze.sparkSession.createDataFrame([tuple(counts.get[n] for n in ("read", *STAGES))], ", ".join(f"{n} long" for n in ("read", *STAGES)))
+    funnel.write.mode("overwrite").parquet(f"{folder}/funnel")
+
+
+def staged_panel(bronze: DataFrame, c: PanelContract, folder: str, load_id: str, source_system: str, run_at: str) -> SilverTables:
+    """D20. Panel, quarantine and funnel of what :func:`stage_panel` has written; ``bronze`` gives the columns only."""
+    spark = bronze.sparkSession
+    parsed = StructType.fromDDL(f"_day date, _quantity long, _value {MONEY}, reason string, stage string")
+    staged = spark.read.schema(StructType([*bronze.schema.fields, *parsed.fields])).parquet(f"{folder}/rows")
     panel = build_panel(
-        valid.withColumnsRenamed({c.entity: "entity", c.product: "product"}),
+        staged.filter(F.col("stage") == STAGES[4]).withColumnsRenamed({c.entity: "entity", c.product: "product"}),
         ["entity", "product"],
         F.col("_day"),
         F.col("_quantity"),
-        F.col("_value").cast("decimal(20,2)"),
+        F.col("_value"),
         c.sentinel,
     ).withColumn("_load_id", F.lit(load_id))
     rejected = staged.filter(F.col("stage") == STAGES[3]).select(*bronze.columns, "reason")
     table = quality.quarantine_table(rejected, load_id, source_system, c.source_object, run_at)
-    return SilverTables(panel, table, funnel(staged))
+    funnel = StructType.fromDDL(", ".join(f"{n} long" for n in ("read", *STAGES)))
+    return SilverTables(panel, table, spark.read.schema(funnel).parquet(f"{folder}/funnel"))
+
+
+def build_silver_panel(bronze: DataFrame, c: PanelContract, load_id: str, source_system: str, run_at: str, folder: str | None = None) -> SilverTables:
+    """D20. Panel, quarantine and funnel of one text source, from one pass over it.
+
+    The pass runs now, unless ``folder`` holds its result already. Without a folder it gets one of its own.
+    """
+    spark = bronze.sparkSession
+    folder = folder or f"{shared_dir(spark)}/silver/{uuid.uuid4().hex}"
+    if not path_exists(spark, f"{folder}/funnel/_SUCCESS"):
+        stage_panel(bronze, c, folder)
+    return staged_panel(bronze, c, folder, load_id, source_system, run_at)
 
 
 # ---- daily readings to a month-end series ---------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions import labels as lb
+from panelwright.functions.money import exact_total, to_money
 from panelwright.functions.parsing import to_day, to_number
 from panelwright.functions.reference_data import ENTITY_CODES, GENERAL_LABEL, PRODUCT_PREFIX
 from panelwright.operators import (
@@ -334,7 +335,7 @@ def source_exploration(spark, sf):
 @query(
     "value_by_product",
     ["dirty_checked"],
-    """SELECT product, CAST(sum(CAST(v AS DECIMAL(20,2))) AS DOUBLE) AS value FROM dirty_checked
+    """SELECT product, CAST(sum(TRY_CAST(v AS DECIMAL(20,2))) AS DOUBLE) AS value FROM dirty_checked
        WHERE entity = 'AC' AND starts_with(date_text, '1998-06') GROUP BY product""",
 )
 def value_by_product(spark, sf):
@@ -468,7 +469,7 @@ def stream_load(spark, sf):
               CAST(coalesce(v < 0, false) AS INTEGER) AS negative_value,
               CAST(coalesce(q < 0 AND q <> -1, false) AS INTEGER) AS negative_quantity,
               CAST(coalesce(d NOT BETWEEN DATE '{p.SCOPE_START}' AND DATE '{st.AS_OF}', true) AS INTEGER) AS outside_interval,
-              count(*) AS rows, CAST(sum(CAST(v AS DECIMAL(20,2))) AS DOUBLE) AS value, min(d) AS first_day
+              count(*) AS rows, CAST(sum(TRY_CAST(v AS DECIMAL(20,2))) AS DOUBLE) AS value, min(d) AS first_day
        FROM dirty_checked GROUP BY ALL""",
 )
 def check_masks(spark, sf):
@@ -489,7 +490,7 @@ def check_masks(spark, sf):
         .groupBy(*[small(m).alias(n) for n, m in masks.items()])
         .agg(
             F.count("*").alias("rows"),
-            F.sum(value.cast("decimal(20,2)")).cast("double").alias("value"),
+            exact_total(to_money(F.col("value_text"), ",")).alias("value"),
             F.min(day).alias("first_day"),
         )
     )
@@ -595,9 +596,9 @@ def panel_facts(spark, sf):
     "silver_build",
     ["dirty_staged"],
     f"""SELECT CAST(date_trunc('month', d) AS DATE) AS month, entity, product,
-              CAST(sum(CASE WHEN q >= 0 THEN CAST(q AS BIGINT) ELSE 0 END) AS BIGINT) AS qty_disclosed,
+              CAST(sum(CASE WHEN q >= 0 THEN TRY_CAST(q AS BIGINT) ELSE 0 END) AS BIGINT) AS qty_disclosed,
               count(*) FILTER (WHERE q = -1) AS masked_rows,
-              CAST(sum(CAST(v AS DECIMAL(20,2))) AS DOUBLE) AS value, '{p.LOAD_ID}' AS _load_id
+              CAST(sum(TRY_CAST(v AS DECIMAL(20,2))) AS DOUBLE) AS value, '{p.LOAD_ID}' AS _load_id
        FROM dirty_staged WHERE stage = 'aggregated' GROUP BY ALL""",
 )
 def silver_build(spark, sf):

@@ -85,6 +85,8 @@ relation(
     f"""SELECT *, {day('date_text')} AS d, {number("replace(value_text, ',', '.')")} AS v,
                {number('quantity_text')} AS q,
                NOT regexp_matches(quantity_text, {_INT}) AS bad_int,
+               abs({number("replace(value_text, ',', '.')")}) >= 1e18 OR
+               regexp_matches(quantity_text, {_INT}) AND TRY_CAST(quantity_text AS BIGINT) IS NULL AS too_large,
                coalesce(entity NOT IN ({_DOMAIN}), true) AS bad_entity
         FROM dirty""",
 )
@@ -93,6 +95,7 @@ relation(
     ["dirty_checked"],
     f"""SELECT *, CASE WHEN bad_entity THEN 'bad_entity'
                     WHEN d IS NULL OR v IS NULL OR bad_int THEN 'bad_type'
+                    WHEN too_large THEN 'number_too_large'
                     WHEN d > DATE '{st.AS_OF}' THEN 'date_out_of_range'
                     WHEN v < 0 OR (q < 0 AND q <> -1) THEN 'negative_value' END AS reason
         FROM dirty_checked""",

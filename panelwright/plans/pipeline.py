@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.reference_data import ENTITY_CODES, PRODUCT_PREFIX
 from panelwright.operators import features, panel, silver, stats
 from panelwright.plans import standins as st
-from panelwright.session import stage_table
+from panelwright.session import fingerprint, stage_path, stage_table
 
 SCOPE_START, SCOPE_END = "1995-01-01", "2001-07-01"
 N_MONTHS = silver.months_in_scope(SCOPE_START, SCOPE_END)
@@ -30,9 +30,13 @@ CONTRACT = silver.PanelContract(
 )
 
 
+def _stage_name(spark: SparkSession, sf: str, name: str) -> str:
+    """Stages are kept by what they were made from: other files, or files that have changed, get other stages."""
+    return f"{fingerprint(spark, sf)}/{name}"
+
+
 def _stage(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
-    folder = "".join(c if c.isalnum() else "_" for c in sf)
-    return stage_table(spark, f"{folder}/{name}", build)
+    return stage_table(spark, _stage_name(spark, sf, name), build)
 
 
 def bronze(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,7 +51,8 @@ def silver_series(spark: SparkSession, sf: str) -> silver.SilverTables:
 
 
 def silver_panel(spark: SparkSession, sf: str) -> silver.SilverTables:
-    return silver.build_silver_panel(bronze(spark, sf), CONTRACT, LOAD_ID, "panel-source", st.RUN_AT)
+    folder = stage_path(spark, _stage_name(spark, sf, "silver_panel"))
+    return silver.build_silver_panel(bronze(spark, sf), CONTRACT, LOAD_ID, "panel-source", st.RUN_AT, folder)
 
 
 def series(spark: SparkSession, sf: str) -> DataFrame:

@@ -135,12 +135,14 @@ def dirty(spark: SparkSession, sf: str) -> DataFrame:
     value = (
         F.when((F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "R"), F.lit("abc"))
         .when((F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "A"), F.concat(F.lit("-"), price))
+        .when((F.col("l_linenumber") == 7) & (F.col("l_quantity") == 30), F.lit("1e30"))
         .otherwise(price)
     )
     quantity = (
         F.when(F.col("l_discount") == 0, F.lit("-1"))
         .when(F.col("l_quantity") == 50, F.lit("-5"))
         .when(F.col("l_quantity") == 49, F.lit("10.0"))
+        .when((F.col("l_quantity") == 48) & (F.col("l_linenumber") == 7), F.lit("1" + "0" * 24))
         .otherwise(F.col("l_quantity").cast("bigint").cast("string"))
     )
     date = (
@@ -273,9 +275,11 @@ STANDIN_SQL = {
                     ELSE strftime(day, '%Y-%m-%d') END AS date_text,
                CASE WHEN l_tax = 0.08 THEN 'XX' ELSE entity END AS entity, product,
                CASE WHEN l_discount = 0 THEN '-1' WHEN l_quantity = 50 THEN '-5' WHEN l_quantity = 49 THEN '10.0'
+                    WHEN l_quantity = 48 AND l_linenumber = 7 THEN '1' || repeat('0', 24)
                     ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS quantity_text,
                CASE WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN 'abc'
-                    WHEN l_linenumber = 7 AND l_returnflag = 'A' THEN '-' || price ELSE price END AS value_text,
+                    WHEN l_linenumber = 7 AND l_returnflag = 'A' THEN '-' || price
+                    WHEN l_linenumber = 7 AND l_quantity = 30 THEN '1e30' ELSE price END AS value_text,
                'lines_' || CAST(year(day) AS VARCHAR) || '.csv@' ||
                CASE WHEN l_linestatus = 'O' THEN '2026-02-11T08:15:30' ELSE '2026-08-04T21:05:10' END AS _source_object
         FROM (SELECT *, replace(printf('%.2f', l_extendedprice), '.', ',') AS price FROM shipped_lines)""",

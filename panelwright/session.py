@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -75,6 +76,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """The folder of a stored stage of this application."""
+    return f"{shared_dir(spark)}/stages/{spark.sparkContext.applicationId}/{name}"
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Digest of the names, sizes and times of all files below ``path``."""
+    target, files = _file_system(spark, path)
+    entries, found = files.listFiles(target, True), []
+    while entries.hasNext():
+        entry = entries.next()
+        found.append(f"{entry.getPath()} {entry.getLen()} {entry.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:24]
+
+
 def stage_table(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table between two stages: written once per application, then scanned.
 
@@ -82,7 +98,7 @@ def stage_table(spark: SparkSession, name: str, build: Callable[[], DataFrame])
     lost executor only costs a re-read. A write that died leaves no success
     marker, so it is written again.
     """
-    path = f"{shared_dir(spark)}/stages/{spark.sparkContext.applicationId}/{name}"
+    path = stage_path(spark, name)
     if not path_exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

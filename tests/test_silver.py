@@ -66,6 +66,35 @@ def test_funnel_and_reasons(spark):
     assert reasons == {"bad_entity": 1, "bad_type": 2, "negative_value": 1}
 
 
+def test_money_is_summed_exactly(spark):
+    rows = [row("0,001", "1")] * 10 + [row("1e-3", "1"), row("123456789012345678,25", "1"), row("-0", "0")]
+    out = build(spark, rows).table.first()
+    assert out["value"] == float("123456789012345678.261") and out["qty_disclosed"] == 12
+    rows = [row("999999999999999999,99", "1")] * 40
+    assert build(spark, rows).table.first()["value"] == float("39999999999999999999.6")
+
+
+def test_numbers_too_large_are_quarantined(spark):
+    rows = [row("1e30", "1"), row("1,00", "1" + "0" * 24), row("1e400", "1"), row("x", "1" + "0" * 24), row("2,00", "7")]
+    built = build(spark, rows)
+    assert built.table.first()["value"] == 2.0
+    reasons = {r["reason"]: r["count"] for r in built.quarantine.groupBy("reason").count().collect()}
+    assert reasons == {"number_too_large": 2, "bad_type": 2}
+
+
+def test_bronze_is_read_once(spark, tmp_path):
+    spark.createDataFrame([row("1,00", "1"), row("x", "1")], COLUMNS).write.parquet(str(tmp_path / "bronze"))
+    bronze = spark.read.parquet(str(tmp_path / "bronze"))
+    whole = silver.staged_rows(bronze, CONTRACT)._jdf.queryExecution().sparkPlan().toString()
+    scans = [line for line in whole.splitlines() if "FileScan" in line]
+    assert len(scans) == 2 and sum("ReadSchema: struct<_source_object:string>" in s for s in scans) == 1  # the other is of one column
+    built = silver.build_silver_panel(bronze, CONTRACT, "L", "sys", "2026-09-30 00:00:00", str(tmp_path / "staged"))
+    for part in (built.table, built.quarantine, built.report):
+        plan = part._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("FileScan") == 1 and str(tmp_path / "bronze") not in plan
+    assert (built.report.first()["read"], built.table.count(), built.quarantine.count()) == (2, 1, 1)
+
+
 def test_incomplete_keys_and_months(spark):
     assert silver.months_in_scope("2016-07-01", "2026-06-01") == 120
     df = spark.createDataFrame([("SP", 1), ("SP", 2), ("RJ", 1)], "entity string, m int")
