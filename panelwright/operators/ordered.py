@@ -2,9 +2,10 @@
 
 A plain ``over (partition by family order by value)`` puts a family in one
 task; a family may be the whole table. Here equal values are first merged by a
-partial aggregation, the rest is cut into value ranges from a quantile sketch,
-and only the per-range totals (at most ``MAX_RANGES`` rows per family) are run
-up in a family-wide window.
+partial aggregation, and the rest is dealt out by range of (family, value), so a
+part holds neighbours only. A part's total goes to a small table of one row per
+family and part, whose running sums are what lies before a part; inside it a
+window does the rest. Nothing runs before the result is asked for.
 """
 
 from __future__ import annotations
@@ -14,11 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.session import cut_lineage, tasks_for
-
-MIN_RANGES, MAX_RANGES = 8, 1024
-ROWS_PER_RANGE = 1_000_000
-SKETCH_ACCURACY = 10_000
+from panelwright.session import tasks_for
 
 
 def running_sums(
@@ -26,50 +23,43 @@ def running_sums(
     families: Sequence[str],
     order: str,
     sums: dict[str, Column],
-    ranges: int | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """One row per (family, distinct ``order`` value).
 
     For every entry ``name -> expression`` in ``sums`` the result has ``name``
     (its sum at this value), ``name_below`` (its sum over all smaller values)
     and ``name_total`` (its sum over the family). Rows whose order value is
-    NULL must be filtered by the caller. The number of ranges follows the
-    number of distinct values, so a range stays one task's work.
+    NULL must be filtered by the caller.
+
+    The dealt rows are read by two branches of one plan, from one exchange. Should a session not share it, the
+    bounds of its ranges might differ: then the numbers of rows disagree, and the query ends with an error.
     """
     families = list(families)
-    # Every later step reads these rows again; a written copy keeps them the
-    # same each time, whatever is recomputed, and the input is read once.
-    distinct = cut_lineage(df.groupBy(*families, order).agg(*[F.sum(e).alias(n) for n, e in sums.items()]))
-    if ranges is None:
-        ranges = max(MIN_RANGES, min(MAX_RANGES, distinct.count() // ROWS_PER_RANGE))
-    quantiles = [i / ranges for i in range(1, ranges)]
-    bounds = distinct.groupBy(*families).agg(
-        F.array_distinct(F.percentile_approx(order, quantiles, SKETCH_ACCURACY)).alias("_bounds")
-    )
-    with_bounds = (
-        _join(distinct, bounds, families) if families else distinct.withColumn("_bounds", bounds.scalar())
-    )
-    ranged = with_bounds.withColumn(
-        "_range", F.size(F.filter("_bounds", lambda b: b < F.col(order)))
-    ).drop("_bounds")
-    totals = ranged.groupBy(*families, "_range").agg(*[F.sum(n).alias(n) for n in sums])
-    before = Window.partitionBy(*families).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*families)
+    distinct = df.groupBy(*families, order).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    dealt = distinct.repartitionByRange(parts or tasks_for(df.sparkSession), *families, order).withColumn("_part", F.spark_partition_id())
+    totals = dealt.groupBy(*families, "_part").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(n).alias(n) for n in sums])
+    before = Window.partitionBy(*families).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*families)  # one row per part
     offsets = totals.select(
         *families,
-        "_range",
+        "_part",
+        "_rows",
         *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}_before") for n in sums],
         *[F.sum(n).over(whole).alias(f"{n}_total") for n in sums],
     )
-    inside = Window.partitionBy(*families, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.select(
+    part = Window.partitionBy(*families, "_part")
+    inside = part.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.select(
         *families,
         order,
-        "_range",
+        "_part",
+        F.count(F.lit(1)).over(part).alias("_here"),
         *sums,
         *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_{n}_inside") for n in sums],
     )
-    return _join(local, offsets, [*families, "_range"]).select(
+    same = F.when(F.col("_rows") != F.col("_here"), F.raise_error(F.lit("ranges of running sums differ"))).otherwise(F.lit(True))
+    return _join(local, offsets, [*families, "_part"]).where(same.cast("boolean")).select(
         *families,
         order,
         *sums,

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelwright.session import create_file, delete_path, folder_names
+
 POINTER = "_publications"
 
 
@@ -34,58 +39,74 @@ def clean_missing(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in doubles}) if doubles else df
 
 
+class PublicationRefused(Exception):
+    """J1. The load id has been published before, or another publication came first."""
+
+
+def _manifests(spark: SparkSession, root: str) -> list[int]:
+    names = folder_names(spark, f"{root}/{POINTER}")
+    return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+
+def _manifest_path(root: str, number: int) -> str:
+    return f"{root}/{POINTER}/{number:012d}.json"
+
+
 def publish(
     tables: dict[str, DataFrame | None], root: str | None, load_id: str, published_at: str, required: tuple[str, ...] = ()
 ) -> bool:
-    """J1, J3. Write every table under its load id, then append one pointer row.
+    """J1, J3. Write every table as a new version, then make one manifest that names them all.
 
-    Readers follow the newest pointer row, so they see either the old set or
-    the new one. A failure before the pointer leaves the old set in place; the
-    pointer append is one Spark commit. Returns False when there is no target
-    or a table is missing.
+    Readers follow the newest manifest, so they see either the old set or the new one, and a version is never
+    written twice. A manifest has the number after the newest one at the start and is created only if no
+    other has taken it: a publication that fails half-way, comes second, or repeats a load id leaves the
+    published set as it was. Returns False when there is no target or a table is missing.
     """
     names = list(required) or list(tables)
     if not root or any(tables.get(n) is None for n in names):
         return False
-    counts = []
-    spark = None
+    spark = next(iter(tables.values())).sparkSession
+    before = max(_manifests(spark, root), default=0)
+    if before and not publications(spark, root).filter(F.col("load_id") == load_id).isEmpty():
+        raise PublicationRefused(f"{load_id} has been published")
+    version = f"{load_id}-{uuid.uuid4().hex[:12]}"
+    entries, rows = {}, {}
     for name, table in tables.items():
-        spark = table.sparkSession
-        target = f"{root}/{name}/_load={load_id}"
-        clean_missing(table).write.mode("overwrite").parquet(target)
-        counts.append(
-            spark.read.parquet(target).agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
-        )
-    control = counts[0]
-    for extra in counts[1:]:
-        control = control.unionByName(extra)
-    (
-        control.coalesce(1)
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("table", "rows")))).alias("rows"))
-        .select(
-            F.lit(load_id).alias("load_id"),
-            F.lit(published_at).cast("timestamp").alias("published_at"),
-            F.to_json("rows").alias("rows"),
-        )
-        .write.mode("append")
-        .parquet(f"{root}/{POINTER}")
-    )
+        counts = Observation(name)
+        path = f"tables/{name}/{version}"
+        clean_missing(table).observe(counts, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(f"{root}/{path}")
+        entries[name], rows[name] = path, int(counts.get["rows"])
+    manifest = {"load_id": load_id, "published_at": published_at, "rows": json.dumps(rows, sort_keys=True, separators=(",", ":")), "tables": entries}
+    if not create_file(spark, _manifest_path(root, before + 1), json.dumps(manifest, sort_keys=True)):
+        raise PublicationRefused(f"another publication came before {load_id}")
     return True
 
 
 def publications(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{POINTER}")
+    """J1. The control table: one row per publication, in order of ``number``."""
+    paths = [_manifest_path(root, n) for n in _manifests(spark, root)]
+    schema = "load_id string, published_at timestamp, rows string, tables map<string, string>"
+    number = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -1), ".", 1).cast("long")
+    if not paths:
+        return spark.createDataFrame([], f"{schema}, number long")
+    return spark.read.schema(schema).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").json(paths).withColumn("number", number)
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The table of the newest complete publication."""
-    newest = publications(spark, root).orderBy(F.col("published_at").desc(), F.col("load_id").desc()).first()
-    return spark.read.parquet(f"{root}/{name}/_load={newest['load_id']}")
+    """The table of the newest publication."""
+    newest = publications(spark, root).orderBy(F.col("number").desc()).first()
+    return spark.read.parquet(f"{root}/{newest['tables'][name]}")
 
 
-def publish_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str]) -> None:
-    """J1. Optional database sink; one partition-parallel write with explicit types."""
-    types = ", ".join(f"{name} {kind}" for name, kind in table_types(df).items() if kind != "jsonb")
-    clean_missing(df).write.option("createTableColumnTypes", types).jdbc(
-        url, table, mode="overwrite", properties=properties
-    )
+def drop_unpublished(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Delete table versions that none of the newest ``keep`` publications names; returns their paths.
+
+    Not while a publication is under way: its versions aren't named yet.
+    """
+    kept = publications(spark, root).orderBy(F.col("number").desc()).limit(keep).select(F.explode(F.map_values("tables")))
+    named = {r[0] for r in kept.collect()}  # `keep` times the number of tables
+    found = [f"tables/{t}/{v}" for t in folder_names(spark, f"{root}/tables") for v in folder_names(spark, f"{root}/tables/{t}")]
+    gone = sorted(set(found) - named)
+    for path in gone:
+        delete_path(spark, f"{root}/{path}")
+    return gone

@@ -11,7 +11,6 @@ from panelwright.functions.student_t import correlation_p_value
 from panelwright.operators.calendar import shift_series
 from panelwright.operators.ordered import running_sums
 from panelwright.operators.panel import consecutive_changes
-from panelwright.session import cut_lineage
 
 MAX_LAG = 6
 MIN_MONTHS = 24
@@ -106,7 +105,6 @@ def adjust_p_values(table: DataFrame, keys: Sequence[str], p: str = "p_value", a
     The running minimum from the top is taken over ranges the same way: inside
     a range by a window, between ranges from one minimum per range.
     """
-    table = cut_lineage(table)  # one row per test, read twice below
     tested = table.filter(F.col(p).isNotNull())
     ranked = running_sums(tested, [], p, {"n": F.lit(1)})
     raw = F.col(p) * F.col("n_total") / (F.col("n_below") + F.col("n"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import labels as lb
@@ -1419,34 +1419,6 @@ def serve_last_publication(spark, sf):
     return serve.last_publication(control)
 
 
-@query(
-    "publish_set",
-    ["gold", "market_level1", "market_level2", "recommended"],
-    """SELECT 'gold' AS "table", count(*) AS rows, count(value_change_pct) AS measured FROM gold
-       UNION ALL SELECT 'product_correlations', count(*), count(spearman) FROM market_level1
-       UNION ALL SELECT 'key_correlations', count(*), count(spearman) FROM market_level2
-       UNION ALL SELECT 'recommendation', count(*), count(value) FROM recommended""",
-)
-def publish_set(spark, sf):
-    """J1: the published tables, read back through the pointer of the newest publication."""
-    root = _fresh_folder(spark, "published")
-    tables = {
-        "gold": p.gold(spark, sf),
-        "product_correlations": p.level_one(spark, sf),
-        "key_correlations": p.level_two(spark, sf),
-        "recommendation": _recommended(spark, sf),
-    }
-    measures = {"gold": "value_change_pct", "recommendation": "value"}
-    publish.publish(tables, root, p.LOAD_ID, st.RUN_AT)
-    parts = [
-        publish.read_published(spark, root, name).agg(
-            F.lit(name).alias("table"), F.count("*").alias("rows"), F.count(measures.get(name, "spearman")).alias("measured")
-        )
-        for name in tables
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-
-
 @query(
     "serve_recommendation",
     ["recommended"],
@@ -1525,6 +1497,44 @@ def serve_predictions(spark, sf):
     return rounded(serve.predictions(_reversion_scores(spark, sf)), "score")
 
 
+@query(
+    "publish_set",
+    ["gold", "market_level1", "market_level2", "recommended", "sensitivity", "closing", "reversion_scores"],
+    """SELECT 'gold' AS "table", count(*) AS rows, count(value_change_pct) AS measured FROM gold
+       UNION ALL SELECT 'product_correlations', count(*), count(spearman) FROM market_level1
+       UNION ALL SELECT 'key_correlations', count(*), count(spearman) FROM market_level2
+       UNION ALL SELECT 'recommendation', count(*), count(value) FROM recommended
+       UNION ALL SELECT 'predictions', count(*), count(score) FROM reversion_scores
+       UNION ALL SELECT 'sensitivity', count(*), count(precision_model) FROM sensitivity
+       UNION ALL SELECT 'closing', count(*), count(list_value) FROM closing
+       UNION ALL SELECT 'publications', 2, 7""",
+)
+def publish_set(spark, sf):
+    """J1: the seven published tables, read back through the newest manifest; the last row counts publications and tables."""
+    root = _fresh_folder(spark, "published")
+    closing = _closing(spark, sf)
+    tables = {
+        "gold": p.gold(spark, sf),
+        "product_correlations": p.level_one(spark, sf),
+        "key_correlations": p.level_two(spark, sf),
+        "recommendation": _recommended(spark, sf),
+        "predictions": _reversion_scores(spark, sf),
+        "sensitivity": _sensitivity(spark, sf),
+        "closing": closing.select(F.to_json(F.struct("*")).alias("document")),
+    }
+    listed = F.get_json_object("document", "$.list_value")
+    measures = {"gold": "value_change_pct", "recommendation": "value", "predictions": "score", "sensitivity": "precision_model", "closing": listed}
+    publish.publish({n: t.limit(0) for n, t in tables.items()}, root, "load-0", st.RUN_AT)
+    publish.publish(tables, root, p.LOAD_ID, st.RUN_AT)
+    control = publish.publications(spark, root)
+    out = control.select(F.lit("publications").alias("table"), F.count("*").over(Window.partitionBy()).alias("rows"), F.size("tables").cast("long").alias("measured"))
+    out = out.limit(1)
+    for name in tables:
+        measured = F.count(measures.get(name, "spearman")).alias("measured")
+        out = out.unionByName(publish.read_published(spark, root, name).agg(F.lit(name).alias("table"), F.count("*").alias("rows"), measured))
+    return out
+
+
 @query(
     "serve_sensitivity",
     ["sensitivity"],

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -128,3 +130,30 @@ def committed_folders(spark: SparkSession, path: str) -> list[str]:
 def delete_path(spark: SparkSession, path: str) -> None:
     target, files = _file_system(spark, path)
     files.delete(target, True)
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file at once and whole, only if there is none of its name; False if there is.
+
+    It is written under another name and then renamed, which no store lets two writers do to one name.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, files = _file_system(spark, path)
+    if files.exists(target):
+        return False
+    files.mkdirs(target.getParent())
+    draft = hadoop.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    stream = files.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    try:
+        context = hadoop.FileContext.getFileContext(target.getParent().toUri(), spark._jsc.hadoopConfiguration())
+        none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(files.makeQualified(draft), files.makeQualified(target), none)
+        return True
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in str(error.java_exception):
+            raise
+        return False
+    finally:
+        files.delete(draft, False)

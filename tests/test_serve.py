@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.functions import labels as lb
 from panelwright.functions.reference_data import ENTITIES, GENERAL_LABEL, PRODUCT_PREFIX, entity_dimension
 from panelwright.operators import publish, serve
+from panelwright.session import create_file
 
 
 def test_publish_is_all_or_nothing(spark, tmp_path):
@@ -24,11 +25,36 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
         publish.publish({"t": first.limit(1), "u": failing}, root, "L2", "2026-01-02 00:00:00")
     assert publish.read_published(spark, root, "t").count() == 2
 
+    with pytest.raises(publish.PublicationRefused, match="has been published"):
+        publish.publish({"t": first.limit(0), "u": other}, root, "L1", "2026-01-02 00:00:00")
+    assert publish.read_published(spark, root, "t").count() == 2
+
     assert publish.publish({"t": first.limit(1), "u": other}, root, "L3", "2026-01-03 00:00:00")
     assert publish.read_published(spark, root, "t").count() == 1
     assert serve.last_publication(publish.publications(spark, root)).first()["published"] == "02/01/2026 21:00"
 
 
+def test_of_two_publications_at_once_one_counts(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "published")
+    table = spark.range(3)
+    assert publish.publish({"t": table}, root, "L1", "2026-01-01 00:00:00")
+    create = publish.create_file
+
+    def slower(*args):
+        monkeypatch.setattr(publish, "create_file", create)
+        assert publish.publish({"t": table.limit(1)}, root, "L2", "2026-01-02 00:00:00")
+        return create(*args)
+
+    monkeypatch.setattr(publish, "create_file", slower)
+    with pytest.raises(publish.PublicationRefused, match="came before"):
+        publish.publish({"t": table.limit(2)}, root, "L3", "2026-01-03 00:00:00")
+    assert publish.read_published(spark, root, "t").count() == 1
+    assert [r["load_id"] for r in publish.publications(spark, root).orderBy("number").collect()] == ["L1", "L2"]
+    assert len(publish.drop_unpublished(spark, root, keep=1)) == 2
+    assert publish.read_published(spark, root, "t").count() == 1
+    assert not create_file(spark, f"{root}/_publications/000000000002.json", "{}")
+
+
 def test_publish_is_skipped_without_target_or_table(spark, tmp_path):
     t = spark.createDataFrame([(1,)], "n int")
     assert not publish.publish({"t": t}, None, "L", "2026-01-01 00:00:00")

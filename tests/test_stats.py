@@ -72,7 +72,7 @@ def test_running_sums_against_brute_force(spark):
     rows = [("hot", rng.choice([0.5, 0.5, rng.random()]), rng.randint(0, 3)) for _ in range(3000)]
     rows += [("cold", rng.random(), 1) for _ in range(20)]
     df = spark.createDataFrame(rows, "g string, v double, w int")
-    out = running_sums(df, ["g"], "v", {"s": F.col("w")}, ranges=16).collect()
+    out = running_sums(df, ["g"], "v", {"s": F.col("w")}, parts=16).collect()
     for r in out:
         assert r["s_below"] == sum(w for g, v, w in rows if g == r["g"] and v < r["v"])
         assert r["s_total"] == sum(w for g, _, w in rows if g == r["g"])
@@ -127,3 +127,19 @@ def test_planted_lag_is_found(spark):
 def test_tied_strength_takes_the_smallest_lag(spark):
     df = spark.createDataFrame([("A", 3, -0.5), ("A", 1, 0.5), ("A", 2, None)], "product string, lag int, spearman double")
     assert stats.best_lag(df).first()["best_lag"] == 1
+
+
+def test_declaring_starts_no_job(spark):
+    from panelwright.operators import evaluate
+
+    context = spark.sparkContext
+    rows = spark.createDataFrame([(f"g{i % 2}", i % 3 % 2, i / 40, 1.0) for i in range(40)], "g string, label int, score double, w double")
+    tests = rows.select("g", (F.col("score") / 10).alias("p_value"))
+    context.setJobGroup("declared", "nothing should run")
+    try:
+        plans = [stats.adjust_p_values(tests, ["g"]), evaluate.auc_both(rows, "label", "score", "w", ["g"])]
+        assert list(context.statusTracker().getJobIdsForGroup("declared")) == []
+        assert [p.count() for p in plans] == [40, 2]
+        assert list(context.statusTracker().getJobIdsForGroup("declared"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
