@@ -11,10 +11,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelwright.session import ship_package
+
 _TINY = 1e-300
 _CLOSE = 1e-15
 
@@ -76,5 +78,7 @@ def _p_value(r: pd.Series, n: pd.Series) -> pd.Series:
 
 
 def correlation_p_value(r: Column, n: Column) -> Column:
-    """NULL in, NULL out; a perfect correlation gives 0."""
+    """NULL in, NULL out; a perfect correlation gives 0. The workers need this module, so the package is sent to them."""
+    if (session := SparkSession.getActiveSession()) is not None:
+        ship_package(session)
     return F.when(r.isNotNull() & (n > 2), F.nanvl(_p_value(r, n), F.lit(None).cast("double")))

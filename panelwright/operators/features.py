@@ -138,6 +138,33 @@ def features(
     )
 
 
+def leakage(
+    gold: DataFrame,
+    rules: SplitRules,
+    cut: str,
+    keys: Sequence[str] = ("entity", "product"),
+    month: str = "month",
+) -> DataFrame:
+    """G12. (feature, compared, differing): features up to ``cut``, with all later months as they are and perturbed.
+
+    A feature that looks ahead differs somewhere. Rows that exist on one side only count as differing. Both
+    versions and the comparison are one plan, whose only result is one row per feature.
+    """
+    later = F.col(month) > F.lit(cut).cast("date")
+    numbers = [f.name for f in gold.schema.fields if f.dataType.simpleString() in ("double", "bigint", "int")]
+    bent = gold.withColumns({c: F.when(later, F.col(c) * 7 + 3).otherwise(F.col(c)) for c in numbers})
+
+    def known(rows: DataFrame, name: str) -> DataFrame:
+        found = features(rows, rules, keys, month=month).filter(F.col("origin") <= F.lit(cut).cast("date"))
+        return found.select(*keys, "origin", F.struct(*NUMERIC_FEATURES, "value_origin").alias(name))
+
+    both = known(gold, "before").join(known(bent, "after"), [*keys, "origin"], "full")
+    names = [*NUMERIC_FEATURES, "value_origin"]
+    differing = [F.count_if(~F.col(f"before.{n}").eqNullSafe(F.col(f"after.{n}"))).alias(n) for n in names]
+    row = both.agg(F.count(F.lit(1)).alias("compared"), *differing)
+    return row.unpivot(["compared"], names, "feature", "differing")
+
+
 def split_tag(origin: Column, labelled: Column, last_origin: Column, rules: SplitRules) -> Column:
     """G10. Production wins on the last month; everything else needs a label."""
     train_end, test_start = F.lit(rules.train_end).cast("date"), F.lit(rules.test_start).cast("date")

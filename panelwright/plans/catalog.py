@@ -35,8 +35,9 @@ from panelwright.operators import (
 from panelwright.plans import loading
 from panelwright.plans import oracle as o
 from panelwright.plans import pipeline as p
+from panelwright.plans import run
 from panelwright.plans import standins as st
-from panelwright.session import cut_lineage, shared_dir
+from panelwright.session import cut_lineage, fingerprint, shared_dir
 from panelwright.sources import archives, text
 from panelwright.sources.events import fold_events
 from panelwright.streaming import load
@@ -537,6 +538,24 @@ def quarantine_table(spark, sf):
     return table.drop("quarantined_at")
 
 
+@query(
+    "quarantine_append",
+    ["dirty_classified"],
+    """SELECT reason, 2 * count(*) AS rows, CAST(sum(length(value_text)) AS BIGINT) AS characters
+       FROM dirty_classified WHERE reason IS NOT NULL GROUP BY reason""",
+)
+def quarantine_append(spark, sf):
+    """C10: a quarantine that is replaced, then appended to, read back."""
+    folder = _fresh_folder(spark, "quarantine")
+    rejected = quality.split_valid(_classified(spark, sf))[1]
+    table = quality.quarantine_table(rejected, p.LOAD_ID, "panel-source", "_source_object", st.RUN_AT)
+    stored = [quality.store_quarantine(table, f"{folder}/q"), quality.store_quarantine(table, f"{folder}/q"), quality.store_quarantine(table, f"{folder}/q", append=True)]
+    if not all(stored):
+        raise RuntimeError("quarantine not written")
+    value = F.length(F.get_json_object("payload", "$.value_text"))
+    return spark.read.parquet(f"{folder}/q").groupBy("reason").agg(F.count("*").alias("rows"), F.floor(F.sum(value) / 2).alias("characters"))
+
+
 # ---- D. silver --------------------------------------------------------------
 
 
@@ -1036,6 +1055,21 @@ def ml_features(spark, sf):
     return rounded(rows, *features.NUMERIC_FEATURES)
 
 
+_LEAK_CUT = "1999-06-01"
+_LEAK_NAMES = ", ".join(f"'{n}'" for n in [*features.NUMERIC_FEATURES, "value_origin"])
+
+
+@query(
+    "leakage",
+    ["feature_rows"],
+    f"""SELECT feature, CAST(n AS BIGINT) AS compared, CAST(0 AS BIGINT) AS differing
+       FROM (SELECT count(*) AS n FROM feature_rows WHERE origin <= DATE '{_LEAK_CUT}'), unnest([{_LEAK_NAMES}]) AS t(feature)""",
+)
+def leakage(spark, sf):
+    """G12: what comes after a month changes no feature up to it."""
+    return features.leakage(p.gold(spark, sf), p.SPLIT, _LEAK_CUT)
+
+
 @query("ml_label", ["feature_rows"], "SELECT entity, product, origin, gains FROM feature_rows")
 def ml_label(spark, sf):
     return features.features(p.gold(spark, sf), p.SPLIT).select("entity", "product", "origin", "gains")
@@ -1535,6 +1569,52 @@ def publish_set(spark, sf):
     return out
 
 
+def run_stages_of(spark, sf) -> list[run.Stage]:
+    """Gold, statistics, dataset, decision and closing figures as stages of one run on the stand-in inputs."""
+    return [
+        run.Stage("gold", lambda: p.build_gold(spark, sf)),
+        run.Stage("market_gold", lambda: panel.build_gold(p.panel_table(spark, sf), p.market_series(spark, sf))),
+        run.Stage("level_one", stats.level_one, ["market_gold"]),
+        run.Stage("level_two", lambda gold, one: stats.level_two(gold, stats.best_lag(one)), ["market_gold", "level_one"]),
+        run.Stage("dataset", lambda gold: features.build_dataset(gold, p.SPLIT), ["gold"], settings={"split": repr(p.SPLIT)}),
+        run.Stage("model_inputs", lambda rows: rows.filter("split IN ('development', 'test')"), ["dataset"], run.enough_rows),
+        run.Stage("scores", lambda: st.scores(spark, sf)),
+        run.Stage("recommendation", lambda _, scored: decide.recommendation(scored, _score_panel(spark, sf)), ["model_inputs", "scores"], run.all_there(["model_inputs", "scores"])),
+        run.Stage("sensitivity", decide.sensitivity, ["scores"], run.all_there(["scores"])),
+        run.Stage(
+            "closing", decide.closing_numbers, ["recommendation", "sensitivity", "scores", "level_one"],
+            run.all_there(["recommendation", "sensitivity", "scores", "level_one"]),
+        ),
+    ]
+
+
+@query(
+    "run_all",
+    ["gold", "market_gold", "market_level1", "market_level2", "dataset", "scores", "recommended", "sensitivity", "closing"],
+    """, counted AS (
+           SELECT 'gold' AS stage, count(*) AS rows FROM gold UNION ALL SELECT 'market_gold', count(*) FROM market_gold
+           UNION ALL SELECT 'level_one', count(*) FROM market_level1 UNION ALL SELECT 'level_two', count(*) FROM market_level2
+           UNION ALL SELECT 'dataset', count(*) FROM dataset
+           UNION ALL SELECT 'model_inputs', count(*) FROM dataset WHERE split IN ('development', 'test')
+           UNION ALL SELECT 'scores', count(*) FROM scores UNION ALL SELECT 'recommendation', count(*) FROM recommended
+           UNION ALL SELECT 'sensitivity', count(*) FROM sensitivity UNION ALL SELECT 'closing', count(*) FROM closing)
+       SELECT 1 AS run, stage, 'built' AS state, rows FROM counted UNION ALL SELECT 2, stage, 'reused', rows FROM counted""",
+)
+def run_all(spark, sf):
+    """A8, A9, H19, I8: the run from gold to the closing figures, twice; the second finds every stage."""
+    root = _fresh_folder(spark, "run")
+    parts = []
+    for number in (1, 2):
+        outcomes = run.run_stages(spark, run_stages_of(spark, sf), f"{root}/stages", fingerprint(spark, sf))
+        told = run.report(spark, outcomes)
+        if not run.write_report(told, f"{root}/reports", f"run-{number}", st.RUN_AT):
+            raise RuntimeError("report not written")
+        read = spark.read.json(f"{root}/reports/run-{number}.json").filter("section = 'stages'")
+        items = read.select(F.from_json("item", "stage string, state string, rows long").alias("i"))
+        parts.append(items.select(F.lit(number).alias("run"), "i.stage", "i.state", "i.rows"))
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "serve_sensitivity",
     ["sensitivity"],

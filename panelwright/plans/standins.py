@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.reference_data import ENTITY_CODES
 from panelwright.operators.silver import build_panel
-from panelwright.session import use_utc
+from panelwright.session import use_utc, ship_package
 from panelwright.sources.archives import file_system
 
 # Product names the part types stand for; the fourth is out of scope.
@@ -201,6 +201,7 @@ def write_files(rows: DataFrame, folder: str, kind: str) -> None:
     number, so a retried task overwrites its own file.
     """
     names = rows.columns
+    ship_package(rows.sparkSession)
 
     def write(batches):
         number = TaskContext.get().partitionId()
