@@ -7,6 +7,7 @@ the mean AUC per candidate reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -17,7 +18,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators.evaluate import auc, baseline_scores, metrics_table
@@ -271,28 +272,59 @@ def coefficients(model: PipelineModel) -> DataFrame | None:
     )
 
 
-def _hash_rank(rows: DataFrame, keys: Sequence[str], side: str, seed: int) -> DataFrame:
-    """Global position of every row in a random order, per repeat.
+def numbered(rows: DataFrame, keys: Sequence[str], number: str = "_row") -> DataFrame:
+    """Rows numbered from 0 in the order of a hash of their keys.
 
-    The order is a 64-bit hash, so its top bits cut it into even ranges: each
-    range is numbered in its own task and shifted by the rows before it.
+    The hash's top bits cut it into even ranges: each range is numbered in its own task and shifted by the rows before it.
     """
-    hashed = rows.withColumn("_h", F.xxhash64(*keys, F.lit(seed), "repeat", F.lit(side))).withColumn(
-        "_range", F.shiftright("_h", 52)
-    )
-    before = Window.partitionBy("repeat").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        hashed.groupBy("repeat", "_range")
-        .agg(F.count("*").alias("_n"))
-        .select("repeat", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    inside = Window.partitionBy("repeat", "_range").orderBy("_h", *keys)
-    return (
-        hashed.withColumn("_i", F.row_number().over(inside))
-        .join(offsets, ["repeat", "_range"])
-        .withColumn("_rank", F.col("_before") + F.col("_i"))
-        .drop("_h", "_range", "_i", "_before")
-    )
+    hashed = rows.withColumn("_h", F.xxhash64(*keys)).withColumn("_range", F.shiftright("_h", 52))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 ranges at most
+    offsets = hashed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy("_h", *keys)
+    counted = hashed.withColumn("_i", F.row_number().over(inside)).join(offsets, "_range")
+    return counted.withColumn(number, F.col("_before") + F.col("_i") - 1).drop("_h", "_range", "_i", "_before")
+
+
+FEISTEL_STEPS, WALKS = 6, 64
+
+
+def shuffled_number(number: Column, n: int, *key: Column) -> Column:
+    """A permutation of 0 to ``n`` - 1 chosen by ``key``, computed for each number alone.
+
+    A Feistel network over the pairs of a rectangle that holds ``n`` numbers or a few more: each step adds a hash
+    of one side to the other, modulo the other's length, which can be undone. A number that falls outside of ``n`` is
+    sent on until it falls inside. As few lie outside, ``WALKS`` tries don't fail; if they did, the query would end.
+    """
+    width = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    height = max(1, -(-n // width))
+
+    def step(pair: Column, k: int) -> Column:
+        left, right = pair["l"], pair["r"]
+        noise = F.xxhash64(right if k % 2 else left, F.lit(k), *key)
+        if k % 2:
+            return F.struct(F.pmod(left + F.pmod(noise, F.lit(width)), F.lit(width)).alias("l"), right.alias("r"))
+        return F.struct(left.alias("l"), F.pmod(right + F.pmod(noise, F.lit(height)), F.lit(height)).alias("r"))
+
+    def stepped(k: int) -> Callable[[Column], Column]:
+        return lambda pair: step(pair, k)
+
+    def network(x: Column) -> Column:
+        pairs = F.array(F.struct(F.pmod(x, F.lit(width)).alias("l"), F.floor(x / width).cast("long").alias("r")))
+        for k in range(FEISTEL_STEPS):
+            pairs = F.transform(pairs, stepped(k))
+        return F.get(F.transform(pairs, lambda pair: pair["l"] + pair["r"] * width), F.lit(0))
+
+    once = network(number.cast("long"))
+    inside = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once, lambda x, _: F.when(x < n, x).otherwise(network(x)))
+    return F.when(inside < n, inside).otherwise(F.raise_error(F.lit("no number inside")).cast("long"))
+
+
+def donors(rows: DataFrame, keys: Sequence[str], repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """H15. (``repeat``, ``_row``, ``_donor``) and the columns of ``rows``: who lends each row its values in each repeat."""
+    own = cut_lineage(numbered(rows, keys))  # read twice below, and its length is part of the permutation
+    n = own.count()
+    repeated = own.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    return repeated.withColumn("_donor", shuffled_number(F.col("_row"), n, F.lit(seed), F.col("repeat")))
 
 
 def permutation_importance(
@@ -304,27 +336,23 @@ def permutation_importance(
 ) -> DataFrame:
     """H15. Mean AUC drop when one input column is shuffled.
 
-    Every row gets a donor row by matching positions in two random orders; one
-    pairing per repeat serves all columns. All (column, repeat) copies are
-    scored in one plan and measured by one grouped AUC.
+    Every row gets a donor row by a permutation of the row numbers that is computed, not sorted; one
+    permutation per repeat serves all columns. Copies for each column exist only on their way to the model,
+    and all are measured by one grouped AUC.
     """
     columns = NUMERIC_FEATURES + CATEGORICAL_FEATURES
     base_auc = auc(score(model, rows), LABEL, "score").select("auc").scalar()
     slim = rows.select(*[k for k in keys if k not in columns], *columns, LABEL)
-    repeated = slim.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    own = _hash_rank(repeated, keys, "row", seed).select(
-        "repeat", "_rank", LABEL, F.struct(*columns).alias("_own")
-    )
-    donor = _hash_rank(repeated, keys, "donor", seed).select(
-        "repeat", "_rank", F.struct(*columns).alias("_donor")
-    )
-    paired = own.join(donor, ["repeat", "_rank"])
+    lent = donors(slim, keys, repeats, seed)
+    own = lent.select("repeat", "_donor", LABEL, F.struct(*columns).alias("_own"))
+    lender = lent.filter("repeat = 1").select(F.col("_row").alias("_donor"), F.struct(*columns).alias("_lent"))
+    paired = own.join(lender, "_donor")
     shuffled = paired.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in columns]))).select(
         "repeat",
         "feature",
         LABEL,
         *[
-            F.when(F.col("feature") == c, F.col(f"_donor.{c}")).otherwise(F.col(f"_own.{c}")).alias(c)
+            F.when(F.col("feature") == c, F.col(f"_lent.{c}")).otherwise(F.col(f"_own.{c}")).alias(c)
             for c in columns
         ],
     )

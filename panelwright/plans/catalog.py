@@ -1210,6 +1210,23 @@ def permutation_importance(spark, sf):
     return model.permutation_importance(run.model, p.dataset(spark, sf).filter("split = 'test'"))
 
 
+@query(
+    "permutation_donors",
+    ["dataset"],
+    """SELECT CAST(r AS INTEGER) AS repeat, n AS rows, n AS donors, CAST(n * (n - 1) / 2 AS BIGINT) AS total, 1 AS mixed
+       FROM (SELECT count(*) AS n FROM dataset WHERE split = 'test'), unnest(range(1, 4)) AS t(r)""",
+)
+def permutation_donors(spark, sf):
+    """H15: in each repeat every test row lends its values once, and few to themselves."""
+    lent = model.donors(p.dataset(spark, sf).filter("split = 'test'"), ["entity", "product", "origin"], repeats=3)
+    return lent.groupBy("repeat").agg(
+        F.count("*").alias("rows"),
+        F.countDistinct("_donor").alias("donors"),
+        F.sum("_donor").alias("total"),
+        small(F.count_if(F.col("_row") == F.col("_donor")) < 10 + F.count("*") / 20).alias("mixed"),
+    )
+
+
 @query("coefficients")
 def coefficients(spark, sf):
     return model.coefficients(final_run(spark, sf, model.LOGISTIC).model)

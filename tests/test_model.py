@@ -107,3 +107,20 @@ def test_production_scores_and_unknown_model(spark, dataset):
     assert rows == model.production_scores(dataset, model.LOGISTIC).collect()
     with pytest.raises(ValueError):
         model.build_pipeline("forest", True, 10)
+
+
+def test_shuffled_numbers_are_permutations(spark):
+    for n in (1, 2, 3, 5, 10, 97, 100, 1000):
+        rows = spark.range(n).select("id", *(model.shuffled_number(F.col("id"), n, F.lit(k)).alias(f"k{k}") for k in (1, 2))).collect()
+        for k in ("k1", "k2"):
+            assert sorted(r[k] for r in rows) == list(range(n))
+        if n >= 97:
+            assert sum(r["k1"] == r["k2"] for r in rows) < n / 5 and sum(r["k1"] == r["id"] for r in rows) < n / 5
+
+
+def test_donors_lend_once_in_each_repeat(spark):
+    rows = spark.range(50).select((F.col("id") % 7).alias("a"), F.col("id").alias("b"))
+    lent = model.donors(rows, ["a", "b"], repeats=4).collect()
+    for repeat in range(1, 5):
+        mine = [r for r in lent if r["repeat"] == repeat]
+        assert sorted(r["_row"] for r in mine) == sorted(r["_donor"] for r in mine) == list(range(50))
