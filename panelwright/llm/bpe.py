@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 from panelwright.session import ship_package
 
 LEXICON_WORDS = 1 << 16
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 SLICE_CHARS = 2_000_000
 # Texts of these characters need no normalisation beyond lower case; others go through the library's normaliser.
 PLAIN = re.compile("[!-~¡-ʯ]*")
+PLAIN_TEXT = re.compile("[ \t\n\r\x0b\x0c!-~¡-ʯ]*")
 HEAP_FROM = 48
 
 
@@ -170,16 +171,18 @@ class Codec:
         self._special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         self._special_split = re.compile(b"(" + b"|".join(map(re.escape, self._special)) + b")").split if self._special else None
         self._special_mark = next(iter(self._special), b"\x00")[:2]
+        self._special_text = self._special_mark.decode()
         self.tokens = [""] * (max([*vocab.values(), *self._special.values()]) + 1)
         for token, i in [*vocab.items(), *((t.decode(), i) for t, i in self._special.items())]:
             self.tokens[i] = token
         self._lexicon = Transducer.mapped(lexicon) if lexicon else None
         self._marks = {m.encode() for m in ".,;:!?" if self._split(f"ab{m}") == ["ab", m]}
+        # A mark between a letter and a space is a word of its own, so a space before it changes nothing.
+        self._mark_off = re.compile(f"(?<=[a-z])[{re.escape(b''.join(sorted(self._marks)).decode())}](?=[ \n])").sub if self._marks else None
         self._byte_ids = np.asarray([self._inner, self._final], np.int64)
         self._joined = np.asarray([*self._merged, 0], np.int64)
         self._fill_pairs()
-        self._words: dict[bytes, bytes] = {}
-        self._chunks: dict[bytes, bytes] = {}
+        self._ids: dict[bytes, bytes] = {}  # of words and of runs that hold several; a word alone is a run
 
     def words(self, chunk: bytes) -> list[bytes]:
         """Normalised words of a run without ASCII white space and without special tokens."""
@@ -323,26 +326,40 @@ class Codec:
         return [packed[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
 
     def _learn(self, chunks: list[bytes]) -> None:
+        known = self._ids
+        single = list(filter(bytes.isalpha, chunks))
+        words = [chunk.lower() for chunk in single]
         parts: list[tuple[bytes, list]] = []
-        for chunk in chunks:
-            if self._special_mark in chunk and self._special:
-                found: list = []
-                for piece in self._special_split(chunk):
-                    found += [self._special[piece]] if piece in self._special else self.words(piece)
-                parts.append((chunk, found))
+        if len(single) < len(chunks):
+            rest = [chunk for chunk in chunks if not chunk.isalpha()]
+            text = b"\n".join(rest).decode()
+            if PLAIN_TEXT.fullmatch(text) and self._special_text not in text:
+                lower = text.lower()
+                for chunk, word, packed in zip(rest, lower.split("\n"), lower.encode().split(b"\n"), strict=True):
+                    if word.isalpha():
+                        single.append(chunk)
+                        words.append(packed)
+                    else:
+                        parts.append((chunk, [w.encode() for w in self._split(word)]))
             else:
-                parts.append((chunk, self.words(chunk)))
-        fresh = list({w for _, found in parts for w in found if type(w) is bytes and w not in self._words})
+                for chunk in rest:
+                    found: list = []
+                    for piece in self._special_split(chunk) if self._special_mark in chunk and self._special else (chunk,):
+                        found += [self._special[piece]] if piece in self._special else self.words(piece)
+                    parts.append((chunk, found))
+        fresh = list(({w for _, found in parts for w in found if type(w) is bytes} | set(words)) - known.keys())
         ids = self._lexicon.look_up(fresh) if self._lexicon else [None] * len(fresh)
-        unseen = [word for word, known in zip(fresh, ids, strict=True) if known is None]
-        self._words.update(zip(unseen, self.merge_many(unseen), strict=True))
-        self._words.update((word, known) for word, known in zip(fresh, ids, strict=True) if known is not None)
-        known = self._words
-        for chunk, found in parts:
-            if len(found) == 1 and type(found[0]) is bytes:
-                self._chunks[chunk] = known[found[0]]
-            else:
-                self._chunks[chunk] = b"".join([known[w] if type(w) is bytes else pack([w]) for w in found])
+        unseen = [word for word, found in zip(fresh, ids, strict=True) if found is None]
+        known.update((word, found) for word, found in zip(fresh, ids, strict=True) if found is not None)
+        known.update(zip(unseen, self.merge_many(unseen), strict=True))
+        known.update(zip(single, map(known.__getitem__, words), strict=True))
+        known.update([(chunk, b"".join([known[w] if type(w) is bytes else pack([w]) for w in found])) for chunk, found in parts])
+
+    def _cut(self, text: str) -> list[bytes]:
+        """Runs without ASCII white space that hold whole words; in plain texts in lower case, with marks cut off, so that fewer differ."""
+        if self._mark_off and self._special_text not in text and PLAIN_TEXT.fullmatch(text):
+            text = self._mark_off(r" \g<0>", text.lower())
+        return text.encode().split()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text, packed as little-endian unsigned 32-bit integers; None counts as empty."""
@@ -350,18 +367,16 @@ class Codec:
         while at < len(texts):
             part, size = [], 0
             while at < len(texts) and (not part or size < SLICE_CHARS):
-                part.append((texts[at] or "").encode().split())
+                part.append(self._cut(texts[at] or ""))
                 size += len(texts[at] or "")
                 at += 1
             now: set[bytes] = set().union(*part)
-            fresh = now - self._chunks.keys()
-            if len(self._chunks) + len(fresh) > REMEMBERED:  # what these texts use stays, so frequent words do
-                self._chunks = {w: self._chunks[w] for w in now - fresh}
-            if len(self._words) > REMEMBERED:
-                self._words.clear()
+            fresh = now - self._ids.keys()
+            if len(self._ids) + len(fresh) > REMEMBERED:  # what these texts use stays, so frequent words do
+                self._ids = {w: self._ids[w] for w in now - fresh}
             if fresh:
                 self._learn(list(fresh))
-            get = self._chunks.__getitem__
+            get = self._ids.__getitem__
             for words in part:
                 yield b"".join(map(get, words))
 
