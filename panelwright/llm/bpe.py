@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a transducer of frequent words.
 
 The corpus is read once to count its words (after normalisation and splitting, as the tokenizer's file
-states them). The most frequent ones, a fixed number, are compiled with their ids into a minimal acyclic
+states them). The most frequent ones, up to a fixed number, are compiled with their ids into a minimal acyclic
 transducer: a deterministic automaton over UTF-8 bytes in which equal endings are shared, whose transitions
 add up to a word's place in a flat table of ids. It is sent to the workers, which map it into memory from
 a file without a name. Words that it doesn't hold are merged exactly, pair by pair.
@@ -29,6 +29,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.store import Workspace
 from panelwright.session import ship_package
 
 LEXICON_WORDS = 1 << 16
@@ -411,7 +412,11 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iter
 
 
 def compile_lexicon(df: DataFrame, text_col: str, tokenizer_json: str, n_words: int = LEXICON_WORDS) -> bytes:
-    """Counts the words of every text and compiles the ``n_words`` most frequent (ties by spelling)."""
+    """Counts the words of every text and compiles the most frequent: those that occur so often that there are ``n_words`` or fewer.
+
+    Where the line is drawn is read from how many words occur how often, so no more than the chosen words come
+    to the driver, however many tasks have counted.
+    """
     ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)
 
@@ -439,10 +444,19 @@ def compile_lexicon(df: DataFrame, text_col: str, tokenizer_json: str, n_words:
                     yield counted()
         yield counted()
 
+    ws = Workspace(df.sparkSession, "lexicon")
     words = df.select(F.col(text_col).alias("text")).mapInArrow(count, "word binary, times long")
-    top = words.groupBy("word").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "word").limit(n_words)
+    counts = ws.table(words.groupBy("word").agg(F.sum("times").alias("times")))
+    histogram = ws.table(counts.groupBy("times").agg(F.count(F.lit(1)).alias("words")))
+    room, least = n_words, None
+    for row in histogram.orderBy(F.desc("times")).limit(n_words).collect():  # each has a word at least
+        room -= row["words"]
+        if room < 0:
+            break
+        least = row["times"]
+    top = counts.where(F.col("times") >= least).select("word") if least else counts.select("word").limit(0)
+    found = [bytes(r["word"]) for r in top.collect()]  # `n_words` at most
     codec = Codec(tokenizer_json)
-    found = [bytes(r["word"]) for r in top.select("word").collect()]
     return Transducer.compile(dict(zip(found, codec.merge_many(list(found)), strict=True)))
 
 

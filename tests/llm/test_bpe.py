@@ -64,3 +64,20 @@ def test_operator(spark, texts):
 
 def test_empty_table(spark):
     assert bpe.digest_texts(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_lexicon_takes_whole_counts_only(spark):
+    rows = [("the cat the dog",), ("the cat a b c d",), (None,)]
+    df = spark.createDataFrame(rows, "text string")
+    with open(PATH, encoding="utf-8") as f:
+        spec = f.read()
+
+    def words(n):
+        machine = bpe.Transducer.mapped(bpe.compile_lexicon(df, "text", spec, n))
+        return {w for w, ids in zip(known, machine.look_up(known), strict=True) if ids is not None}
+
+    known = [b"the", b"cat", b"dog", b"a", b"b", b"c", b"d"]
+    assert words(100) == set(known)
+    assert words(6) == words(2) == {b"the", b"cat"}  # the other five occur once each
+    assert words(1) == {b"the"} and words(0) == set()
+    assert bpe.compile_lexicon(df.limit(0), "text", spec, 5)
