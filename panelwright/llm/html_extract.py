@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -70,15 +71,65 @@ _GROUP = {word: i for i, words in enumerate(WORDS) for word in words}
 # Where the features that mark an article stand in a row.
 _MARK_COLUMNS = [0, 1, len(KINDS), len(KINDS) + 1, len(KINDS) + len(ANCESTOR_KINDS), len(KINDS) + len(ANCESTOR_KINDS) + len(WORDS)]
 
-_TAG = re.compile(
-    r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>)""",
-    re.S,
-)
+_OPENS = re.compile("<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_QUOTE_OR_END = re.compile("[>\"']")
+_COMMENT_END = re.compile("--!?>")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _SHUT = {name: re.compile(f"</{name}[\\s/>]", re.I) for name in RAW}
 
 
+class Tags:
+    """Reads tags from left to right, in time linear in the page whatever it holds.
+
+    A tag ends at the first ``>`` outside of quotes; if a quote isn't closed, at the first ``>``. Where quotes
+    begin from which no end can be reached is remembered, so no tag is followed to the end of the page twice
+    the same way.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self._lost: set[int] = set()
+
+    def _end(self, at: int) -> int:
+        """Where the ``>`` stands that ends a tag whose attributes begin here, or -1."""
+        source, begun, first = self.source, [], -1
+        while m := _QUOTE_OR_END.search(source, at):
+            at = m.start()
+            if source[at] == ">":
+                return at
+            if first < 0:
+                first = at
+            if at in self._lost:
+                break
+            begun.append(at)
+            closed = source.find(source[at], at + 1)
+            if closed < 0:
+                break
+            at = closed + 1
+        self._lost.update(begun)
+        return source.find(">", first) if first >= 0 else -1
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the next tag; a comment or declaration has no name."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            if source.startswith("<!--", start):
+                m = _COMMENT_END.search(source, start + 4)
+                return start, m.end() if m else len(source), False, "", ""
+            if start > self.last:  # only a comment can still begin
+                start = source.find("<!--", start)
+                return (start, m.end() if (m := _COMMENT_END.search(source, start + 4)) else len(source), False, "", "") if start >= 0 else None
+            if source.startswith(("<!", "<?"), start):
+                return start, source.find(">", start) + 1, False, "", ""
+            m = _OPENS.match(source, start)
+            end = self._end(m.end()) if m else -1
+            if end >= 0:
+                return start, end + 1, bool(m[1]), m[2].lower(), source[m.end() : end]
+            at = start + 1
+        return None
+
+
 class Page:
     """Nodes in page order (parents before children) and runs of text as (node, block, text, in a link)."""
 
@@ -116,19 +167,33 @@ class Page:
                 node = loose[1]
             self.runs.append((node, block, html.unescape(part) if "&" in part else part, links > 0))
 
+        tags = Tags(source)
+        opened: Counter = Counter()  # names on the stack
+
+        def leave(name: str) -> None:
+            """Close the innermost open element of that name and all within it."""
+            while opened[name]:
+                last = self.tag[stack.pop()]
+                opened[last] -= 1
+                if last == name:
+                    return
+
+        def enter(name: str, attributes: str) -> None:
+            stack.append(self._node(name, stack[-1], attributes))
+            opened[name] += 1
+
         while True:
-            m = _TAG.search(source, at)
-            if not m:
+            found = tags.after(at)
+            if not found:
                 text(source[at:])
                 return
-            if m.start() > at:
-                text(source[at : m.start()])
-            at = m.end()
-            name = m[2] or m[5]
+            start, end, closing, name, attributes = found
+            if start > at:
+                text(source[at:start])
+            at = end
             if not name:
                 continue
-            name = name.lower()
-            if m[1] or m[4]:
+            if closing:
                 if name == "a":
                     links = max(0, links - 1)
                 elif name in SILENT and name not in RAW:
@@ -136,12 +201,8 @@ class Page:
                         del silent[len(silent) - 1 - silent[::-1].index(name) :]
                 if name in BLOCKS:
                     block += 1
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] == name:
-                        del stack[i:]
-                        break
+                leave(name)
                 continue
-            attributes = m[3] if m[2] else m[6]
             if silent and silent[-1] == "head" and name not in IN_HEAD:
                 silent.pop()
             if silent and silent[-1] == "option" and name in ("option", "optgroup"):
@@ -159,27 +220,24 @@ class Page:
                 if name == "body":
                     silent.clear()
                 if name != "hr":
-                    for i in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[i]] == "p":
-                            del stack[i:]
-                            break
-                        if self.tag[stack[i]] in HOLDERS:
-                            break
-                    if name in CLOSED_BY:
+                    for ended, within in (({"p"}, HOLDERS), (CLOSED_BY.get(name, ()), BOUNDS.get(name, ()))):
+                        if not any(opened[e] for e in ended):
+                            continue
                         for i in range(len(stack) - 1, 0, -1):
-                            if self.tag[stack[i]] in CLOSED_BY[name]:
-                                del stack[i:]
+                            open_name = self.tag[stack[i]]
+                            if open_name in ended:
+                                leave(open_name)
                                 break
-                            if self.tag[stack[i]] in BOUNDS[name]:
+                            if open_name in within:
                                 break
                     if name not in ("html", "body"):
-                        stack.append(self._node(name, stack[-1], attributes))
+                        enter(name, attributes)
             elif name == "a":
                 links += 1
             elif name == "br":
                 text(" ")
             elif name not in VOID and "=" in attributes and _ATTRIBUTE.search(attributes) and not attributes.endswith("/"):
-                stack.append(self._node(name, stack[-1], attributes))
+                enter(name, attributes)
 
     def features(self) -> np.ndarray:
         n = len(self.tag)

@@ -1,3 +1,6 @@
+import random
+import re
+
 from conftest import messy
 
 from panelwright.llm import html_extract as h
@@ -69,3 +72,31 @@ def test_labels_below_a_dropped_node_are_dropped():
 
 def test_empty_table(spark):
     assert h.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+TAG = re.compile(
+    r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>)""",
+    re.S,
+)
+
+
+def test_tags_are_those_of_the_pattern():
+    draw = random.Random(6)
+    for _ in range(20_000):
+        source = "".join(draw.choice(["<", ">", '"', "'", "a", "b=", " ", "/", "<a ", "</a", "<!", "<!--", "-->", "--!>", "<?"]) for _ in range(draw.randint(0, 25)))
+        tags, at, got = h.Tags(source), 0, []
+        while found := tags.after(at):
+            got.append(found)
+            at = found[1]
+        want = [(m.start(), m.end(), bool(m[1] or m[4]), (m[2] or m[5] or "").lower(), m[3] if m[2] else m[6] or "") for m in TAG.finditer(source)]
+        assert got == want, source
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    import time
+
+    for part in ("<a href='x ", "<a href='x>", "<a \"'>", "<a '\" '>", "<!", "<a <b ", "<p>'", "<!-- ", "&amp", "<a b=\"c' >", "<li><ul>" , "</div>", "</p>", "<tr>", "<script>"):
+        began = time.process_time()
+        h.Page(part * (200_000 // len(part)))
+        h.Page("<div>" * 20_000 + part * 20_000)
+        assert time.process_time() - began < 5, part
