@@ -38,7 +38,7 @@ from panelwright.plans import pipeline as p
 from panelwright.plans import run
 from panelwright.plans import standins as st
 from panelwright.session import cut_lineage, fingerprint, shared_dir
-from panelwright.sources import archives, text
+from panelwright.sources import archives, documents, text
 from panelwright.sources.events import fold_events
 from panelwright.streaming import load
 
@@ -430,7 +430,7 @@ def document_scan(spark, sf):
     """A5: JSON documents of the readings, scanned back as text; a JSON null stays NULL."""
     folder = _fresh_folder(spark, "documents")
     st.write_files(st.readings(spark, sf).select("date_text", "value_text", "_source_object"), folder, "json")
-    return text.read_odata(spark, folder).groupBy("date_text").agg(
+    return documents.read_documents(spark, folder).groupBy("date_text").agg(
         F.count("*").alias("rows"),
         F.count("value_text").alias("present"),
         F.sum(F.col("value_text").cast("decimal(18,2)")).cast("double").alias("total"),

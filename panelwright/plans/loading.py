@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import ingest
 from panelwright.session import cut_lineage, delete_path, shared_dir
-from panelwright.sources import archives, text
+from panelwright.sources import archives, documents, text
 from panelwright.sources.events import EventLog
 
 CONTROL_SCHEMA = "archive string, member string, version_ts string, crc32 string, source_object string, status string, reason string, load_id string"
@@ -114,7 +114,7 @@ def load_series(
     spark: SparkSession, document: str, bronze: str, date: str, source_object: str, system: str, load_id: str, at: str
 ) -> None:
     """A5, B1–B2, B9–B11. Append the document's rows from the high-water mark on that are not stored yet."""
-    rows = text.read_odata(spark, document).withColumn("_source_object", F.lit(source_object))
+    rows = documents.read_documents(spark, document).withColumn("_source_object", F.lit(source_object))
     columns = [c for c in rows.columns if c != "_source_object"]
     hashed = rows.withColumn("_record_hash", ingest.record_hash(columns))
     kept = [*columns, "_source_object", "_record_hash"]

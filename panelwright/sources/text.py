@@ -1,11 +1,10 @@
-"""A2, A5–A8. Delimited text, JSON documents and Parquet tables."""
+"""A2, A6–A8. Delimited text and Parquet tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelwright.session import folder_names
 
@@ -42,18 +41,6 @@ def union_files(frames: Sequence[DataFrame]) -> DataFrame:
     return first
 
 
-class DocumentRefused(Exception):
-    """A5. The document has no ``value`` list."""
-
-
-def read_odata(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A5. One row per item of ``value``; every field as text, JSON null as NULL."""
-    documents = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
-    if "value" not in documents.columns:
-        raise DocumentRefused(str(path))
-    return documents.select(F.explode("value").alias("item")).select("item.*")
-
-
 def append_by_date(df: DataFrame, path: str, partition: str = "_ingestion_date") -> None:
     """A6. Append sink. One shuffle-free write; each task writes the dates it holds."""
     df.write.mode("append").partitionBy(partition).parquet(path)

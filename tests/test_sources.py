@@ -2,6 +2,8 @@
 
 import io
 import json
+import random
+import tracemalloc
 import zipfile
 
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import ingest
 from panelwright.plans import loading
-from panelwright.sources import archives, text
+from panelwright.sources import archives, documents, text
 from panelwright.sources.events import EventLog
 
 REQUIRED = ["data_base", "uf", "modalidade", "numero_de_operacoes", "carteira_ativa"]
@@ -272,11 +274,56 @@ ITEMS = [
 
 def test_document_source(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"value": ITEMS}))
-    rows = {r["VALDATA"][:10]: r["VALVALOR"] for r in text.read_odata(spark, str(tmp_path / "d.json")).collect()}
+    rows = {r["VALDATA"][:10]: r["VALVALOR"] for r in documents.read_documents(spark, str(tmp_path / "d.json")).collect()}
     assert rows == {"2026-03-30": "14.25", "2026-03-31": None, "2026-04-01": "15"}
     (tmp_path / "e.json").write_text(json.dumps({"error": "x"}))
-    with pytest.raises(text.DocumentRefused):
-        text.read_odata(spark, str(tmp_path / "e.json"))
+    with pytest.raises(documents.DocumentRefused):
+        documents.read_documents(spark, str(tmp_path / "e.json"))
+
+
+def test_documents_are_read_in_chunks_of_any_size():
+    draw = random.Random(3)
+
+    def value(depth=0):
+        kind = draw.randrange(7 if depth < 2 else 5)
+        if kind >= 5:
+            return [value(depth + 1) for _ in range(draw.randint(0, 3))] if kind == 5 else {f"k{i}": value(depth + 1) for i in range(draw.randint(0, 3))}
+        return [None, True, draw.randint(-99, 99), draw.random() * 1e6, "".join(draw.choice('ab"\\,]}é😀 {[:') for _ in range(draw.randint(0, 9)))][kind]
+
+    def shown(x):
+        return json.loads(json.dumps(x), parse_int=str, parse_float=str)
+
+    for _ in range(150):
+        items = [value() for _ in range(draw.randint(0, 5))]
+        whole = {"before": value(), "value": items, "after": value()} if draw.random() < 0.7 else {"value": items}
+        raw = json.dumps(whole, ensure_ascii=draw.random() < 0.5, indent=draw.choice([None, 1])).encode("utf-8-sig")
+        for chunk in (1, 7, 1000):
+            assert list(documents.document_items(io.BytesIO(raw), chunk)) == [shown(i) for i in items]
+    for bad in (b"", b"{}", b"[1]", b'{"a": 1}', b'{"value": 3}', b'{"value": [1, 2', b'{"value": [1 2]}', b'{"value": [{"a": }]}', b'{"value": [tru]}'):
+        with pytest.raises(documents.DocumentRefused):
+            list(documents.document_items(io.BytesIO(bad), 3))
+
+
+def test_a_document_is_never_held_whole():
+    class Endless(io.RawIOBase):
+        """A document of a few hundred MB that is made as it is read."""
+
+        def __init__(self, items):
+            self.left, self.head = items, b'{"value": ['
+
+        def read(self, n):
+            out, self.head = self.head, b""
+            while len(out) < n and self.left:
+                self.left -= 1
+                out += b'{"a": "' + b"x" * 1000 + b'", "n": 1.50}' + (b"," if self.left else b"]}")
+            return out
+
+    tracemalloc.start()
+    try:
+        assert sum(item["n"] == "1.50" for item in documents.document_items(Endless(60_000), 1 << 16)) == 60_000
+        assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    finally:
+        tracemalloc.stop()
 
 
 def test_watermark_load(spark):
