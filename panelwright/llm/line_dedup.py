@@ -1,12 +1,20 @@
 """Near-equal lines across documents by a segment-partition edit join.
 
+Two lines are linked if they are within ``allowed`` edits of each other: one for each ``EDIT_CHARS`` characters of the
+shorter line, up to ``tau``. Shorter lines are linked with nothing but their copies.
+
 A line of ``n`` characters is cut into ``tau`` + 1 even segments. If another line is within ``tau`` edits, one
 of these segments occurs in it unchanged, close to its own place. So each distinct line is indexed under
 (length, segment number, segment), and probes the lengths from its own down to ``tau`` less with the few
 substrings that can be an unchanged segment there. Pairs that meet are verified once by a banded
-bit-parallel edit distance: one word of ``2 tau + 2`` bits holds a column of the band. Of a line of up to
-``tau`` characters some segment is empty, so it meets all lines up to ``tau`` longer; two of these are
-linked whatever they hold.
+bit-parallel edit distance: one word of ``2 tau + 2`` bits holds a column of the band.
+
+A segment that many lines share, as those made from one pattern do, isn't a reason to compare them all. What is left of
+two such lines without the shared piece is within ``tau`` edits too, so it is cut again in the same way, and
+lines meet only where a second piece is the same, and so on. A key is split up while its lines outnumber ``GROUP``
+times ``tau`` + 1 to the power of the pieces so far: each piece has so many of the next level, so this never costs
+more than comparing the lines would, and no pair is lost. Lines that do meet there are put out as a pair only if their
+counts of characters are close enough.
 
 Linked lines form classes; the first line of a class, by document and line number, stays. Copies of a line
 are one row before anything is joined. Only DataFrame functions are used.
@@ -16,30 +24,53 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from panelwright.llm.components import components
 from panelwright.llm.store import Workspace
 
 TAU = 2
-# Every line that isn't blank is compared, however short.
-LEAST_CHARS = 1
+EDIT_CHARS = 8
+GROUP = 16
+# Any disjoint sets of characters will do; these are frequent in many languages.
+BAGS = ("eE", "tT", "nN", "aA", "hH", "oOuU", "rRsS", "iIlL", "dDcC", "0123456789")
+
+
+def _span(n: Column, i: Column, tau: int) -> tuple[Column, Column]:
+    """Where segment ``i`` of a line of ``n`` characters begins, and its length. The last segments are one character longer."""
+    longer = n % (tau + 1)
+    short = F.call_function("div", n - longer, F.lit(tau + 1)).cast("int")
+    return short * (i - 1) + F.greatest(F.lit(0), i - (tau + 2) + longer) + 1, short + F.when(i > tau + 1 - longer, 1).otherwise(0)
 
 
-def _keys(texts: DataFrame, tau: int, places: list[tuple[int, int, int]], name: str) -> DataFrame:
-    """(key, ``name``): hash of length, segment number and substring, for each of ``places`` that fits a line.
+def _pieces(rows: DataFrame, tau: int, places: list[tuple[int, int, int]], rest: bool = False) -> DataFrame:
+    """(key, h): hash of length, segment number and substring, for each of ``places`` that fits ``line``.
 
     A place is (characters less, segment from 1, shift): the segment of a line that is so much shorter, in
-    this line, moved by the shift. Segments are even; the last ones are one character longer.
+    this line, moved by the shift. Rows that have a ``key`` already keep to their difference in length, ``gap``, and
+    the new key goes on from theirs. ``rest`` adds the difference, the line without the piece, and to ``passed`` the
+    hashes of the line's own segments before this one.
     """
     each = F.array(*(F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in places))
-    rows = texts.select("h", "line", "n", F.inline(each)).withColumn("other", F.col("n") - F.col("less"))
-    i, longer = F.col("i"), F.col("other") % (tau + 1)
-    short = F.call_function("div", F.col("other") - longer, F.lit(tau + 1)).cast("int")
-    size = short + F.when(i > tau + 1 - longer, 1).otherwise(0)
-    start = short * (i - 1) + F.greatest(F.lit(0), i - (tau + 2) + longer) + 1 + F.col("shift")
-    fits = (start >= 1) & (start + size <= F.col("n") + 1)
-    key = F.when(fits, F.xxhash64("other", "i", F.substring("line", start, size)))
-    return rows.select(key.alias("key"), F.col("h").alias(name)).where("key is not null")
+    chained = "key" in rows.columns
+    if chained:
+        each = F.filter(each, lambda p: p["less"] == F.col("gap"))
+    if rest:
+        own = [F.xxhash64(F.substring("line", *_span(F.col("n"), F.lit(i), tau))) for i in range(1, tau + 1)]
+        rows = rows.withColumn("own", F.array(*own))
+    rows = rows.select("*", F.inline(each)).withColumn("other", F.col("n") - F.col("less"))
+    start, size = _span(F.col("other"), F.col("i"), tau)
+    start = start + F.col("shift")
+    fits = (F.col("other") >= 0) & (start >= 1) & (start + size <= F.col("n") + 1)
+    key = F.when(fits, F.xxhash64("key" if chained else "other", "i", F.substring("line", start, size)))
+    if not rest:
+        return rows.select(key.alias("key"), "h").where("key IS NOT NULL")
+    left = F.concat(F.substring("line", F.lit(1), start - 1), F.substring("line", start + size, F.col("n")))
+    before = F.when(F.col("less") == 0, F.slice("own", F.lit(1), F.col("i") - 1)).otherwise(F.array().cast("array<bigint>"))
+    passed = F.concat("passed", before) if chained else before
+    bags = [c for c in rows.columns if c.startswith("bag_")]
+    out = rows.select(key.alias("key"), "h", left.alias("line"), F.col("less").alias("gap"), passed.alias("passed"), *bags).where("key IS NOT NULL")
+    return out.withColumn("n", F.length("line"))
 
 
 def _index_places(tau: int) -> list[tuple[int, int, int]]:
@@ -121,30 +152,89 @@ def _lines(text: Column) -> Column:
     return F.filter(every, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
 
 
+def _counted(lines: DataFrame) -> DataFrame:
+    """How many characters of each of ``BAGS`` a line has. One edit moves one character from one set to another at most."""
+    return lines.withColumns({f"bag_{i}": F.length("line") - F.length(F.translate("line", chars, "")) for i, chars in enumerate(BAGS)})
+
+
+def _met(index: DataFrame, probe: DataFrame, tau: int | None = None) -> DataFrame:
+    """Pairs with an equal key; with ``tau``, those whose characters allow so many edits.
+
+    Two lines of one length that share a segment before the one that they met by are left to that one.
+    """
+    more = ["passed", *(f"bag_{i}" for i in range(len(BAGS)))] if tau is not None else []
+    x = index.select("key", F.col("h").alias("x"), *(F.col(c).alias(f"x_{c}") for c in more))
+    y = probe.select("key", F.col("h").alias("y"), *(F.col(c).alias(f"y_{c}") for c in more))
+    # No key has many lines in the index here, so its part of a task's keys fits a hash table.
+    met = x.hint("shuffle_hash").join(y, "key").where("x <> y")
+    if more:
+        apart = sum((F.abs(F.col(f"x_{c}") - F.col(f"y_{c}")) for c in more[1:]), F.lit(0))
+        earlier = F.exists(F.zip_with("x_passed", "y_passed", lambda a, b: a == b), lambda e: F.coalesce(e, F.lit(False)))
+        met = met.where((apart <= 2 * tau) & ~earlier)
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def candidate_pairs(ws: Workspace, texts: DataFrame, tau: int) -> DataFrame:
+    """(x, y), x < y, for the hashes of lines of ``texts`` (line, h, n) that share enough pieces to be within ``tau`` edits."""
+    places, shifted = _index_places(tau), [p for p in _probe_places(tau) if p[0] or p[2]]
+    index = ws.table(_pieces(texts, tau, places))
+    # Lines of one length that share a segment in its place have one key in the index.
+    shared = ws.table(index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    many = ws.table(shared.where(F.col("size") > GROUP).select("key"))
+    same = ws.table(index.join(shared.where(F.col("size") <= GROUP).select("key"), "key", "left_semi"))
+    probe = _pieces(texts, tau, shifted)
+    crowded = not many.isEmpty()
+    pairs = [_met(same, same), _met(index.join(many, "key", "left_anti") if crowded else index, probe)]
+    if crowded:
+        probe = ws.table(probe.join(many, "key", "left_semi").union(index.join(many, "key", "left_semi")))
+        lines = _counted(texts.join(probe.select("h").distinct(), "h", "left_semi"))
+        both = [_pieces(lines, tau, p, rest=True).join(many, "key", "left_semi") for p in (places, _probe_places(tau))]
+        level = 1
+        while crowded:
+            both = [ws.table(_pieces(rows, tau, p, rest=True)) for rows, p in zip(both, (places, _probe_places(tau)), strict=True)]
+            sizes = both[0].groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+            many = ws.table(sizes.where(F.col("size") > GROUP * (tau + 1) ** level).select("key"))
+            crowded = not many.isEmpty()
+            pairs.append(_met(both[0].join(many, "key", "left_anti") if crowded else both[0], both[1], tau))
+            both = [rows.join(many, "key", "left_semi") for rows in both]
+            level += 1
+    met = pairs[0]
+    for more in pairs[1:]:
+        met = met.union(more)
+    return ws.table(met.distinct())
+
+
 def line_links(ws: Workspace, lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """(a, b) for each two distinct lines within ``tau`` edits, by the 128-bit digests of the lines, a < b."""
+    """(a, b) for each two distinct linked lines, by the 128-bit digests of the lines, a < b."""
     n = F.length("line")
-    texts = ws.table(lines.groupBy("line").agg(F.lit(1).alias("one")).select("line", F.xxhash64("line").alias("h"), n.alias("n")))
-    index = _keys(texts, tau, _index_places(tau), "x")
-    probe = _keys(texts, tau, _probe_places(tau), "y")
-    met = index.join(probe, "key").where("x <> y")
-    pairs = ws.table(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    x = texts.select(F.col("h").alias("x"), F.col("line").alias("line_x"), F.col("n").alias("n_x"))
-    y = texts.select(F.col("h").alias("y"), F.col("line").alias("line_y"), F.col("n").alias("n_y"))
-    full = pairs.join(x, "x").join(y, "y").where(F.abs(F.col("n_x") - F.col("n_y")) <= tau)
-    swap = F.col("n_x") >= F.col("n_y")
-    full = full.select(
-        "line_x",
-        "line_y",
-        F.when(swap, F.col("line_x")).otherwise(F.col("line_y")).alias("longer"),
-        F.when(swap, F.col("line_y")).otherwise(F.col("line_x")).alias("shorter"),
-    )
-    # Few rows, but much work for each: spread them over all tasks.
-    full = full.repartition(int(ws.spark.conf.get("spark.sql.shuffle.partitions")))
-    # Texts of up to `tau` characters turn into each other by `tau` edits; the band needs one that is longer.
-    near = full.where(F.when(F.length("longer") <= tau, True).otherwise(edit_distance(F.col("longer"), F.col("shorter"), tau) <= tau))
+    texts = ws.table(lines.where(n >= EDIT_CHARS).groupBy("line").agg(F.lit(1).alias("one")).select("line", F.xxhash64("line").alias("h"), n.alias("n")))
+    near = []
+    for edits in range(1, tau + 1):
+        # Of a pair with so many edits, the shorter line has less than `above` characters.
+        above = EDIT_CHARS * (edits + 1)
+        part = texts.where(F.col("n") >= EDIT_CHARS * edits)
+        if edits < tau:
+            part = part.where(F.col("n") < above + edits)
+        x = part.select(F.col("h").alias("x"), F.col("line").alias("line_x"), F.col("n").alias("n_x"))
+        y = part.select(F.col("h").alias("y"), F.col("line").alias("line_y"), F.col("n").alias("n_y"))
+        full = candidate_pairs(ws, part, edits).join(x, "x").join(y, "y").where(F.abs(F.col("n_x") - F.col("n_y")) <= edits)
+        if edits < tau:
+            full = full.where(F.least("n_x", "n_y") < above)
+        swap = F.col("n_x") >= F.col("n_y")
+        full = full.select(
+            "line_x",
+            "line_y",
+            F.when(swap, F.col("line_x")).otherwise(F.col("line_y")).alias("longer"),
+            F.when(swap, F.col("line_y")).otherwise(F.col("line_x")).alias("shorter"),
+        )
+        # Few rows, but much work for each: spread them over all tasks.
+        full = full.repartition(int(ws.spark.conf.get("spark.sql.shuffle.partitions")))
+        near.append(full.where(edit_distance(F.col("longer"), F.col("shorter"), edits) <= edits).select("line_x", "line_y"))
+    every = near[0]
+    for more in near[1:]:
+        every = every.union(more)
     a, b = F.unhex(F.md5(F.col("line_x").cast("binary"))), F.unhex(F.md5(F.col("line_y").cast("binary")))
-    return ws.table(near.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct())
+    return ws.table(every.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct())
 
 
 def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
@@ -178,11 +268,12 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sort_array(F.collect_set(F.when(gone, F.col("first.id")))).alias("first_ids"),
     )
     zero, none = F.lit(0).cast("long"), F.array()
+    ids = ArrayType(df.schema[id_col].dataType)
     return rows.select("id", "row").join(by_row, "row", "left").select(
         F.col("id").alias(id_col),
         F.coalesce("n_lines", zero).alias("n_lines"),
         F.coalesce("n_links", zero).alias("n_links"),
         F.coalesce(F.size("removed"), zero).cast("long").alias("n_removed"),
         F.coalesce("removed", none.cast("array<int>")).alias("removed"),
-        F.coalesce("first_ids", none.cast("array<bigint>")).alias("first_ids"),
+        F.coalesce("first_ids", none.cast(ids)).alias("first_ids"),
     )

@@ -35,9 +35,13 @@ def corpus():
     return [*rows, (100, None), (101, ""), (102, "\n \n"), (103, rows[3][1]), (104, "w" * 5000 + "\n" + "w" * 5001), (None, rows[4][1])]
 
 
+def allowed(x, y, tau):
+    return min(tau, min(len(x), len(y)) // 8)
+
+
 def brute(rows, tau):
     docs = [(d, [(i, x) for i, x in enumerate((t or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]) for d, t in rows]
-    lines = sorted({x for _, found in docs for _, x in found if len(x) >= line_dedup.LEAST_CHARS})
+    lines = sorted({x for _, found in docs for _, x in found})
     parent, degree = {}, Counter()
 
     def find(x):
@@ -47,7 +51,7 @@ def brute(rows, tau):
 
     for i, x in enumerate(lines):
         for y in lines[i + 1 :]:
-            if abs(len(x) - len(y)) <= tau and (len(x) > 1000 or edits(x, y) <= tau):
+            if abs(len(x) - len(y)) <= tau and (len(x) > 1000 or edits(x, y) <= allowed(x, y, tau)):
                 degree.update((x, y))
                 parent[find(x)] = find(y)
     first = {}
@@ -77,13 +81,44 @@ def test_links_of_short_lines(spark, tau):
     lines = {"".join(draw.choice("abé 😀") for _ in range(draw.randint(1, 9))).replace(" ", "_") for _ in range(150)}
     lines |= {"".join(draw.choice("abcdefgh") for _ in range(n)) for n in (1, 1, 2, 2, 3, 3, 4, 5, 15, 17)}
     lines |= {"Euxvi, et et.", "Euxvi, | et.", "fourteen chars", "fourteen charsxy", "}", "},", "*" * 15, "*" * 16, "*" * 17}
+    lines |= {"".join(draw.choice("ab") for _ in range(draw.randint(6, 27))) for _ in range(250)}
     lines = sorted(lines)
     table = spark.createDataFrame([(x,) for x in lines], "line string")
     got = {(bytes(r.a), bytes(r.b)) for r in line_dedup.line_links(Workspace(spark, "t"), table, tau).collect()}
     md5 = {x: hashlib.md5(x.encode()).digest() for x in lines}
-    want = {tuple(sorted((md5[x], md5[y]))) for i, x in enumerate(lines) for y in lines[i + 1 :] if edits(x, y) <= tau}
+    want = {tuple(sorted((md5[x], md5[y]))) for i, x in enumerate(lines) for y in lines[i + 1 :] if edits(x, y) <= allowed(x, y, tau)}
     assert got == want
 
 
+def test_short_lines_stay_and_make_no_pairs(spark):
+    from panelwright.llm.store import Workspace
+
+    table = spark.createDataFrame([(i, chr(0x4E00 + i)) for i in range(1200)], "doc_id long, text string")
+    assert {r.n_removed for r in line_dedup.line_classes(table).collect()} == {0}
+    lines = table.selectExpr("text AS line", "hash(text) AS h", "1 AS n").where("n >= 8")
+    assert line_dedup.candidate_pairs(Workspace(spark, "t"), lines, 2).count() == 0
+
+
+@pytest.mark.parametrize("tau", [1, 2])
+def test_lines_of_one_pattern(spark, tau, monkeypatch):
+    """Many lines share most pieces; few are near each other. All links are found, from few pairs."""
+    from pyspark.sql import functions as F
+
+    from panelwright.llm.store import Workspace
+
+    monkeypatch.setattr(line_dedup, "GROUP", 3)
+    draw = random.Random(12)
+    names = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(13, 15))) for _ in range(120)]
+    names += [n[:3] + "z" + n[3 + k % 2 :] for k, n in enumerate(names[:25])]
+    lines = sorted({f"heirs of {name}, 2001" for name in names})
+    table = spark.createDataFrame([(x,) for x in lines], "line string")
+    md5 = {x: hashlib.md5(x.encode()).digest() for x in lines}
+    want = {tuple(sorted((md5[x], md5[y]))) for i, x in enumerate(lines) for y in lines[i + 1 :] if edits(x, y) <= tau}
+    assert len(want) >= 20
+    assert {(bytes(r.a), bytes(r.b)) for r in line_dedup.line_links(Workspace(spark, "t"), table, tau).collect()} == want
+    texts = table.select("line", F.xxhash64("line").alias("h"), F.length("line").alias("n"))
+    assert line_dedup.candidate_pairs(Workspace(spark, "t"), texts, tau).count() < len(lines) * (len(lines) - 1) / 2 / 4
+
+
 def test_empty_table(spark):
     assert line_dedup.line_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
