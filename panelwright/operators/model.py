@@ -8,6 +8,7 @@ the mean AUC per candidate reach the driver.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -15,7 +16,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from panelwright.operators.evaluate import auc, baseline_scores, metrics_table
 from panelwright.operators.features import NUMERIC_FEATURES, RATE_FEATURES
 from panelwright.operators.reporting import long_counts
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, delete_path, shared_dir
 
 LOGISTIC, BOOSTING = "logistic", "boosting"
 CANDIDATES = (LOGISTIC, BOOSTING)
@@ -107,7 +108,24 @@ def build_pipeline(kind: str, with_rate: bool, n_train: int, rounds: int = BOOST
 
 
 def fit(kind: str, with_rate: bool, train: DataFrame, rounds: int = BOOSTING_ROUNDS) -> PipelineModel:
-    return build_pipeline(kind, with_rate, train.count(), rounds).fit(train)
+    return without_summary(build_pipeline(kind, with_rate, train.count(), rounds).fit(train), train.sparkSession)
+
+
+def without_summary(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """The same model without the summary of its training.
+
+    The summary holds the session, which can't be sent to tasks once anything in it has been observed, so such a model
+    could not score. A model that has been saved and read again has none.
+    """
+    fitted = model.stages[-1]
+    if not isinstance(fitted, LogisticRegressionModel):
+        return model
+    path = f"{shared_dir(spark)}/models/{uuid.uuid4().hex}"
+    try:
+        fitted.write().session(spark).save(path)
+        return PipelineModel([*model.stages[:-1], LogisticRegressionModel.read().session(spark).load(path)])
+    finally:
+        delete_path(spark, path)
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from panelwright.operators import model
@@ -124,3 +125,19 @@ def test_donors_lend_once_in_each_repeat(spark):
     for repeat in range(1, 5):
         mine = [r for r in lent if r["repeat"] == repeat]
         assert sorted(r["_row"] for r in mine) == sorted(r["_donor"] for r in mine) == list(range(50))
+
+
+def test_models_score_in_a_session_that_has_observed(spark, dataset):
+    plain = model.build_pipeline(model.LOGISTIC, True, dataset.filter("split = 'development'").count()).fit(dataset.filter("split = 'development'"))
+    seen = Observation("seen")
+    assert spark.range(3).observe(seen, F.count(F.lit(1)).alias("rows")).count() == 3 and seen.get["rows"] == 3
+    fitted = model.fit(model.LOGISTIC, True, dataset.filter("split = 'development'"))
+    assert list(fitted.stages[-1].coefficients) == pytest.approx(list(plain.stages[-1].coefficients))
+    rows = model.score(fitted, dataset.filter("split = 'test'")).collect()
+    assert len(rows) > 0 and all(0 <= r["score"] <= 1 for r in rows)
+    aucs = model.rolling_evaluation(dataset, FOLDS[:1], 1).collect()
+    assert {r["candidate"] for r in aucs} >= {"logistic", "logistic_without_rate", "boosting", "boosting_without_rate"}
+    run = model.final_test(dataset, model.LOGISTIC)
+    assert len(model.permutation_importance(run.model, dataset.filter("split = 'test'"), repeats=1).collect()) == 14
+    assert len(model.coefficients(run.model).collect()) == 12 + 4 + 2
+    assert len(model.production_scores(dataset, model.LOGISTIC).collect()) == 8
