@@ -126,3 +126,29 @@ def test_threshold():
 
 def test_empty_table(spark):
     assert q.judge(spark.createDataFrame([], "doc_id long, text string"), no_labels(spark)).count() == 0
+
+
+def test_every_labelled_text_has_a_role(spark):
+    from panelwright.llm.store import Workspace
+
+    labels = spark.range(60_000).selectExpr("id AS doc_id", "IF(id % 6 = 0, 0, 1) AS quality", "IF(id % 2 = 0 AND id % 6 <> 0, 1, 0) AS toxic")
+    found = {r["role"]: r["count"] for r in q.samples(Workspace(spark, "t"), labels).groupBy("role").count().collect()}
+    assert found["bad"] == 10_000 and found["target"] + found["good"] == 30_000 and found["toxic"] + found["insult"] == 20_000
+    assert abs(found["good"] - 7_500) < 500 and abs(found["insult"] - 5_000) < 500
+
+
+def test_thresholds_of_tables_are_those_of_lists(spark):
+    from panelwright.llm.store import Workspace
+
+    draw = random.Random(31)
+    for least in (0.0, 0.9, 1.0):
+        lists = {
+            "mixed": ([draw.gauss(0.5, 1) for _ in range(300)], [draw.gauss(-0.5, 1) for _ in range(200)]),
+            "ties": ([draw.randint(0, 9) / 10 for _ in range(200)], [draw.randint(-4, 6) / 10 for _ in range(150)]),
+            "no bad": ([0.3, 0.1], []),
+            "no good": ([], [0.2, 0.4]),
+            "apart": ([0.8, 0.9], [0.2, -0.0, 0.0]),
+        }
+        rows = [(kind, x, is_good) for kind, both in lists.items() for is_good, xs in zip((True, False), both, strict=True) for x in xs]
+        found = q.thresholds(Workspace(spark, "t"), spark.createDataFrame(rows, "kind string, value double, good boolean"), dict.fromkeys(lists, least))
+        assert found == {kind: q.best_threshold(*both, least) for kind, both in lists.items() if both[0]}
