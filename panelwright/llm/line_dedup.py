@@ -5,8 +5,9 @@ shorter line, up to ``tau``. Shorter lines are linked with nothing but their cop
 
 A line of ``n`` characters is cut into ``tau`` + 1 even segments. If another line is within ``tau`` edits, one
 of these segments occurs in it unchanged, close to its own place. So each distinct line is indexed under
-(length, segment number, segment), and probes the lengths from its own down to ``tau`` less with the few
-substrings that can be an unchanged segment there. Pairs that meet are verified once by a banded
+(segment number, segment), and probes the lengths from its own down to ``tau`` less with the few
+substrings that can be an unchanged segment there; a substring that serves several lengths is one probe. Pairs that
+meet are verified once, without their common beginning and end, by a banded
 bit-parallel edit distance: one word of ``2 tau + 2`` bits holds a column of the band.
 
 A segment that many lines share, as those made from one pattern do, isn't a reason to compare them all. What is left of
@@ -22,6 +23,8 @@ are one row before anything is joined. Only DataFrame functions are used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -43,33 +46,57 @@ def _span(n: Column, i: Column, tau: int) -> tuple[Column, Column]:
     return short * (i - 1) + F.greatest(F.lit(0), i - (tau + 2) + longer) + 1, short + F.when(i > tau + 1 - longer, 1).otherwise(0)
 
 
-def _pieces(rows: DataFrame, tau: int, places: list[tuple[int, int, int]], rest: bool = False) -> DataFrame:
-    """(key, h): hash of length, segment number and substring, for each of ``places`` that fits ``line``.
+def _places(tau: int, moved: bool) -> list[list[tuple[int, int, int]]]:
+    """For each remainder of a line's length by ``tau`` + 1, where its own segments are; with ``moved``, the other
+    substrings of it that can be a segment of a line that is as long or up to ``tau`` shorter, each of them once.
+
+    A place is (segment, start, size). The quotient is to be added to the size, and to the start once for each segment before.
+    """
+
+    def place(rest: int, less: int, i: int, shift: int) -> tuple[int, int, int]:
+        quotient, longer = divmod(rest - less, tau + 1)
+        return i, quotient * (i - 1) + max(0, i - (tau + 2) + longer) + 1 + shift, quotient + (i > tau + 1 - longer)
+
+    own = [[place(rest, *p) for p in _index_places(tau)] for rest in range(tau + 1)]
+    return [sorted({place(rest, *p) for p in _probe_places(tau)} - set(own[rest])) for rest in range(tau + 1)] if moved else own
+
+
+def _keys(texts: DataFrame, tau: int, moved: bool) -> DataFrame:
+    """(key, h): hash of segment number and substring, for each of the ``_places`` of ``line``."""
+    rest = F.col("n") % (tau + 1)
+    quotient = F.call_function("div", F.col("n") - rest, F.lit(tau + 1)).cast("int")
+    names = ("i", "start", "size")
+    each = F.array(*(F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(names, p, strict=True))) for p in places)) for places in _places(tau, moved)))
+    rows = texts.select("h", "line", "n", quotient.alias("quotient"), F.inline(F.get(each, rest)))
+    start, size = F.col("quotient") * (F.col("i") - 1) + F.col("start"), F.col("quotient") + F.col("size")
+    # The filter is on the place alone, so that no substring is made and hashed for it.
+    fits = rows.where((size >= 0) & (start >= 1) & (start + size <= F.col("n") + 1))
+    return fits.select(F.xxhash64("i", F.substring("line", start, size)).alias("key"), "h")
+
+
+def _pieces(rows: DataFrame, tau: int, places: list[tuple[int, int, int]]) -> DataFrame:
+    """Keys as those of ``_keys``, for each of ``places`` that fits ``line``, with what is left of the line without the piece.
 
     A place is (characters less, segment from 1, shift): the segment of a line that is so much shorter, in
     this line, moved by the shift. Rows that have a ``key`` already keep to their difference in length, ``gap``, and
-    the new key goes on from theirs. ``rest`` adds the difference, the line without the piece, and to ``passed`` the
-    hashes of the line's own segments before this one.
+    the new key goes on from theirs and holds the length. ``passed`` gets the hashes of the line's own segments before this one.
     """
     each = F.array(*(F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in places))
     chained = "key" in rows.columns
     if chained:
         each = F.filter(each, lambda p: p["less"] == F.col("gap"))
-    if rest:
-        own = [F.xxhash64(F.substring("line", *_span(F.col("n"), F.lit(i), tau))) for i in range(1, tau + 1)]
-        rows = rows.withColumn("own", F.array(*own))
+    own = [F.xxhash64(F.substring("line", *_span(F.col("n"), F.lit(i), tau))) for i in range(1, tau + 1)]
+    rows = rows.withColumn("own", F.array(*own))
     rows = rows.select("*", F.inline(each)).withColumn("other", F.col("n") - F.col("less"))
     start, size = _span(F.col("other"), F.col("i"), tau)
     start = start + F.col("shift")
-    fits = (F.col("other") >= 0) & (start >= 1) & (start + size <= F.col("n") + 1)
-    key = F.when(fits, F.xxhash64("key" if chained else "other", "i", F.substring("line", start, size)))
-    if not rest:
-        return rows.select(key.alias("key"), "h").where("key IS NOT NULL")
+    rows = rows.where((F.col("other") >= 0) & (start >= 1) & (start + size <= F.col("n") + 1))
+    key = F.xxhash64(*(["key", "other"] if chained else []), "i", F.substring("line", start, size))
     left = F.concat(F.substring("line", F.lit(1), start - 1), F.substring("line", start + size, F.col("n")))
     before = F.when(F.col("less") == 0, F.slice("own", F.lit(1), F.col("i") - 1)).otherwise(F.array().cast("array<bigint>"))
     passed = F.concat("passed", before) if chained else before
     bags = [c for c in rows.columns if c.startswith("bag_")]
-    out = rows.select(key.alias("key"), "h", left.alias("line"), F.col("less").alias("gap"), passed.alias("passed"), *bags).where("key IS NOT NULL")
+    out = rows.select(key.alias("key"), "h", left.alias("line"), F.col("less").alias("gap"), passed.alias("passed"), *bags)
     return out.withColumn("n", F.length("line"))
 
 
@@ -87,15 +114,39 @@ def _probe_places(tau: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _alike(part: Callable[[str, Column], Column], least: Column) -> Column:
+    """The largest count of characters, up to ``least``, for which ``part`` gives the same of both texts: found bit by bit."""
+
+    def grown(found: Column, bit: Column) -> Column:
+        tried = found + F.call_function("shiftleft", F.lit(1), bit)
+        same = (tried <= least) & (part("longer", tried) == part("shorter", tried))
+        return F.when(same, tried).otherwise(found)
+
+    return F.aggregate(F.sequence(F.length(F.bin(least)) - 1, F.lit(0), F.lit(-1)), F.lit(0), grown)
+
+
 def edit_distance(longer: Column, shorter: Column, tau: int) -> Column:
     """Edit distance of two texts if it is at most ``tau``, else more than ``tau``.
 
-    Bit ``top`` of a word belongs to the cell ``tau`` below the diagonal. The score follows that cell down to
+    What both begin and end with is left out, as far as the longer one keeps ``tau`` characters. Bit ``top`` of a word
+    belongs to the cell ``tau`` below the diagonal. The score follows that cell down to
     the last row and then along it. The longer text must have ``tau`` or more characters, and no more
     than ``tau`` more than the other. The texts are split once, into the only element of an array.
     """
-    both = F.array(F.struct(F.split(longer, "").alias("longer"), F.split(shorter, "").alias("shorter")))
-    return F.get(F.transform(both, lambda s: _array_distance(s["longer"], s["shorter"], tau)), F.lit(0))
+    both = F.array(F.struct(longer.alias("longer"), shorter.alias("shorter"), F.length(longer).alias("n"), F.length(shorter).alias("m")))
+
+    def ends(s: Column) -> Column:
+        head, tail = _alike(lambda x, k: F.left(s[x], k), s["m"]), _alike(lambda x, k: F.right(s[x], k), s["m"])
+        return F.struct(*(s[c].alias(c) for c in ("longer", "shorter", "n", "m")), head.alias("head"), F.least(tail, s["n"] - tau).alias("tail"))
+
+    def inner(s: Column) -> Column:
+        head = F.least(s["head"], s["m"] - s["tail"], s["n"] - s["tail"] - tau)
+        cut = [F.substring(s[x], head + 1, s[size] - s["tail"] - head) for x, size in (("longer", "n"), ("shorter", "m"))]
+        return F.struct(F.split(cut[0], "").alias("longer"), F.split(cut[1], "").alias("shorter"))
+
+    for step in (ends, inner, lambda s: _array_distance(s["longer"], s["shorter"], tau)):
+        both = F.transform(both, step)
+    return F.get(both, F.lit(0))
 
 
 def _array_distance(longer: Column, shorter: Column, tau: int) -> Column:
@@ -176,22 +227,27 @@ def _met(index: DataFrame, probe: DataFrame, tau: int | None = None) -> DataFram
 
 def candidate_pairs(ws: Workspace, texts: DataFrame, tau: int) -> DataFrame:
     """(x, y), x < y, for the hashes of lines of ``texts`` (line, h, n) that share enough pieces to be within ``tau`` edits."""
-    places, shifted = _index_places(tau), [p for p in _probe_places(tau) if p[0] or p[2]]
-    index = ws.table(_pieces(texts, tau, places))
-    # Lines of one length that share a segment in its place have one key in the index.
+    index, probe = ws.table(_keys(texts, tau, False)), _keys(texts, tau, True)
+    # Lines that share a segment in its own place have one key in the index.
     shared = ws.table(index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     many = ws.table(shared.where(F.col("size") > GROUP).select("key"))
     same = ws.table(index.join(shared.where(F.col("size") <= GROUP).select("key"), "key", "left_semi"))
-    probe = _pieces(texts, tau, shifted)
     crowded = not many.isEmpty()
-    pairs = [_met(same, same), _met(index.join(many, "key", "left_anti") if crowded else index, probe)]
-    if crowded:
-        probe = ws.table(probe.join(many, "key", "left_semi").union(index.join(many, "key", "left_semi")))
-        lines = _counted(texts.join(probe.select("h").distinct(), "h", "left_semi"))
-        both = [_pieces(lines, tau, p, rest=True).join(many, "key", "left_semi") for p in (places, _probe_places(tau))]
+    pairs = [_met(same, same)]
+    if not crowded:
+        pairs.append(_met(index, probe))
+    else:
+        # One row stands for all lines of a key that many share: it tells which lines probe that key.
+        few = index.join(many, "key", "left_anti").union(many.select("key", F.lit(None).cast("long").alias("h")))
+        met = few.select("key", F.col("h").alias("x")).hint("shuffle_hash").join(probe.select("key", F.col("h").alias("y")), "key")
+        met = ws.table(met.where("x IS NULL OR x <> y").select("x", "y"))
+        pairs.append(met.where("x IS NOT NULL").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+        reached = met.where("x IS NULL").select(F.col("y").alias("h")).union(index.join(many, "key", "left_semi").select("h"))
+        lines = _counted(texts.join(ws.table(reached.distinct()), "h", "left_semi"))
+        both = [_pieces(lines, tau, p).join(many, "key", "left_semi") for p in (_index_places(tau), _probe_places(tau))]
         level = 1
         while crowded:
-            both = [ws.table(_pieces(rows, tau, p, rest=True)) for rows, p in zip(both, (places, _probe_places(tau)), strict=True)]
+            both = [ws.table(_pieces(rows, tau, p)) for rows, p in zip(both, (_index_places(tau), _probe_places(tau)), strict=True)]
             sizes = both[0].groupBy("key").agg(F.count(F.lit(1)).alias("size"))
             many = ws.table(sizes.where(F.col("size") > GROUP * (tau + 1) ** level).select("key"))
             crowded = not many.isEmpty()
@@ -227,8 +283,6 @@ def line_links(ws: Workspace, lines: DataFrame, tau: int = TAU) -> DataFrame:
             F.when(swap, F.col("line_x")).otherwise(F.col("line_y")).alias("longer"),
             F.when(swap, F.col("line_y")).otherwise(F.col("line_x")).alias("shorter"),
         )
-        # Few rows, but much work for each: spread them over all tasks.
-        full = full.repartition(int(ws.spark.conf.get("spark.sql.shuffle.partitions")))
         near.append(full.where(edit_distance(F.col("longer"), F.col("shorter"), edits) <= edits).select("line_x", "line_y"))
     every = near[0]
     for more in near[1:]:

@@ -120,5 +120,48 @@ def test_lines_of_one_pattern(spark, tau, monkeypatch):
     assert line_dedup.candidate_pairs(Workspace(spark, "t"), texts, tau).count() < len(lines) * (len(lines) - 1) / 2 / 4
 
 
+@pytest.mark.parametrize("tau", [1, 2, 3])
+def test_a_substring_is_probed_once(spark, tau):
+    """Near lines share a key of the shorter one's segments, and no line probes a key twice or one of its own again."""
+    from pyspark.sql import functions as F
+
+    draw = random.Random(5)
+    names = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(9 * tau, 9 * tau + 12))) for _ in range(60)]
+    names += [n[:i] + draw.choice(["", "z", "é"]) + n[i + draw.randint(0, 1) :] for n in names for i in (0, draw.randrange(len(n)), len(n) - 1)]
+    lines = sorted(set(names))
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "h long, line string").withColumn("n", F.length("line"))
+    own, moved = ([(r.h, r.key) for r in line_dedup._keys(table, tau, kind).collect()] for kind in (False, True))
+    assert len(own) == len(lines) * (tau + 1)
+    assert len({*own, *moved}) == len(own) + len(moved)
+    shifted = [p for p in line_dedup._probe_places(tau) if p[0] or p[2]]
+    assert len(moved) < 0.7 * len(lines) * len(shifted)
+    segments, every = ([{k for h, k in pairs if h == i} for i in range(len(lines))] for pairs in (own, own + moved))
+    near = [(i, j) for i, x in enumerate(lines) for j, y in enumerate(lines) if len(x) <= len(y) <= len(x) + tau and i != j and edits(x, y) <= tau]
+    assert len(near) > 60
+    assert all(segments[i] & every[j] for i, j in near)
+
+
+def test_distance_is_taken_without_common_ends(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    draw = random.Random(3)
+    for tau in (1, 2, 3):
+        rows = []
+        for _ in range(400):
+            x = "".join(draw.choice(draw.choice(["ab", "abcé😀", "aaaaab"])) for _ in range(draw.randint(tau, 40)))
+            y = list(x)
+            for _ in range(draw.randint(0, tau + 3)):
+                i = draw.randrange(len(y) + 1)
+                y[i : i + draw.randint(0, 1)] = draw.choice(["", "a", "b", "é"])
+            x, y = sorted((x, "".join(y)), key=len, reverse=True)
+            if len(x) >= tau and len(x) - len(y) <= tau:
+                rows.append((x, y))
+        found = spark.createDataFrame(rows, "x string, y string").select("x", "y", line_dedup.edit_distance(F.col("x"), F.col("y"), tau).alias("d"))
+        assert all(min(r.d, tau + 1) == min(edits(r.x, r.y), tau + 1) for r in found.collect())
+    monkeypatch.setattr(line_dedup, "_array_distance", lambda longer, shorter, tau: F.size(longer))
+    long = spark.createDataFrame([("a" * 500 + "bc" + "d" * 300, "a" * 500 + "x" + "d" * 300), ("é" * 256, "é" * 256)], "x string, y string")
+    assert [r.d for r in long.select(line_dedup.edit_distance(F.col("x"), F.col("y"), 2).alias("d")).collect()] == [2, 2]
+
+
 def test_empty_table(spark):
     assert line_dedup.line_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
