@@ -8,13 +8,14 @@ import tracemalloc
 import types
 import zipfile
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.plans import standins
-from panelwright.sources import archives
+from panelwright.plans import loading, standins
+from panelwright.sources import archives, text
 
 NAMES = ("lines_1997.csv@2026-02-11T08:15:30", "lines_1998.csv@2026-08-04T21:05:10")
 
@@ -132,3 +133,18 @@ def test_a_record_longer_than_a_block_is_read_whole(spark, tmp_path, encoding, r
         want["row", *(line.split(";") + [""])[:2]] += 1
     want["row", record.rpartition(";")[0].strip('"'), "é"] += 1
     assert found == want
+
+
+def test_rows_are_staged_as_they_come(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    with zipfile.ZipFile(tmp_path / "in/a.zip", "w") as z:
+        z.writestr("good.csv", "a;b\n1;2\n3\n")
+        z.writestr("bad.csv", "a;b\n1;2;3\n")
+    kept = []
+    monkeypatch.setattr(loading, "delete_path", lambda session, path: kept.append(path))
+    arguments = (f"{tmp_path}/_bronze", f"{tmp_path}/_control", ["a", "b"], "s", "L", "2026-10-01 00:00:00")
+    outcome = loading.load_archives(spark, str(tmp_path / "in"), *arguments)
+    assert {r["member"]: r["status"] for r in outcome.collect()} == {"good.csv": "complete", "bad.csv": "in_progress"}
+    assert {(r["a"], r["b"]) for r in text.read_table(spark, f"{tmp_path}/_bronze").collect()} == {("1", "2"), ("3", "")}
+    assert not [p for p in Path(kept[0].removeprefix("file:")).iterdir() if p.is_dir()]  # a folder for each tag takes a sort
+    assert {r["tag"]: r["count"] for r in spark.read.parquet(kept[0]).groupBy("tag").count().collect()} == {"row": 2, "error": 1}
